@@ -7,14 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, mixing, quality_rules
+from keyloom.llm import decontaminate, html_text, mixing, quality_rules, token_counts, token_files, toxicity
 from keyloom.llm.common import fresh, table
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fresh(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return mixing.mix(docs).select(
@@ -31,5 +47,21 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_quality_rules": op4_quality_rules, "op7_mixing": op7_mixing, "op8_decontamination": op8_decontamination}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op4_quality_rules": op4_quality_rules,
+        "op5_token_counts": op5_token_counts,
+        "op7_mixing": op7_mixing,
+        "op8_decontamination": op8_decontamination,
+        "op9_html_text": op9_html_text,
+        "op10_token_files": op10_token_files,
+    }
