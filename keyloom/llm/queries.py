@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, html_text, mixing, quality_rules, token_counts, token_files, toxicity
+from keyloom.llm import decontaminate, html_text, mixing, quality_rules, substring_fm, suffix_merge, token_counts, token_files, toxicity
 from keyloom.llm.common import fresh, table
 
 
@@ -23,6 +23,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
 
 
+def op2_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_fm.dedup_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_merge.dedup_bytes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fresh(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return mixing.mix(docs).select(
@@ -58,8 +68,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_substring_fm": op2_substring_fm,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_counts": op5_token_counts,
+        "op6_suffix_merge": op6_suffix_merge,
         "op7_mixing": op7_mixing,
         "op8_decontamination": op8_decontamination,
         "op9_html_text": op9_html_text,
