@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontaminate, html_text, mixing, quality_rules, substring_fm, suffix_merge, token_counts, token_files, toxicity
+from keyloom.llm import decontaminate, html_text, mixing, near_dedup, quality_rules, substring_fm, suffix_merge, token_counts, token_files, toxicity
 from keyloom.llm.common import fresh, table
 
 
@@ -28,6 +28,10 @@ def op2_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=2)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_substring_fm": op2_substring_fm,
+        "op3_near_dedup": op3_near_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_token_counts": op5_token_counts,
         "op6_suffix_merge": op6_suffix_merge,
