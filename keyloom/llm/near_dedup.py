@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,32 +31,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import cut, fresh
-from keyloom.llm.routing import mixed
+from keyloom.llm.encoding import in_groups
+from keyloom.llm.routing import mixed, word_hashes
 
 #: Up to so many ids or 16-byte keys are broadcast (about 100 MB at most in memory); beyond, joins shuffle.
 BROADCAST_KEYS = 500_000
 CHUNK = 16_384  # sketches in a task at a time
 ROUNDS = 4
 _U = np.uint64
-_words: dict[bytes, int] = {}
-
-
-def shingles(text: bytes, n: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's n-word shingles."""
-    words = text.lower().split()  # bytes: A-Z only, and the six ASCII blanks
-    if not words:
-        return np.zeros(0, _U)
-    if len(_words) > 400_000:
-        _words.clear()
-    h = np.fromiter(map(_words.get, words, repeat(0)), _U, len(words))
-    for i in np.flatnonzero(h == 0).tolist():
-        h[i] = _words[words[i]] = xxhash.xxh3_64_intdigest(words[i]) or 1
-    size = min(n, len(h))
-    out = np.full(len(h) - size + 1, len(h) if len(h) < n else n, _U)  # a short text's whole is no shingle of another length
-    with np.errstate(over="ignore"):
-        for j in range(size):
-            out = mixed(out * _U(0x9E3779B97F4A7C15) + h[j : len(h) - size + 1 + j])
-    return np.unique(out)
+
+
+def shingles(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its n-word shingles, of all words if it has fewer."""
+    split = [t.lower().split() for t in texts]  # bytes: A-Z only, and the six ASCII blanks
+    data = b"".join([b" ".join(w) + b" " for w in split if w])
+    size = np.array([len(w) for w in split], np.int64)
+    if not data:
+        return [np.zeros(0, _U)] * len(texts)
+    h = word_hashes(data, np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1]))
+    ends = np.cumsum(size)
+    out = np.full(len(h), n, _U)
+    for j in range(n):
+        ahead = np.zeros(len(h), _U)
+        ahead[: len(h) - j] = h[j:]
+        out = mixed(out * _U(0x9E3779B97F4A7C15) + ahead)
+    found = []
+    for a, b in zip((ends - size).tolist(), ends.tolist()):
+        if 0 < b - a < n:
+            found.append(_fold(h[a:b]))
+        else:
+            found.append(np.unique(out[a : max(a, b - n + 1)]))
+    return found
+
+
+def _fold(h: np.ndarray) -> np.ndarray:
+    """A short text's whole sequence, unlike a shingle of another length."""
+    out = np.array([len(h)], _U)
+    for x in h:
+        out = mixed(out * _U(0x9E3779B97F4A7C15) + x)
+    return out
 
 
 def needed(a: int, b: int, t: float) -> bool:
@@ -73,14 +85,20 @@ def _common(size: int, k: int, t: float) -> int:
     return max(1, math.floor(k * t - 6 * math.sqrt(k * t * (1 - t))))
 
 
+def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sets of a column of texts, about two million bytes of them at a time."""
+    texts = [t or b"" for t in column.to_pylist()]
+    for a, b in in_groups(texts, 2_000_000):
+        yield from shingles(texts[a:b], n)
+
+
 def described(docs: DataFrame, n: int, k: int) -> DataFrame:
     """doc_id, n_shingles, key (of the set), sketch for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, key, sketch = [], [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py() or b"", n)
+            for s in _sets(batch.column(1), n):
                 size.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sketch.append(s[:k].astype("<u8").tobytes())
@@ -97,9 +115,8 @@ def keyed_texts(docs: DataFrame, n: int) -> DataFrame:
         zip_ = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             key, body = [], []
-            for text in batch.column(0):
+            for text, s in zip(batch.column(0), _sets(batch.column(0), n)):
                 raw = text.as_py() or b""
-                s = shingles(raw, n)
                 if len(s):
                     key.append(xxhash.xxh3_128_digest(s.tobytes()))
                     body.append(zip_.compress(raw))
@@ -186,7 +203,7 @@ def _verify(n: int, t: float):
             if key not in known:
                 if len(known) >= 64:
                     known.clear()
-                known[key] = shingles(unzip.decompress(body.as_py()), n)
+                known[key] = shingles([unzip.decompress(body.as_py())], n)[0]
             return known[key]
 
         for batch in batches:

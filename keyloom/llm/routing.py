@@ -21,7 +21,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -48,7 +47,7 @@ class Units:
     """What a window is made of."""
 
     k: int
-    m: int
+    m: int  # a power of two
     by_word: bool
     windows: int = 64  # of a segment at most
     frequent: int = 512  # occurrences beyond which a minimizer's segments are cut into windows
@@ -63,53 +62,42 @@ class Segments:
     minimizer: np.ndarray
     seen: np.ndarray  # places of the minimizer in the segment: a window can recur within it
     size: np.ndarray  # units of each text
-    units: bytes | list[bytes]
+    data: bytes  # all texts one after the other; of words, each text with one space between words and after it
+    begin: np.ndarray | None  # of words: where each begins, and one place more
 
     def content(self, a: int, b: int) -> bytes:
-        return self.units[a:b] if isinstance(self.units, bytes) else b" ".join(self.units[a:b])
+        return self.data[a:b] if self.begin is None else self.data[self.begin[a] : self.begin[b] - 1]
 
 
-_word_hash: dict[bytes, int] = {}
+#: A random odd number for the polynomial hash of words, its inverse modulo 2^64, and random values of the bytes.
+#: Only minimizers depend on these hashes; which windows are equal is decided on their bytes.
+ODD = 0x9E3779B97F4A7C15
+INVERSE = pow(ODD, -1, 1 << 64)
+BYTES = mixed(np.arange(256, dtype=_U) + _U(1))
 
 
-def _hashes(units: bytes | list[bytes]) -> np.ndarray:
-    if isinstance(units, bytes):
-        return mixed(np.arange(256, dtype=_U) + _U(1))[np.frombuffer(units, np.uint8)]
-    import xxhash
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, _U)
+    out[:1] = 1
+    return np.cumprod(out)
 
-    if len(_word_hash) > 400_000:
-        _word_hash.clear()
-    out = np.fromiter(map(_word_hash.get, units, repeat(0)), _U, len(units))
-    new = np.flatnonzero(out == 0)
-    for w in {units[i] for i in new}:
-        _word_hash[w] = xxhash.xxh3_64_intdigest(w) or 1
-    out[new] = [_word_hash[units[i]] for i in new]
-    return out
+
+def word_hashes(data: bytes, begin: np.ndarray) -> np.ndarray:
+    """Of the words between `begin`'s places (less the space after each): a difference of prefix sums, shifted back."""
+    h = BYTES[np.frombuffer(data, np.uint8)]
+    h *= _powers(ODD, len(h))
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(h)])
+    first, last = begin[:-1], begin[1:] - 1
+    return mixed((sums[last] - sums[first]) * _powers(INVERSE, len(h))[first] + (last - first).astype(_U))
 
 
 def _grams(h: np.ndarray, m: int) -> np.ndarray:
-    """A hash of each m-gram by doubling; places near the end are padded and not used."""
-    out, done, by = np.zeros_like(h), 0, _U(0x9E3779B97F4A7C15)
-    power, step, block = [], 1, h
-    scale = by
-    while step <= m:
-        power.append((step, block, scale))
-        if 2 * step > m:
-            break
-        ahead = np.zeros_like(block)
-        ahead[:-step] = block[step:]
-        with np.errstate(over="ignore"):
-            block, scale = block * scale + ahead, scale * scale
-        step *= 2
-    for step, block, scale in reversed(power):
-        if done + step <= m:
-            ahead = np.zeros_like(block)
-            if done < len(block):
-                ahead[: len(block) - done] = block[done:]
-            with np.errstate(over="ignore"):
-                out = out * scale + ahead
-            done += step
-    return mixed(out)
+    """A hash of each m-gram (m a power of two) by doubling."""
+    scale, step = ODD, 1
+    while step < m:
+        h = h[:-step] * _U(scale) + h[step:]
+        scale, step = scale * scale % (1 << 64), 2 * step
+    return mixed(h)
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -121,16 +109,25 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(texts: list[bytes], u: Units) -> Segments:
-    own = [t.split() for t in texts] if u.by_word else texts
-    size = np.array([len(t) for t in own], np.int64)
+    if u.by_word:
+        texts = [b" ".join(t.split()) for t in texts]
+        size = np.array([t.count(b" ") + 1 if t else 0 for t in texts], np.int64)
+        data = b"".join([t + b" " for t in texts if t])
+        begin = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1])
+    else:
+        size, data, begin = np.array([len(t) for t in texts], np.int64), b"".join(texts), None
     found, a, base = [], 0, 0
-    while a < len(own):
+    while a < len(texts):
         b, n = a, 0
-        while b < len(own) and (b == a or n + size[b] <= GROUP):
-            n, b = n + size[b], b + 1
-        part = [w for t in own[a:b] for w in t] if u.by_word else b"".join(own[a:b])
+        while b < len(texts) and (b == a or n + size[b] <= GROUP):
+            n, b = n + int(size[b]), b + 1
         if n >= u.k:
-            grams, w = _grams(_hashes(part), u.m), u.k - u.m + 1
+            if begin is None:
+                hashes = BYTES[np.frombuffer(data, np.uint8, n, base)]
+            else:
+                part = begin[base : base + n + 1]
+                hashes = word_hashes(data[part[0] : part[-1]], part - part[0])
+            grams, w = _grams(hashes, u.m), u.k - u.m + 1
             least = _least(grams, w)[: n - u.k + 1]
             ends = np.cumsum(size[a:b])
             inside = np.zeros(n + 1, np.int32)
@@ -162,8 +159,7 @@ def segments(texts: list[bytes], u: Units) -> Segments:
         base += n
         a = b
     cat = lambda j, kind: np.concatenate([x[j] for x in found]) if found else np.zeros(0, kind)
-    units = [w for t in own for w in t] if u.by_word else b"".join(own)
-    return Segments(cat(0, np.int64), cat(1, np.int64), cat(2, _U), cat(3, np.int64), size, units)
+    return Segments(cat(0, np.int64), cat(1, np.int64), cat(2, _U), cat(3, np.int64), size, data, begin)
 
 
 def _buckets(minimizer: np.ndarray, seen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

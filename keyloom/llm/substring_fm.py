@@ -14,6 +14,8 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -147,18 +149,18 @@ def covered(size: int, where: np.ndarray, k: int) -> np.ndarray:
     return np.cumsum(steps)[:size] > 0
 
 
-def dedup_words(docs: DataFrame, k: int = 35, m: int = 12, **sizes) -> DataFrame:
+def dedup_words(docs: DataFrame, k: int = 35, m: int = 8, **sizes) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space, as bytes) for every row."""
 
     def finish(s: Segments, ids: np.ndarray, where: np.ndarray, value: np.ndarray) -> dict[str, list]:
-        gone = covered(len(s.units), where[value == 1], k)
+        gone = covered(int(s.size.sum()), where[value == 1], k)
         ends = np.cumsum(s.size)
         lost, kept = [], []
         for a, b in zip((ends - s.size).tolist(), ends.tolist()):
             part = gone[a:b]
             lost.append(int(part.sum()))
-            words = s.units[a:b]
-            kept.append(b" ".join([words[i] for i in np.flatnonzero(~part)]) if lost[-1] else b" ".join(words))
+            text = s.content(a, b) if b > a else b""
+            kept.append(b" ".join(compress(text.split(b" "), (~part).tolist())) if lost[-1] else text)
         return {"n_words": s.size, "n_removed": lost, "kept": kept}
 
     frequent = {"frequent": sizes.pop("frequent")} if "frequent" in sizes else {}

@@ -122,14 +122,14 @@ def dedup_bytes(docs: DataFrame, k: int = 50, m: int = 16, **sizes) -> DataFrame
     def finish(s: Segments, ids: np.ndarray, where: np.ndarray, value: np.ndarray) -> dict[str, list]:
         ends = np.cumsum(s.size)
         own = ids[np.searchsorted(ends, where, side="right")]
-        gone = covered(len(s.units), where[value < own], k)
-        data = np.frombuffer(s.units, np.uint8)
+        gone = covered(len(s.data), where[value < own], k)
+        data = np.frombuffer(s.data, np.uint8)
         lost, spans, kept = [], [], []
         for a, b in zip((ends - s.size).tolist(), ends.tolist()):
             part = gone[a:b]
             lost.append(int(part.sum()))
             spans.append(int(part[:1].sum()) + int((part[1:] & ~part[:-1]).sum()))
-            kept.append(data[a:b][~part].tobytes() if lost[-1] else s.units[a:b])
+            kept.append(data[a:b][~part].tobytes() if lost[-1] else s.data[a:b])
         return {"n_bytes": s.size, "n_removed": lost, "n_spans": spans, "kept": kept}
 
     frequent = {"frequent": sizes.pop("frequent")} if "frequent" in sizes else {}
