@@ -19,6 +19,8 @@ import numpy as np
 #: A space where it is not between two visible characters; Python's white space includes all of the pattern's.
 ODD = re.compile(r"\s | \s|\A | \Z")
 CUT = re.compile(r"(?<=\S)(?= \S)")
+#: White space within a piece, which then is encoded alone.
+JOINT = re.compile(r"\s")
 
 
 def is_cut(text: str, p: int) -> bool:
@@ -29,7 +31,7 @@ def is_cut(text: str, p: int) -> bool:
 class Encoder:
     """ids and counts of texts, as the library gives them without begin, end or added special tokens."""
 
-    def __init__(self, path: str, max_pieces: int = 400_000):
+    def __init__(self, path: str, max_pieces: int = 600_000):
         self.max_pieces, self.path = max_pieces, path
         if path.endswith(".model"):
             import sentencepiece
@@ -47,6 +49,9 @@ class Encoder:
                 made = json.load(f)
             pre = made.get("pre_tokenizer") or {}
             plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer")
+            opens = [i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if t.startswith("Ġ")]  # how a space is written
+            self.opens = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
+            self.opens[opens] = True
             self.by_piece = plain and all(" " not in t["content"] and not t["lstrip"] and not t["rstrip"] for t in made.get("added_tokens") or [])
         self._clear()
 
@@ -56,18 +61,39 @@ class Encoder:
         self.start, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _add(self, keys: list[str]) -> None:
-        """Keys of first pieces begin with a space and are encoded without it, others with one before them."""
-        for a in range(0, len(keys), 4096):
-            part = keys[a : a + 4096]
-            for key, ids in zip(part, self._whole([k[1:] if k[:1] == " " else " " + k for k in part])):
-                i = len(self.place)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if i >= len(self.n):
-                    self.start, self.n = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.n, np.zeros_like(self.n)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.start[i], self.n[i], self.place[key] = self.used, len(ids), i
-                self.used += len(ids)
+        """Keys of first pieces begin with a space and are encoded without it, others with one before them. Pieces with
+        no further white space are encoded many at a time: their only space is where each one's ids begin."""
+        alone: list[str] = []
+        many: list[str] = []
+        for k in keys:
+            (alone if JOINT.search(k) else many).append(k)
+        self._one_by_one(alone)
+        for a in range(0, len(many), 4096):
+            own = many[a : a + 4096]
+            found = [np.array(x, np.uint32) for x in self._whole([" " + " ".join(own[i : i + 64]) for i in range(0, len(own), 64)])]
+            flat = np.concatenate(found)
+            at = np.flatnonzero(self.opens[flat])
+            if len(at) == len(own) and at[0] == 0:
+                self._append(own, flat, np.diff(at, append=len(flat)))
+            else:
+                self._one_by_one(own)
+
+    def _one_by_one(self, keys: list[str]) -> None:
+        ids = self._whole([k[1:] if k[:1] == " " else " " + k for k in keys])
+        if keys:
+            self._append(keys, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids]))
+
+    def _append(self, keys: list[str], flat: np.ndarray, n: np.ndarray) -> None:
+        i = len(self.place)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while i + len(keys) > len(self.n):
+            self.start, self.n = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.n, np.zeros_like(self.n)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[i : i + len(keys)] = self.used + np.cumsum(n) - n
+        self.n[i : i + len(keys)] = n
+        self.place.update(zip(keys, range(i, i + len(keys))))
+        self.used += len(flat)
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cache places of all pieces of the texts one after the other, and how many each text has."""
@@ -113,7 +139,7 @@ class Encoder:
 _made: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, max_pieces: int = 400_000) -> Encoder:
+def encoder(path: str, max_pieces: int = 600_000) -> Encoder:
     """One encoder a Python worker, kept between tasks."""
     if (path, max_pieces) not in _made:
         _made[path, max_pieces] = Encoder(path, max_pieces)
