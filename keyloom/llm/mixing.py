@@ -55,20 +55,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
-    """Every row of `docs` with all its columns, plus mix_size, mix_source_size, mix_target and mix_copies."""
-    sized = docs.withColumn("mix_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    sums = fresh(docs, "source", "text").groupBy("source").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).alias("source_size"))
-    plan = source_targets(sums, weights, most).select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    plan = cut(plan)
+    """row (all columns of the input row), size, source_size, target, copies for every row of `docs`."""
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    sums = fresh(docs, "source", "text").groupBy("source").agg(F.sum(size).alias("source_size"))
+    plan = cut(source_targets(sums, weights, most))
     if plan.count() <= BROADCAST_SOURCES:  # a row is a name and three numbers
         plan = F.broadcast(plan)
-    joined = sized.join(plan, sized["source"].eqNullSafe(plan["mix_source"]), "left").drop("mix_source")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("mix_copies", copies.cast("long"))
+    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("of"), F.col("doc_id").alias("id"), size.alias("size"))
+    joined = sized.join(plan, sized["of"].eqNullSafe(plan["source"]), "left")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.floor(rate) + F.when(draw(F.col("id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    return joined.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: each document's row as often as it is taken, with the columns of `docs`."""
-    mixed = mix(docs, **options).where("mix_copies > 0")
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mix(docs, **options).where("copies > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -46,14 +46,8 @@ def op6_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fresh(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
-    return mixing.mix(docs).select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
-    )
+    mixed = mixing.mix(fresh(table(spark, sf_dir, "documents"), "doc_id", "text", "source"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
