@@ -1,13 +1,16 @@
 """Brings every pair of equal windows of a corpus to one index, without shipping the corpus.
 
-A window is `k` consecutive units (words or bytes) of a text. Its minimizer, the smallest hash among its `m`-unit
-grams, depends on the window alone, so equal windows have equal minimizers. Consecutive windows with one minimizer
-form a segment; each window is in exactly one segment. Three rounds over the texts, dealt once into chunks by a hash:
-
-1. A chunk sends the minimizers it has (four bytes and a count each, one row for a bucket of them); the buckets answer
+A window is `k` consecutive units (words or bytes) of a text. Its minimizer, the leftmost of the smallest hashes among
+its `m`-unit grams, depends on the window alone. With half of what the window has besides, the minimizer makes the
+window's anchor: the gram and the units before it if the window reaches that far to the left, else the gram and the
+units behind it, which the window then has. So equal windows have equal anchors, and an anchor is long enough that
+unlike windows seldom share one. Consecutive windows with one anchor form a segment; each window is in exactly one, and
+no segment has two equal windows. Three rounds over the texts, dealt once into chunks by a hash:
+
+1. A chunk sends the anchors it has (four bytes and a count each, one row for a bucket of them); the buckets answer
    which occur twice in the corpus, and which very often.
-2. Only segments with a repeated minimizer are sent on: equal ones of a chunk once, with the number of their places
-   and their smallest doc_id. A minimizer decides the shard. The very frequent ones are cut into single windows dealt by
+2. Only segments with a repeated anchor are sent on: equal ones of a chunk once, with the number of their places
+   and their smallest doc_id. An anchor decides the shard. The very frequent ones are cut into single windows dealt by
    their own content, so a passage that a third of the documents share is dealt to all shards, and at most once a chunk.
    A shard indexes its distinct segments and answers for each window of each.
 3. A chunk puts the answers to its texts.
@@ -24,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +53,7 @@ class Units:
     k: int
     m: int  # a power of two
     by_word: bool
-    windows: int = 64  # of a segment at most
-    frequent: int = 512  # occurrences beyond which a minimizer's segments are cut into windows
+    frequent: int = 512  # occurrences beyond which an anchor's segments are cut into windows
 
 
 @dataclass
@@ -59,8 +62,8 @@ class Segments:
 
     first: np.ndarray
     windows: np.ndarray
-    minimizer: np.ndarray
-    seen: np.ndarray  # places of the minimizer in the segment: a window can recur within it
+    anchor: np.ndarray
+    hash: np.ndarray  # of the content
     size: np.ndarray  # units of each text
     data: bytes  # all texts one after the other; of words, each text with one space between words and after it
     begin: np.ndarray | None  # of words: where each begins, and one place more
@@ -70,7 +73,7 @@ class Segments:
 
 
 #: A random odd number for the polynomial hash of words, its inverse modulo 2^64, and random values of the bytes.
-#: Only minimizers depend on these hashes; which windows are equal is decided on their bytes.
+#: Only anchors depend on these hashes; which windows are equal is decided on their bytes.
 ODD = 0x9E3779B97F4A7C15
 INVERSE = pow(ODD, -1, 1 << 64)
 BYTES = mixed(np.arange(256, dtype=_U) + _U(1))
@@ -108,6 +111,37 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - step)], h[w - step :]) if w > step else h
 
 
+def _runs(hashes: np.ndarray, size: np.ndarray, u: Units, base: int) -> tuple[np.ndarray, ...]:
+    """First unit, windows, anchor and content hash of the segments of texts of these sizes."""
+    grams = _grams(hashes, u.m)
+    n, w, half = len(hashes), u.k - u.m + 1, (u.k - u.m + 1) // 2
+    low = _U((1 << 31) - 1)  # the same for all texts: the part of the hashes that decides must be
+    ranked = (grams & ~low) | np.arange(len(grams), dtype=_U)  # the smallest, of equal ones the leftmost
+    place = (_least(ranked, w) & low).astype(np.int64)
+    ends = np.cumsum(size)
+    starts, enough = ends - size, size >= u.k
+    inside = np.zeros(n + 1, np.int8)
+    inside[starts[enough]] += 1
+    inside[(ends - u.k + 1)[enough]] -= 1
+    valid = np.cumsum(inside[: len(place)], dtype=np.int8) > 0
+    left = place - np.arange(len(place)) >= half  # the window reaches `half` units before its minimizer
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (left[1:] != left[:-1]) | (valid[1:] != valid[:-1])
+    new[starts[starts < len(place)]] = True
+    first = np.flatnonzero(new)
+    run = np.diff(first, append=len(place))
+    keep = valid[first]
+    first, run = first[keep], run[keep]
+    p, is_left = place[first], left[first]
+    steps = range(0, half, u.m)  # grams that cover the half, each next to or over the one before
+    anchor = np.where(is_left, _U(1), _U(2)) + grams[p]
+    for j in steps:
+        anchor = mixed(anchor * _U(ODD) + grams[np.where(is_left, p - half + j, p + half - j)])
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed(hashes) * _powers(ODD, n))])
+    content = mixed((sums[first + run + (u.k - 1)] - sums[first]) * _powers(INVERSE, n)[first])
+    return first + base, run, anchor, content
+
+
 def segments(texts: list[bytes], u: Units) -> Segments:
     if u.by_word:
         texts = [b" ".join(t.split()) for t in texts]
@@ -127,50 +161,21 @@ def segments(texts: list[bytes], u: Units) -> Segments:
             else:
                 part = begin[base : base + n + 1]
                 hashes = word_hashes(data[part[0] : part[-1]], part - part[0])
-            grams, w = _grams(hashes, u.m), u.k - u.m + 1
-            least = _least(grams, w)[: n - u.k + 1]
-            ends = np.cumsum(size[a:b])
-            inside = np.zeros(n + 1, np.int32)
-            enough = size[a:b] >= u.k
-            np.add.at(inside, (ends - size[a:b])[enough], 1)
-            np.add.at(inside, (ends - u.k + 1)[enough], -1)
-            valid = np.cumsum(inside)[: len(least)] > 0
-            new = np.ones(len(least), bool)
-            new[1:] = least[1:] != least[:-1]
-            starts = ends - size[a:b]
-            new[starts[starts < len(least)]] = True
-            new[1:] |= valid[1:] != valid[:-1]
-            first = np.flatnonzero(new)
-            run = np.diff(np.append(first, len(least)))
-            keep = valid[first]
-            first, run = first[keep], run[keep]
-            if u.by_word and len(first):
-                span = run + w - 1
-                nth = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                same = grams[np.repeat(first, span) + nth] == np.repeat(least[first], span)
-                seen = np.add.reduceat(same.astype(np.int64), np.cumsum(span) - span)
-            else:
-                seen = np.ones(len(first), np.int64)
-            parts = -(-run // u.windows)  # long runs, as of one repeated word, are cut
-            nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-            at = np.repeat(first, parts) + nth * u.windows
-            many = np.minimum(u.windows, np.repeat(run, parts) - nth * u.windows)
-            found.append((at + base, many, least[at], np.repeat(seen, parts)))
+            found.append(_runs(hashes, size[a:b], u, base))
         base += n
         a = b
     cat = lambda j, kind: np.concatenate([x[j] for x in found]) if found else np.zeros(0, kind)
-    return Segments(cat(0, np.int64), cat(1, np.int64), cat(2, _U), cat(3, np.int64), size, data, begin)
+    return Segments(cat(0, np.int64), cat(1, np.int64), cat(2, _U), cat(3, _U), size, data, begin)
 
 
-def _buckets(minimizer: np.ndarray, seen: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct minimizers in the order of their messages: bucket, value, how often, and for every segment its place."""
-    u, place = np.unique(minimizer, return_inverse=True)
-    count = np.bincount(place, seen, len(u)).astype(np.int64)
+def _buckets(anchor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors in the order of their messages: bucket, value, how often, and for every segment its place."""
+    u, place, count = np.unique(anchor, return_inverse=True, return_counts=True)
     bucket, value = (u % _U(n)).astype(np.int64), (u >> _U(32)).astype(np.uint32)
     order = np.lexsort((u, value, bucket))
     back = np.empty(len(u), np.int64)
     back[order] = np.arange(len(u))
-    return bucket[order], value[order], count[order], back[place], u[order]
+    return bucket[order], value[order], count[order], back[place]
 
 
 def _answers(rows: pd.DataFrame, kind: int) -> dict[int, bytes]:
@@ -193,35 +198,39 @@ class Candidates:
 
 
 def _candidates(s: Segments, u: Units, n: int, flags: dict[int, bytes]) -> Candidates:
-    bucket, _, _, place, _ = _buckets(s.minimizer, s.seen, n)
+    bucket, _, _, place = _buckets(s.anchor, n)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
     flat = np.frombuffer(b"".join(flags[int(b)] for b in bucket[cuts]), np.uint8) if len(bucket) else np.zeros(0, np.uint8)
     flag = flat[place] if len(place) else flat
     plain, often = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
+    # Equal segments: by anchor and content hash, 128 bits together.
+    by = np.lexsort((s.hash[plain], s.anchor[plain]))
+    ranked = plain[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (s.anchor[ranked[1:]] != s.anchor[ranked[:-1]]) | (s.hash[ranked[1:]] != s.hash[ranked[:-1]])
+    content = np.empty(len(plain), np.int64)
+    content[by] = np.cumsum(new) - 1
+    firsts = ranked[new]
+    texts = [s.content(a, b) for a, b in zip(s.first[firsts].tolist(), (s.first[firsts] + s.windows[firsts] + (u.k - 1)).tolist())]
+    # Single windows of the very frequent: by content, which also deals them.
     reps = s.windows[often]
     nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    at = np.concatenate([s.first[plain], np.repeat(s.first[often], reps) + nth])
-    many = np.concatenate([s.windows[plain], np.ones(len(nth), np.int64)])
-    route = np.concatenate([s.minimizer[plain], np.zeros(len(nth), _U)])
+    at = np.repeat(s.first[often], reps) + nth
     known: dict[bytes, int] = {}
-    content = np.fromiter((known.setdefault(s.content(a, b), len(known)) for a, b in zip(at.tolist(), (at + many + (u.k - 1)).tolist())), np.int64, len(at))
-    texts = list(known)
-    many_of, route_of = np.ones(len(texts), np.int64), np.zeros(len(texts), _U)
-    many_of[content], route_of[content] = many, route
-    single = np.zeros(len(texts), bool)
-    single[content[len(plain) :]] = True
-    if single.any():
-        import xxhash
-
-        for i in np.flatnonzero(single):
-            route_of[i] = xxhash.xxh3_64_intdigest(texts[i])
-    shard, sub = (route_of % _U(n)).astype(np.int64), (route_of >> _U(40)) & _U(0xFFFF)
-    ranked = sorted(range(len(texts)), key=lambda i: (shard[i], texts[i]))
-    order = np.array(ranked, np.int64)
+    single = np.fromiter((known.setdefault(s.content(a, a + u.k), len(known)) for a in at.tolist()), np.int64, len(at))
+    routes = np.array([xxhash.xxh3_64_intdigest(t) for t in known], _U)
+    content = np.concatenate([content, single + len(texts)])
+    texts += known
+    route = np.concatenate([s.anchor[firsts], routes])
+    tie = np.concatenate([s.hash[firsts], np.zeros(len(known), _U)])
+    many = np.concatenate([s.windows[firsts], np.ones(len(known), np.int64)])
+    shard, sub = (route % _U(n)).astype(np.int64), ((route >> _U(40)) & _U(0xFFFF)).astype(np.uint16)
+    order = np.lexsort((tie, route, shard))
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    ends = np.cumsum(s.size)
-    return Candidates(at, many, np.searchsorted(ends, at, side="right"), back[content], [texts[i] for i in ranked], shard[order], sub[order].astype(np.uint16), many_of[order])
+    place = np.concatenate([s.first[plain], at])
+    of = np.searchsorted(np.cumsum(s.size), place, side="right")
+    return Candidates(place, np.concatenate([s.windows[plain], np.ones(len(at), np.int64)]), of, back[content], [texts[i] for i in order.tolist()], shard[order], sub[order], many[order])
 
 
 def _cut(values: np.ndarray) -> list[tuple[int, int]]:
@@ -259,7 +268,7 @@ def route(docs: DataFrame, u: Units, index: Index, finish: Finish, schema: str,
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         s = segments(pdf["text"].tolist(), u)
-        bucket, value, count, _, _ = _buckets(s.minimizer, s.seen, n)
+        bucket, value, count, _ = _buckets(s.anchor, n)
         chunk = int(pdf["chunk"].iloc[0])
         return frame([(chunk, 0, int(bucket[a]), value[a:b].astype("<u4").tobytes() + np.minimum(count[a:b], 65535).astype("<u2").tobytes()) for a, b in _cut(bucket)])
 

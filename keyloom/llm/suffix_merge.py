@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from keyloom.llm.routing import LAST, Segments, Units, route
 from keyloom.llm.substring_fm import covered
 
-BLOCK = 1 << 18
+BLOCK = 1 << 19
 SYMBOL_BITS = 9  # a byte or the end of a segment
 PACKED = 63 // SYMBOL_BITS
 
@@ -59,25 +59,32 @@ def merge(texts: list[np.ndarray], orders: list[np.ndarray], depth: int) -> tupl
             break
     steps = [t] * (depth // t) + ([depth % t] if depth % t else [])
     source = np.repeat(np.arange(rows, dtype=np.uint8 if rows < 256 else np.uint16), np.diff(offset))
-    block = np.zeros(len(source), np.int64)
-    prefix = np.full(len(source), -1, np.int64)
+    block = np.zeros(len(source), np.int32)
+    prefix = np.full(len(source), -1, np.int32)
     code, h = codes.astype(np.uint16), 0
     for step in steps:
         if step != t:
             code = np.unique(np.concatenate([np.roll(_grams(x, step), step)[o] for x, o in zip(texts, orders)]), return_inverse=True)[1].astype(np.uint16)
-        symbol = np.empty(len(source), np.uint16)
-        symbol[np.argsort(source, kind="stable")] = code  # each block's symbols in its own order
+        symbol = code[_own_places(source, offset)]
         dealt = np.argsort(symbol, kind="stable")
         source, block, symbol = source[dealt], block[dealt], symbol[dealt]
         new = np.ones(len(source), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        block = np.cumsum(new)
+        block = np.cumsum(new, dtype=np.int32)
         prefix[new & (prefix < 0)] = h
         h += step
     prefix[prefix < 0] = depth
-    final = np.empty(len(source), np.int64)
-    final[np.argsort(source, kind="stable")] = place
-    return final, prefix
+    return place[_own_places(source, offset)], prefix
+
+
+def _own_places(source: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """For each place of the interleave, its suffix: each block's suffixes come in the block's own order."""
+    if len(offset) == 3:
+        second = np.cumsum(source, dtype=np.int64)
+        return np.where(source, offset[1] + second - 1, np.arange(len(source)) - second)
+    out = np.empty(len(source), np.int64)
+    out[np.argsort(source, kind="stable")] = np.arange(len(source))
+    return out
 
 
 def first_documents(texts: list[bytes], places: np.ndarray, least: np.ndarray, u: Units) -> np.ndarray:
