@@ -16,7 +16,6 @@ result. Scoring shuffles nothing.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import WORD, fresh
 from keyloom.llm.encoding import in_groups
+from keyloom.llm.routing import mixed
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PIECE = 200  # tokens of a training sequence
@@ -104,54 +104,80 @@ def summary(log_odds: np.ndarray) -> tuple[float, float]:
     return float(np.clip(log_odds.max(), -12, 12)), float(np.log1p(p[p > 0.5].sum()))
 
 
-def distant_labels(docs: list[list[str]], toxic: np.ndarray, share: float = 0.02, least: int = 4, purity: float = 0.95) -> set[str]:
-    """Features in at least `share` of the toxic documents, between as many different pairs of neighbours (near
-    copies repeat a word between the same ones), and in clean documents so rarely that `purity` of the
-    prior-weighted documents with it are toxic."""
-    inside: tuple[Counter, Counter] = (Counter(), Counter())
-    around: dict[str, set[tuple[str, str]]] = {}
-    for words, label in zip(docs, toxic):
-        inside[int(label)].update({f for w in set(words) for f in features(w)})
-        if label:
-            for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-                for f in features(w):
-                    around.setdefault(f, set()).add((before, after))
+@dataclass
+class Types:
+    """The different words of the sample, numbered, and their features, numbered, as rows of a compressed matrix."""
+
+    number: dict[str, int] = field(default_factory=dict)
+    names: dict[str, int] = field(default_factory=dict)
+    cols: list[int] = field(default_factory=list)
+    ends: list[int] = field(default_factory=list)
+    fixed: tuple[np.ndarray, np.ndarray] | None = None  # ends and cols, once all is read
+
+    def read(self, text: str) -> np.ndarray:
+        out = []
+        for w in re.findall(WORD, text):
+            i = self.number.get(w)
+            if i is None:
+                i = self.number[w] = len(self.number)
+                self.cols += [self.names.setdefault(f, len(self.names)) for f in features(w)]
+                self.ends.append(len(self.cols))
+            out.append(i)
+        return np.array(out, np.int32)
+
+    def of(self, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of these types, and for each which of the types it is of."""
+        if self.fixed is None:
+            self.fixed = np.array(self.ends, np.int64), np.array(self.cols, np.int64)
+        ends, all_cols = self.fixed
+        last = ends[types]
+        first = np.where(types > 0, ends[types - 1], 0)
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return all_cols[at], np.repeat(np.arange(len(types)), n)
+
+
+def distant_labels(types: Types, docs: list[np.ndarray], toxic: np.ndarray, share: float = 0.03, least: int = 4, purity: float = 0.95) -> np.ndarray:
+    """Which features mark a toxic token: those in at least `share` of the toxic documents, between as many different
+    pairs of neighbours (near copies repeat a word between the same ones), and in clean documents so rarely that
+    `purity` of the prior-weighted documents with them are toxic."""
+    inside = np.zeros((2, len(types.names)), np.int64)
+    for d, label in zip(docs, toxic):
+        inside[int(label), np.unique(types.of(np.unique(d))[0])] += 1
     a, b = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     enough = max(least, share * a)
-    return {f for f, n in inside[1].items() if min(n, len(around[f])) >= enough and n / a >= purity * (n / a + inside[0][f] / b)}
+    pure = (inside[1] >= enough) & (inside[1] / a >= purity * (inside[1] / a + inside[0] / b))
+    own = np.flatnonzero(pure)
+    seen = [np.zeros(0, np.uint64)]
+    for d, label in zip(docs, toxic):
+        if label and len(d) and len(own):
+            before, after = np.concatenate([[-1], d[:-1]]).astype(np.uint64), np.concatenate([d[1:], [-1]]).astype(np.uint64)
+            cols, at = types.of(d)
+            keep = pure[cols]
+            place = mixed(mixed(before) + after)[at[keep]]
+            seen.append(mixed(place) // np.uint64(len(own)) * np.uint64(len(own)) + np.searchsorted(own, cols[keep]).astype(np.uint64))
+    around = np.zeros(len(pure), np.int64)
+    if len(own):
+        around[own] = np.bincount((np.unique(np.concatenate(seen)) % np.uint64(len(own))).astype(np.int64), minlength=len(own))
+    return pure & (around >= enough)
 
 
 def fit(docs: list[str], toxic: np.ndarray, rounds: int = 40, l2: float = 1e-3) -> Crf:
     if not len(docs) or toxic.min() == toxic.max():
         return Crf()
-    split = [re.findall(WORD, d) for d in docs]
+    types = Types()
+    read = [types.read(d) for d in docs]
     # The curve is fitted to every third document, whose words the weights have not seen, if both labels are there.
     apart, own = np.arange(2, len(docs), 3), np.flatnonzero(np.arange(len(docs)) % 3 != 2)
     if min(toxic[apart].sum(), (1 - toxic[apart]).sum()) < 10:
         apart = own = np.arange(len(docs))
-    strong = distant_labels([split[i] for i in own], toxic[own])
-    types: dict[str, int] = {}
-    ids, labels = [], []
-    marked: dict[str, bool] = {}
-    for words, label in ((split[i], toxic[i]) for i in own):
-        for a in range(0, len(words), PIECE):
-            part = words[a : a + PIECE]
-            ids.append(np.array([types.setdefault(w, len(types)) for w in part]))
-            if label:
-                for w in part:
-                    if w not in marked:
-                        marked[w] = not strong.isdisjoint(features(w))
-                labels.append(np.array([marked[w] for w in part], float))
-            else:
-                labels.append(np.zeros(len(part)))
-    names: dict[str, int] = {}
-    rows, cols = [], []
-    for w, i in types.items():
-        for f in features(w):
-            rows.append(i)
-            cols.append(names.setdefault(f, len(names)))
-    rows, cols = np.array(rows), np.array(cols)
-    all_ids, y = np.concatenate(ids), np.concatenate(labels)
+    strong = distant_labels(types, [read[i] for i in own], toxic[own])
+    names = types.names
+    cols, rows = types.of(np.arange(len(types.number)))
+    marked = np.bincount(rows, strong[cols], len(types.number)) > 0
+    ids = [read[i][a : a + PIECE] for i in own for a in range(0, len(read[i]), PIECE)]
+    all_ids = np.concatenate(ids)
+    y = np.concatenate([marked[read[i]] * toxic[i] for i in own])
     cuts = np.cumsum([len(x) for x in ids])[:-1]
     pairs = np.ones(len(all_ids), bool)
     pairs[0] = False
@@ -162,18 +188,18 @@ def fit(docs: list[str], toxic: np.ndarray, rounds: int = 40, l2: float = 1e-3)
     theta, bias = np.zeros(len(names)), 0.0
     squares, bias_squares = np.full(len(names), 1e-8), 1e-8
     for _ in range(rounds):
-        per_type = bias + np.bincount(rows, theta[cols], len(types))
+        per_type = bias + np.bincount(rows, theta[cols], len(types.number))
         p = _chance(np.concatenate(marginals(np.split(per_type[all_ids], cuts), steps)))
-        off = np.bincount(all_ids, p - y, len(types))
+        off = np.bincount(all_ids, p - y, len(types.number))
         slope = np.bincount(cols, off[rows], len(names)) + l2 * len(own) * theta / 10
         squares += slope**2
         theta -= 0.5 * slope / np.sqrt(squares)
         bias_squares += off.sum() ** 2
         bias -= 0.5 * off.sum() / np.sqrt(bias_squares)
     model = Crf({f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 0.02}, float(bias), steps)
-    word = {w: model.word_score(w) for w in types}
-    word |= {w: model.word_score(w) for i in apart for w in split[i] if w not in word}
-    x = np.array([(1.0, *summary(m)) for m in marginals([np.array([word[w] for w in split[i]]) for i in apart], steps)])
+    kept = np.where(np.abs(theta) > 0.02, theta, 0.0)
+    word = bias + np.bincount(rows, kept[cols], len(types.number))
+    x = np.array([(1.0, *summary(m)) for m in marginals([word[read[i]] for i in apart], steps)])
     toxic = toxic[apart]
     c = np.zeros(3)
     for _ in range(30):  # Newton steps of a logistic regression with a small ridge
@@ -183,7 +209,7 @@ def fit(docs: list[str], toxic: np.ndarray, rounds: int = 40, l2: float = 1e-3)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 3000) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2000) -> Crf:
     known = fresh(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("o", F.xxhash64("doc_id"))
     pick = lambda t, n: known.where(F.col("toxic") == t).orderBy("o", "doc_id").limit(n)
