@@ -6,7 +6,7 @@ values, as many as must include a common one: two sets that reach the similarity
 values (surely when the sketches hold the whole sets, else but for a chance of six standard deviations), so of `s`
 values the `s - common + 1` rarest suffice, rarest over the corpus, and a value of many unlike documents opens no list.
 
-Lists are not turned into all pairs. In a few rounds each list with several components is compared with one leader of
+Lists are not turned into all pairs. In two turns each list with several components is compared with three leaders of
 it; what is linked grows together and is not compared again; at last the pairs of a list that are still in different
 components and untested are compared one with one, so that no link between components is lost. A pair passes an
 estimate from the union of both sketches, then the exact similarity of the full sets decides.
@@ -37,7 +37,7 @@ from keyloom.llm.routing import mixed, word_hashes
 #: Up to so many ids or 16-byte keys are broadcast (about 100 MB at most in memory); beyond, joins shuffle.
 BROADCAST_KEYS = 500_000
 CHUNK = 16_384  # sketches in a task at a time
-ROUNDS = 4
+TURNS, LEADERS = 2, 3  # turns with leaders, and how many leaders a list has in each
 _U = np.uint64
 
 
@@ -255,31 +255,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.8, k: int = 64) ->
     texts = cut(only(keyed_texts(docs, n), cut(entries.select("key").distinct())).groupBy("key").agg(F.first("body").alias("body")))
     links = tested = None
     labels: DataFrame | None = None
-    for turn in range(ROUNDS + 1):
+    fits = F.least("n", "m") >= F.round(F.lit(t) * F.greatest("n", "m"), 9)
+    for turn in range(TURNS + 1):
         now = entries.withColumn("label", F.col("key")) if labels is None else entries.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        if turn:
-            now = cut(now)
-        # A list's leader is the smallest key at first and any other in later turns.
-        order = F.col("key") if turn == 0 else F.xxhash64(F.lit(turn), "v", "key")
-        mixed_lists = now.groupBy("v").agg(F.min(F.struct(order.alias("o"), F.col("key").alias("lead"), F.col("label").alias("of"), F.col("n").alias("m"))).alias("x"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        if turn < ROUNDS:
-            met = now.join(mixed_lists.select("v", "x.*"), "v").where("label <> of").select("key", F.col("lead").alias("other"), "n", "m")
+        # A list's leaders are its smallest members in a few orders of all keys, so lists of one group agree on them.
+        orders = [F.col("key") if turn + i == 0 else F.xxhash64(F.lit(LEADERS * turn + i), "key") for i in range(LEADERS)]
+        leads = F.array(*[F.min_by(F.struct(F.col("key").alias("lead"), F.col("label").alias("of"), F.col("n").alias("m")), o) for o in orders])
+        open_ = now.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), leads.alias("leads")).where("low <> high")
+        if turn < TURNS:
+            met = now.join(open_.select("v", F.explode(F.array_distinct("leads")).alias("x")), "v").select("key", "label", "n", "x.*").where("label <> of").select("key", F.col("lead").alias("other"), "n", "m")
         else:
-            open_ = cut(now.join(mixed_lists.select("v"), "v", "left_semi"))
-            right = open_.select("v", F.col("key").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"))
-            met = open_.join(right, "v").where("key < other and label <> of").select("key", "other", "n", "m")
-        fits = F.least("n", "m") >= F.round(F.lit(t) * F.greatest("n", "m"), 9)
+            left = cut(now.join(open_.select("v"), "v", "left_semi"))
+            right = left.select("v", F.col("key").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"))
+            met = left.join(right, "v").where("key < other and label <> of").select("key", "other", "n", "m")
         pairs = met.where(fits).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.count():
-            if turn == 0 or turn == ROUNDS:
-                break
             continue
-        tested = pairs if tested is None else cut(tested.unionByName(pairs))
+        tested = pairs if tested is None else tested.unionByName(pairs)
         likely = cut(_joined(pairs, only(classes, _ends(pairs)), "sketch").mapInArrow(_estimate(k, t), "a binary, b binary"))
         found = cut(_joined(likely, only(texts, _ends(likely)), "body").mapInArrow(_verify(n, t), "a binary, b binary"))
         if found.count():
-            links = found if links is None else cut(links.unionByName(found))
+            links = found if links is None else links.unionByName(found)
             labels = components(links)
     ids = classes.select("key", "least_id")
     if labels is not None:
