@@ -266,8 +266,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.8, k: int = 64) ->
             met = now.join(open_.select("v", F.explode(F.array_distinct("leads")).alias("x")), "v").select("key", "label", "n", "x.*").where("label <> of").select("key", F.col("lead").alias("other"), "n", "m")
         else:
             left = cut(now.join(open_.select("v"), "v", "left_semi"))
-            right = left.select("v", F.col("key").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"))
-            met = left.join(right, "v").where("key < other and label <> of").select("key", "other", "n", "m")
+            # A pair meets in the list of its smallest common value only; a class has at most k values.
+            left = left.join(left.groupBy("key").agg(F.collect_list("v").alias("all")), "key")
+            right = left.select(F.col("v").alias("w"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"), F.col("all").alias("also"))
+            once = (F.col("v") == F.col("w")) & (F.col("key") < F.col("other")) & (F.col("label") != F.col("of")) & fits
+            met = left.join(right, once & (F.array_min(F.array_intersect("all", "also")) == F.col("v"))).select("key", "other", "n", "m")
         pairs = met.where(fits).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if not pairs.count():
