@@ -4,15 +4,15 @@ Test items are short and documents long, so similarity is containment: the part
 shingles that the document holds. Items are partitioned by size (powers of two of their shingle count). For each
 partition a MinHash threshold is fixed: the largest of its items' s-th smallest shingle hashes, where s is the number
 of shingles an item can miss at the wanted containment, plus one. A document's sketch for a partition is its shingle
-hashes up to that threshold, and a document too small to hold enough of a partition's smallest item is not searched
-there. At least one of an item's s smallest hashes is in every document that contains enough of it, so the search
+hashes up to that threshold. At least one of an item's s smallest hashes is in every document that contains enough of it, so the search
 loses nothing; what it finds is then verified on all shingles, which the same pass has counted.
 
 Words are runs of letters, marks and digits in lower case. Defined cases: items and documents with fewer than `n`
-words (null and empty texts too) have no shingle and match nothing; repeated rows are judged each by itself and rows
-that share a doc_id share their verdict; a null doc_id is matched like any id; items with the same id are one item;
-other columns are ignored; an empty table gives no match. Hits are rare and counted per (document, item) with partial
-aggregation; no pairs of documents arise.
+words (null and empty texts too) have no shingle and match nothing; `matches` and `contaminated` answer by doc_id as
+the query's SQL does, where the rows of one doc_id (null is one too) are one document of all their shingles, while
+`decontaminate` judges every row by its own text whatever its id; items with the same id are one item; other columns
+are ignored; an empty table gives no match. Hits are rare and counted per (document, item) with partial aggregation;
+no pairs of documents arise.
 """
 
 from __future__ import annotations
@@ -50,18 +50,22 @@ def item_index(items: DataFrame, containment: float, n: int) -> DataFrame:
     return ready.join(parts, "part").select(F.explode("hs").alias("h"), "item_id", "need", "part", "threshold", "least", "last").select("h", "item_id", "need", "part", "threshold", "least", (F.col("h") <= F.col("last")).alias("in_sketch"))
 
 
-def matches(docs: DataFrame, items: DataFrame, containment: float = 0.8, n: int = 5) -> DataFrame:
-    """doc_id, item_id, n_common, need: the pairs in which the document contains the item."""
+def _matches(docs: DataFrame, key: Column, items: DataFrame, containment: float, n: int) -> DataFrame:
+    """key, item_id, n_common, need: the pairs in which the rows with the key contain the item."""
     index = cut(item_index(items, containment, n))
     if index.count() <= BROADCAST_ENTRIES:
         index = F.broadcast(index)
-    hashed = fresh(docs, "doc_id", "text").select("doc_id", _hashed_words(F.col("text")).alias("hw"))
+    hashed = docs.select(key.alias("key"), _hashed_words(docs["text"]).alias("hw"))
     # Repeats within a document are dropped by the hash aggregate on what matched, not by a set of all shingles here.
-    shingled = hashed.where(F.size("hw") >= n).select("doc_id", (F.size("hw") - n + 1).alias("n_doc"), F.explode(_shingles("hw", n)).alias("h"))
-    hit = shingled.join(index, "h").where(F.col("n_doc") >= F.col("least"))
-    per_hash = hit.groupBy("doc_id", "item_id", "h").agg(F.max("need").alias("need"), F.max(F.col("in_sketch") & (F.col("h") <= F.col("threshold"))).alias("found"))
-    per_pair = per_hash.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_common"), F.max("need").alias("need"), F.max("found").alias("found"))
-    return per_pair.where("found and n_common >= need").select("doc_id", "item_id", "n_common", "need")
+    hit = hashed.where(F.size("hw") >= n).select("key", F.explode(_shingles("hw", n)).alias("h")).join(index, "h")
+    per_hash = hit.groupBy("key", "item_id", "h").agg(F.max("need").alias("need"), F.max(F.col("in_sketch") & (F.col("h") <= F.col("threshold"))).alias("found"))
+    per_pair = per_hash.groupBy("key", "item_id").agg(F.count("*").alias("n_common"), F.max("need").alias("need"), F.max("found").alias("found"))
+    return per_pair.where("found and n_common >= need").select("key", "item_id", "n_common", "need")
+
+
+def matches(docs: DataFrame, items: DataFrame, containment: float = 0.8, n: int = 5) -> DataFrame:
+    """doc_id, item_id, n_common, need: the pairs in which the document contains the item."""
+    return _matches(docs, docs["doc_id"], items, containment, n).withColumnRenamed("key", "doc_id")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, n: int = 5) -> DataFrame:
@@ -69,8 +73,14 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, n:
     return matches(docs, items, containment, n).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits of the id and the text; rows equal in both have the same verdict."""
+    own = [docs["doc_id"].isNull(), docs["doc_id"], F.coalesce(docs["text"], F.lit(""))]
+    return F.struct(F.xxhash64(*own).alias("x"), F.xxhash64(F.lit(1), *own).alias("y"))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = 0.8, n: int = 5) -> DataFrame:
-    """`docs` without the documents that contain an item; all columns stay."""
-    bad = cut(contaminated(docs, items, containment, n).select(F.col("doc_id").alias("bad_id")))
+    """`docs` without the rows whose text contains an item; all columns stay."""
+    bad = cut(_matches(docs, _row_key(docs), items, containment, n).select("key").distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ENTRIES else bad
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    return docs.join(bad, _row_key(docs) == bad["key"], "left_anti")

@@ -96,6 +96,24 @@ def test_containment_border(spark):
     assert [r["doc_id"] for r in decontaminate.contaminated(docs, item).collect()] == [8]
 
 
+@pytest.mark.parametrize("entries", [0, 10**6])
+@pytest.mark.parametrize("shared", [None, 5])
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, monkeypatch, shared, entries):
+    """No row holds eight of the ten shingles but the third; the rest stay, though together they hold all."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ENTRIES", entries)
+    words = [f"w{i}" for i in range(14)]
+    item = [(1, " ".join(words))]
+    rows = [(shared, " ".join(words[:9])), (shared, " ".join(words[5:])), (shared, "x " + " ".join(words)), (shared, "clean " * 9), (shared, None), (6, "y " + " ".join(words))]
+    docs, items = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string"), spark.createDataFrame(item, "item_id long, text string")
+    left = decontaminate.decontaminate(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((r["text"] for r in left.collect()), key=repr) == sorted((rows[i][1] for i in (0, 1, 3, 4)), key=repr)
+    parts = docs.limit(2)
+    assert decontaminate.decontaminate(parts, items).count() == 2
+    ids = pd.DataFrame({"doc_id": pd.array([shared, shared], "Int64"), "text": [rows[0][1], rows[1][1]]})
+    same(decontaminate.contaminated(parts, items), oracle_sql()["op8_decontamination"], tables={"documents": ids, "benchmark": pd.DataFrame(item, columns=["item_id", "text"])})
+
+
 def test_without_broadcast(spark, docs, tables, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ENTRIES", 0)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
