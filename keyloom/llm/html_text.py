@@ -5,6 +5,11 @@ and passes them to its ancestors (all to the parent, half to the next, a sixth o
 points are discounted by the part of its text that stands in links. The container with most points is the article,
 together with the siblings that look like parts of it.
 
+Elements that are never the article by their tag, or are hidden, are dropped with all in them. A form, and a block whose
+role or a whole word of whose class or id is foreign, is dropped too, unless it wraps the page: it has the tagged article
+and none stands outside such blocks, or no tagged article stands outside and it has most of the points (a form half, a
+marked block nine tenths, comments all).
+
 Defined cases: null and empty pages give an empty text; a page cut off inside a tag, comment or script ends there;
 unknown tags are inline; rows are read each by itself, so repeated rows, null ids and urls need nothing; other columns
 are ignored; an empty table gives an empty result. Nothing is shuffled, and a task holds one batch of pages.
@@ -25,8 +30,8 @@ TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|
 NAMED = re.compile(r"""(class|id|role|style|aria-hidden|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|(?<![\w-])(hidden)(?![\w-])""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-DROPPED = RAW | frozenset("head nav header footer aside form button select svg math template dialog menu object canvas audio video map fieldset figcaption".split())
-BLOCKS = DROPPED | frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre address figure details summary center hgroup search".split())
+DROPPED = RAW | frozenset("head nav header footer aside button select svg math template dialog menu object canvas audio video map fieldset".split())
+BLOCKS = DROPPED | frozenset("html body main article section form div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre address figure figcaption details summary center hgroup search".split())
 #: Start tags that end an open paragraph or an open element of their own kind.
 ENDS_P = BLOCKS | {"hr"}
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -35,31 +40,71 @@ FENCE = frozenset("html body table ul ol dl article section main div td th block
 FOREIGN = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Of these, what readers write: it can outweigh an article.
+TALK = frozenset("comment comments commentlist disqus replies reply respond".split())
 FOREIGN_ROLES = frozenset("navigation banner complementary contentinfo search dialog alertdialog alert menu menubar toolbar form".split())
-WORDS = re.compile(r"[a-z]+")
+#: Ways to be foreign: by tag or hidden; and, unless they wrap the page, by a form, a mark or readers' talk.
+NEVER, FORM, MARKED, TALKED = 1, 2, 3, 4
+#: The part of the page's points over which a foreign block is a wrapper.
+WRAPS = {FORM: 0.5, MARKED: 0.9, TALKED: 0.999999}
+OWN_TEXT = frozenset("p pre li dd dt td th h1 h2 h3 h4 h5 h6 summary caption figcaption address".split())
 KEPT_HEADS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 
 
 class Page:
-    """Elements in order of their start: tag, parent, whether dropped; and the runs of text with their element."""
+    """Elements in order of their start: tag, parent, how foreign, whether dropped for good; and the runs of text with
+    their element."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.out = ["html"], [-1], [False]
+        self.tag, self.parent, self.foreign, self.out = ["html"], [-1], [0], [False]
         self.runs: list[tuple[int, str, int]] = []  # element, text, characters in links
 
 
-def _foreign(tag: str, attrs: str) -> bool:
+def _foreign(tag: str, attrs: str) -> int:
     if tag in DROPPED:
-        return True
+        return NEVER
+    found = FORM if tag == "form" else 0
     for m in NAMED.finditer(attrs):
         name, value = (m[1] or "hidden").lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in FOREIGN_ROLES:
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return NEVER
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and not FOREIGN.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+            return NEVER
+        if name == "role" and value in FOREIGN_ROLES:
+            found = max(found, FORM if value == "form" else MARKED)
+        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and (marks := FOREIGN.intersection(value.split())):
+            found = max(found, MARKED if marks.isdisjoint(TALK) else TALKED)
+    return found
+
+
+def _earned(tag: str, text: str) -> float:
+    return (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) if len(text) >= 25 and tag[0] != "h" else 0.0
+
+
+def settle(page: Page) -> None:
+    """Drops the foreign blocks that do not wrap the page, and the runs in them."""
+    n = len(page.tag)
+    if not any(f > NEVER for f in page.foreign):
+        return
+    inside, tagged, points = [False] * n, [False] * n, [0.0] * n
+    for i in range(n):
+        inside[i] = page.foreign[i] > NEVER or (page.parent[i] >= 0 and inside[page.parent[i]])
+    outside = False  # whether a tagged article with text stands outside all foreign blocks
+    for e, text, _ in page.runs:
+        earned, article, up = _earned(page.tag[e], text), False, e
+        while up >= 0:
+            if page.tag[up] in ("article", "main"):
+                article = True
+                outside = outside or not inside[up]
+            tagged[up] = tagged[up] or article
+            points[up] += earned
+            up = page.parent[up]
+    for i in range(n):
+        above = page.parent[i] >= 0 and page.out[page.parent[i]]
+        kind = page.foreign[i]
+        wraps = not outside and (tagged[i] or points[i] > WRAPS.get(kind, 1) * points[0])
+        page.out[i] = page.out[i] or above or kind > NEVER and not wraps
+    page.runs = [r for r in page.runs if not page.out[r[0]]]
 
 
 def parse(source: str) -> Page:
@@ -137,10 +182,12 @@ def parse(source: str) -> Page:
             if tag not in VOID:
                 page.tag.append(tag)
                 page.parent.append(stack[-1])
-                page.out.append(page.out[stack[-1]] or _foreign(tag, m[3]))
+                page.foreign.append(_foreign(tag, m[3]))
+                page.out.append(page.out[stack[-1]] or page.foreign[-1] == NEVER)
                 stack.append(len(page.tag) - 1)
                 link = 0
     flush()
+    settle(page)
     return page
 
 
@@ -153,8 +200,7 @@ def extract(source: str | None) -> str:
     points, chars, links = [0.0] * n, [0] * n, [0] * n
     for e, text, linked in page.runs:
         # A run directly in a container is a paragraph without a tag of its own; in p, li and the like it is the tag's.
-        own = page.tag[e] in ("p", "pre", "li", "dd", "dt", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "summary", "caption", "address")
-        earned = (1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)) if len(text) >= 25 and page.tag[e][0] != "h" else 0.0
+        own, earned = page.tag[e] in OWN_TEXT, _earned(page.tag[e], text)
         up, level = (page.parent[e] if own else e), 0
         while up >= 0:
             points[up] += earned / (1, 2)[level] if level < 2 else earned / (6 * (level - 1))

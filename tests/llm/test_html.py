@@ -24,6 +24,27 @@ def test_extract(page, text):
     assert extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f'<div class="layout has-sidebar"><article><p>{LONG}</p></article></div>', LONG),
+        (f'<div class="no-sidebar"><p>{LONG}</p></div>', LONG),
+        (f'<div id="content with-banner"><p>{LONG}</p></div>', LONG),
+        (f'<div class="sidebar"><article><p>{LONG}</p></article></div>', LONG),
+        (f'<div class="widget"><p>{LONG}</p><p>{LONG}</p></div><p>short</p>', f"{LONG}\n\n{LONG}\n\nshort"),
+        (f'<div id="comments"><p>{LONG}</p></div>', LONG),
+        (f'<div class="comments"><article><p>{LONG}</p><p>{LONG}</p></article></div><article><p>{LONG} x</p></article>', f"{LONG} x"),
+        (f'<article><p>{LONG} x</p></article><div class="cookie"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div>', f"{LONG} x"),
+        (f'<form id="page"><nav>{LONG}</nav><div class="ad"><p>{LONG}</p></div><div><p>{LONG} x</p><p>{LONG} y</p></div></form>', f"{LONG} x\n\n{LONG} y"),
+        (f'<form><main><p>{LONG}</p></main></form>', LONG),
+        (f"<article><p>{LONG}</p><figure><img src=a><figcaption>The caption</figcaption></figure></article>", f"{LONG}\n\nThe caption"),
+        (f'<div hidden><article><p>{LONG}</p></article></div><p>{LONG} x</p>', f"{LONG} x"),
+    ],
+)
+def test_wrappers_and_captions_stay(page, text):
+    assert extract(page) == text
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     got = extract_pages(pages).collect()
