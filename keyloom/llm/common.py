@@ -27,6 +27,12 @@ def fresh(df: DataFrame, *wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in wanted])
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of the id and the text; rows that are equal in both share it."""
+    own = [docs["doc_id"].isNull(), docs["doc_id"], F.coalesce(docs["text"], F.lit(""))]
+    return F.struct(F.xxhash64(*own).alias("x"), F.xxhash64(F.lit(1), *own).alias("y"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share; set here only where the cluster names none (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

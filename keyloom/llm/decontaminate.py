@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, fresh
+from keyloom.llm.common import cut, fresh, row_key
 
 #: An entry is four numbers; up to this many item shingles are broadcast (about 40 MB), beyond they are shuffled.
 BROADCAST_ENTRIES = 1_000_000
@@ -73,14 +73,8 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = 0.8, n:
     return matches(docs, items, containment, n).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
 
 
-def _row_key(docs: DataFrame) -> Column:
-    """128 bits of the id and the text; rows equal in both have the same verdict."""
-    own = [docs["doc_id"].isNull(), docs["doc_id"], F.coalesce(docs["text"], F.lit(""))]
-    return F.struct(F.xxhash64(*own).alias("x"), F.xxhash64(F.lit(1), *own).alias("y"))
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = 0.8, n: int = 5) -> DataFrame:
     """`docs` without the rows whose text contains an item; all columns stay."""
-    bad = cut(_matches(docs, _row_key(docs), items, containment, n).select("key").distinct())
+    bad = cut(_matches(docs, row_key(docs), items, containment, n).select("key").distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ENTRIES else bad
-    return docs.join(bad, _row_key(docs) == bad["key"], "left_anti")
+    return docs.join(bad, row_key(docs) == bad["key"], "left_anti")

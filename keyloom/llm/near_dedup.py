@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, fresh
+from keyloom.llm.common import cut, fresh, row_key
 from keyloom.llm.encoding import in_groups
 from keyloom.llm.routing import mixed, word_hashes
 
@@ -93,19 +93,19 @@ def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
 
 
 def described(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, key (of the set), sketch for every row."""
+    """doc_id, row (its `row_key`), n_shingles, key (of the set), sketch for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, key, sketch = [], [], []
-            for s in _sets(batch.column(1), n):
+            for s in _sets(batch.column(2), n):
                 size.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sketch.append(s[:k].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "key", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "row", "n_shingles", "key", "sketch"])
 
-    own = fresh(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_shingles long, key binary, sketch binary")
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("row"), docs["text"].cast("binary").alias("text"))
+    return own.mapInArrow(run, "doc_id long, row struct<x: bigint, y: bigint>, n_shingles long, key binary, sketch binary")
 
 
 def keyed_texts(docs: DataFrame, n: int) -> DataFrame:
@@ -247,10 +247,11 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.8, k: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of `docs`."""
+def _placed(docs: DataFrame, n: int, t: float, k: int) -> DataFrame:
+    """doc_id, row, n_shingles and least (the doc_id and row of its component's first row, null ids last) for every
+    row of `docs`."""
     rows = cut(described(docs, n, k))
-    classes = cut(rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
+    classes = cut(rows.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
     entries = cut(lists(classes, k, t))
     texts = cut(only(keyed_texts(docs, n), cut(entries.select("key").distinct())).groupBy("key").agg(F.first("body").alias("body")))
     links = tested = None
@@ -281,19 +282,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.8, k: int = 64) ->
         if found.count():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-    ids = classes.select("key", "least_id")
+    ids = classes.select("key", "least")
     if labels is not None:
         linked = labels.join(ids, "key")
-        smallest = linked.groupBy("label").agg(F.min("least_id").alias("id"))
-        ids = ids.join(linked.join(smallest, "label").select("key", "id"), "key", "left").select("key", F.coalesce("id", "least_id").alias("least_id"))
-    placed = rows.select("doc_id", "n_shingles", "key").join(ids, "key", "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("least_id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+        smallest = linked.groupBy("label").agg(F.min("least").alias("first"))
+        ids = ids.join(linked.join(smallest, "label").select("key", "first"), "key", "left").select("key", F.coalesce("first", "least").alias("least"))
+    return rows.select("doc_id", "row", "n_shingles", "key").join(ids, "key", "left").select("doc_id", "row", "n_shingles", "least")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.8, k: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of `docs`."""
+    own = F.when(F.col("n_shingles") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    return _placed(docs, n, t, k).select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
 def dedup(docs: DataFrame, n: int = 5, t: float = 0.8, k: int = 64) -> DataFrame:
-    """`docs` without the documents whose component has a smaller id; all columns stay. A row without an id cannot be
-    told from others by one and stays."""
-    gone = cut(near_duplicates(docs, n, t, k).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone_id")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    """One row of each component, the one of the smallest id (null ids last), and all rows without a shingle; all
+    columns stay. Every row is judged by its own text; of rows that are equal in id and text the smallest is kept."""
+    verdict = cut(_placed(docs, n, t, k).where("n_shingles > 0").select("row", (F.col("row") == F.col("least.row")).alias("first")))
+    gone = cut(verdict.where("not first").select("row").distinct())
+    twice = cut(verdict.where("first").groupBy("row").count().where("count > 1").select("row"))
+    near = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    if not twice.count():
+        gone = near(gone)
+        return docs.join(gone, row_key(docs) == gone["row"], "left_anti")
+    out, again = near(gone.unionByName(twice)), near(twice)
+    once = docs.join(again, row_key(docs) == again["row"], "left_semi").groupBy(row_key(docs)).agg(F.min(F.struct(*[docs[f"`{c}`"] for c in docs.columns])).alias("whole"))
+    return docs.join(out, row_key(docs) == out["row"], "left_anti").unionByName(once.select("whole.*"))

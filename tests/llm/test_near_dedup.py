@@ -33,6 +33,19 @@ def test_dedup_keeps_one_of_each(spark, rows):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, _, _, kept in brute(own, 5) if kept)
 
 
+def test_dedup_judges_rows_of_one_id_by_themselves(spark):
+    """A shared id, equal rows and null ids: one row of each group stays, and what has no copy is never lost."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "p"), (7, a, "q"), (7, b, "q"), (8, c, "s"), (8, c, "r"), (8, c + ".", "t"), (None, a, "u"), (None, "zz top qq", "w"), (None, "zz top qq", "v"), (None, None, "x"), (None, "", "y"), (9, "", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    left = near_dedup.dedup(df)
+    assert left.columns == df.columns
+    got = sorted((tuple(r) for r in left.collect()), key=repr)
+    eights = [r for r in got if r[0] == 8]
+    assert len(eights) == 1 and eights[0] in [(8, c, "r"), (8, c + ".", "t")]
+    assert [r for r in got if r[0] != 8] == sorted([(1, a, "p"), (7, b, "q"), (None, "zz top qq", "v"), (None, None, "x"), (None, "", "y"), (9, "", "z")], key=repr)
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40) if i != 20] + [(bytes([90]), bytes([90]))], "a binary, b binary")
     got = {bytes(r["key"])[0]: bytes(r["label"])[0] for r in near_dedup.components(links).collect()}
