@@ -177,7 +177,7 @@ def lists(classes: DataFrame, k: int, t: float) -> DataFrame:
 def _estimate(k: int, t: float):
     """Keeps the pairs whose sketches do not exclude the similarity: the union's k smallest values are a sample of
     the union, and those in both sketches a sample of the intersection."""
-    least = t - 5 * math.sqrt(t * (1 - t) / k)
+    least = t - 6 * math.sqrt(t * (1 - t) / k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from keyloom.llm import near_dedup
@@ -46,6 +48,14 @@ def test_dedup_judges_rows_of_one_id_by_themselves(spark):
     assert [r for r in got if r[0] != 8] == sorted([(1, a, "p"), (7, b, "q"), (None, "zz top qq", "v"), (None, None, "x"), (None, "", "y"), (9, "", "z")], key=repr)
 
 
+def test_estimate_keeps_six_deviations():
+    """The sample may hold 32 common values of 64 for a similarity of 0.8, as the inverted lists allow, and not 31."""
+    made = lambda common: [np.sort(np.r_[np.arange(common), np.arange(100 + x, 300, 2)])[:64].astype("<u8").tobytes() for x in (0, 1)]
+    a, b = zip(made(32), made(31))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"32", b"31"]), pa.array([b"x", b"y"]), pa.array(a), pa.array(b)], ["a", "b", "sketch_a", "sketch_b"])
+    assert [x for out in near_dedup._estimate(64, 0.8)([batch]) for x in out.column(0).to_pylist()] == [b"32"]
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40) if i != 20] + [(bytes([90]), bytes([90]))], "a binary, b binary")
     got = {bytes(r["key"])[0]: bytes(r["label"])[0] for r in near_dedup.components(links).collect()}
