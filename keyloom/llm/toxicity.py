@@ -137,7 +137,7 @@ class Types:
         return all_cols[at], np.repeat(np.arange(len(types)), n)
 
 
-def distant_labels(types: Types, docs: list[np.ndarray], toxic: np.ndarray, share: float = 0.03, least: int = 4, purity: float = 0.95) -> np.ndarray:
+def distant_labels(types: Types, docs: list[np.ndarray], toxic: np.ndarray, share: float = 0.02, least: int = 4, purity: float = 0.95) -> np.ndarray:
     """Which features mark a toxic token: those in at least `share` of the toxic documents, between as many different
     pairs of neighbours (near copies repeat a word between the same ones), and in clean documents so rarely that
     `purity` of the prior-weighted documents with them are toxic."""

@@ -22,6 +22,13 @@ def test_marginals():
         assert np.allclose(got, np.log(weight[:, 1] / weight[:, 0])) if len(x) else len(got) == 0
 
 
+def test_a_word_of_a_fortieth_of_the_toxic_documents_marks():
+    types = toxicity.Types()
+    docs = [types.read(f"a{i} {'slur' if i < 25 else 'plain'} b{i}") for i in range(1000)] + [types.read(f"c{i} plain d{i}") for i in range(1000)]
+    marks = toxicity.distant_labels(types, docs, np.repeat([1.0, 0.0], 1000))
+    assert marks[types.names["=slur"]] and not marks[types.names["=plain"]]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, sf):
     d = f"{sf}/../sf0.01"
