@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,20 +37,41 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; set here only where the cluster names none (tests)."""
+    """A folder of this application in the one all machines share, `spark.checkpoint.dir`. Where that is not set, a
+    local session takes a folder of its machine; a cluster is refused, since its executors would not see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "/tmp/checkpoints/keyloom"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        where = "/tmp/checkpoints"
+    return f"{where}/keyloom-{spark.sparkContext.applicationId}"
+
+
+def unique_path(spark: SparkSession, kind: str) -> str:
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: no lineage before it is kept, any executor can read it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the shared folder and read back: no lineage before it is kept, any executor can read it, and its
+    size is known to the plans that follow."""
+    path = unique_path(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unique_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+def drop(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes what this application's operators have written to the shared folder; results that were not written
+    elsewhere cannot be read any more. For the end of a job."""
+    drop(spark, shared_dir(spark))
+
+
+def released() -> None:
+    """Gives freed memory of a Python worker back, since workers live on and later stages need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

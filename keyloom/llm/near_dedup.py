@@ -1,20 +1,28 @@
 """Near-duplicate documents by bottom-k MinHash sketches.
 
 One hash function gives every word shingle a number; a document's sketch is its `k` smallest numbers. Documents with
-equal sets are one class, and only classes are compared. Each class enters the inverted lists of its rarest retained
-values, as many as must include a common one: two sets that reach the similarity share at least `_common` retained
-values (surely when the sketches hold the whole sets, else but for a chance of six standard deviations), so of `s`
-values the `s - common + 1` rarest suffice, rarest over the corpus, and a value of many unlike documents opens no list.
-
-Lists are not turned into all pairs. In two turns each list with several components is compared with three leaders of
-it; what is linked grows together and is not compared again; at last the pairs of a list that are still in different
-components and untested are compared one with one, so that no link between components is lost. A pair passes an
-estimate from the union of both sketches, then the exact similarity of the full sets decides.
+equal sets are one class, and only classes are compared.
+
+Inverted lists. Each class enters the lists of its rarest retained values among its `g` smallest. Two sets that reach
+the similarity share at least `shared` of these (surely for sets whose difference cannot push more of them out, else but
+for a chance of 1e-9 at the very threshold), so all but the `shared - 1` most frequent ones suffice, by frequency in the
+corpus. `exact=True` retains whole sets, which leaves nothing to chance.
+
+Lists are not turned into all pairs. Every list has a leader, the member whose values are the most frequent, and each
+member meets the leader of its list where both share enough values. Such a pair passes an estimate from the union of
+both sketches, then the exact similarity of the full sets decides, and linked classes grow together. A list that still
+holds several components is finished by its length. Of up to `SHORT` members those of different components are compared
+on their retained values within the list, and only what passes goes on. A longer list is dealt anew into smaller ones,
+with the leader L for a measure: sets A and B have at most min(|A & L|, |B & L|) values of L in common, so unless that
+reaches what the similarity asks for (few pairs, found by their sizes), they share a value outside L, and the new lists
+are those of the values outside L. For members near L whole sets are taken, for those with too few of L's retained
+values the retained ones. Pairs in which both are linked with L are never made. The new lists are treated alike, each
+without the leader of the one it comes from, so this ends.
 
 Defined cases: null texts and texts without words have no shingle, no link and their own id as component; fewer words
 than a shingle has make one shingle; equal texts are linked; rows that share a doc_id stand for themselves and may be
-in different components; a null doc_id links like any but is never a component's id unless all its ids are null; other
-columns are ignored; an empty table gives an empty result.
+in different components; a null doc_id links like any but is never a component's id unless all its ids are null; a
+doc_id may be of any type with an order; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,21 +31,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, fresh, row_key
+from keyloom.llm.common import cut, fresh, released, row_key
 from keyloom.llm.encoding import in_groups
 from keyloom.llm.routing import mixed, word_hashes
 
 #: Up to so many ids or 16-byte keys are broadcast (about 100 MB at most in memory); beyond, joins shuffle.
 BROADCAST_KEYS = 500_000
-CHUNK = 16_384  # sketches in a task at a time
-TURNS, LEADERS = 2, 3  # turns with leaders, and how many leaders a list has in each
+SHORT = 64  # members of a list that are compared within it
+WHOLE = 1 << 30  # retained values of the exact option
+CHANCE = 1e-9  # that two sets at the threshold share too few retained values
 _U = np.uint64
 
 
@@ -72,22 +80,32 @@ def _fold(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def needed(a: int, b: int, t: float) -> bool:
-    """Whether sets of these sizes can reach the similarity."""
-    return min(a, b) >= round(t * max(a, b), 9)
+def likely_common(g: int, t: float) -> int:
+    """Values of a sample of `g` from the union that lie in both sets, but for CHANCE, at similarity `t`."""
+    if g >= WHOLE:
+        return 0
+    tail = 0.0
+    for c in range(g + 1):
+        tail += math.comb(g, c) * t**c * (1 - t) ** (g - c)
+        if tail > CHANCE:
+            return max(1, c)
+    return g
+
+
+def shared(size: Column, g: int, t: float) -> Column:
+    """Retained values that a set of this size shares at least with a similar one. While `g` exceeds what lies outside
+    the intersection, that is a certain bound; sets within `t * g` are whole in both sketches."""
+    whole = F.ceil(F.round(size * t, 9))
+    sure = F.least(whole, F.lit(g) - F.floor(F.round(size * ((1 - t) / t), 9)))
+    return F.when(size <= t * g, whole).otherwise(F.greatest(F.lit(likely_common(g, t)), sure)).cast("int")
 
 
-def _common(size: int, k: int, t: float) -> int:
-    """Retained values that two similar sets share at least, seen from a sketch of `size` values. Up to `t * k` of
-    them, the other set's sketch is whole too."""
-    if size <= t * k:
-        return math.ceil(round(t * size, 9))
-    return max(1, math.floor(k * t - 6 * math.sqrt(k * t * (1 - t))))
+def _fits(a: Column, b: Column, t: float) -> Column:
+    return F.least(a, b) >= F.round(F.lit(t) * F.greatest(a, b), 9)
 
 
-def _sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sets of a column of texts, about two million bytes of them at a time."""
-    texts = [t or b"" for t in column.to_pylist()]
+def _sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    """The sets of the texts, about two million bytes of them at a time."""
     for a, b in in_groups(texts, 2_000_000):
         yield from shingles(texts[a:b], n)
 
@@ -98,202 +116,315 @@ def described(docs: DataFrame, n: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, key, sketch = [], [], []
-            for s in _sets(batch.column(2), n):
+            for s in _sets([t or b"" for t in batch.column(2).to_pylist()], n):
                 size.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                sketch.append(s[:k].astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "row", "n_shingles", "key", "sketch"])
+                sketch.append(s[:k].view(np.int64))
+            flat = np.concatenate(sketch) if sketch else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sketch])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "row", "n_shingles", "key", "sketch"])
+        released()
 
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs).alias("row"), docs["text"].cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, row struct<x: bigint, y: bigint>, n_shingles long, key binary, sketch binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    own = docs.select(docs["doc_id"].alias("doc_id"), row_key(docs).alias("row"), docs["text"].cast("binary").alias("text"))
+    return own.mapInArrow(run, f"doc_id {kind}, row struct<x: bigint, y: bigint>, n_shingles long, key binary, sketch array<bigint>")
 
 
-def keyed_texts(docs: DataFrame, n: int) -> DataFrame:
-    """key, n_shingles, body (the compressed text) for every row with a shingle."""
+def near(rows: DataFrame) -> DataFrame:
+    """A written table, for a join: broadcast while it is small."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            key, body = [], []
-            for text, s in zip(batch.column(0), _sets(batch.column(0), n)):
-                raw = text.as_py() or b""
-                if len(s):
-                    key.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    body.append(zip_.compress(raw))
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(body, pa.binary())], ["key", "body"])
-
-    return fresh(docs, "text").select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "key binary, body binary")
-
-
-def lists(classes: DataFrame, k: int, t: float) -> DataFrame:
-    """v, key, n: each class with those of its rarest retained values that another class has too. Chunks ask buckets
-    how often a value occurs; a message holds a chunk's values for a bucket, so a frequent value is one entry a chunk."""
-    many = max(1, math.ceil(classes.count() / CHUNK))
-    dealt = classes.select("key", F.col("n_shingles").alias("n"), "sketch", F.pmod(F.xxhash64("key"), F.lit(many)).alias("chunk"))
-    message = "chunk long, part long, data binary"
-
-    def asked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-        u, count = np.unique(np.frombuffer(b"".join(pdf["sketch"]), "<u8"), return_counts=True)
-        order = np.argsort(u % _U(many), kind="stable")
-        u, count = u[order], count[order]
-        part = (u % _U(many)).astype(np.int64)
-        at = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-        return u, count, list(zip(at, [*at[1:], len(u)]))
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, count, cuts = asked(pdf)
-        chunk = int(pdf["chunk"].iloc[0])
-        return pd.DataFrame([(chunk, int(u[a] % _U(many)), u[a:b].astype("<u8").tobytes() + count[a:b].astype("<u4").tobytes()) for a, b in cuts], columns=["chunk", "part", "data"])
-
-    def tell(pdf: pd.DataFrame) -> pd.DataFrame:
-        raw = pdf["data"].tolist()
-        size = np.array([len(r) // 12 for r in raw])
-        v = np.concatenate([np.frombuffer(r, "<u8", s) for r, s in zip(raw, size)])
-        c = np.concatenate([np.frombuffer(r, "<u4", s, 8 * s) for r, s in zip(raw, size)])
-        place = np.unique(v, return_inverse=True)[1]
-        total = np.minimum(np.bincount(place, c), 2**32 - 1).astype("<u4")[place]
-        return pd.DataFrame({"chunk": pdf["chunk"], "part": pdf["part"], "data": [x.tobytes() for x in np.split(total, np.cumsum(size)[:-1])]})
-
-    def choose(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame(columns=["v", "key", "n"])
-        u, _, cuts = asked(pdf)
-        got = dict(zip(replies["part"].tolist(), replies["data"].tolist()))
-        total = np.concatenate([np.frombuffer(got[int(u[a] % _U(many))], "<u4") for a, _ in cuts])
-        order = np.argsort(u)
-        u, total = u[order], total[order]
-        rows = []
-        for key, n, sketch in zip(pdf["key"], pdf["n"], pdf["sketch"]):
-            v = np.frombuffer(sketch, "<u8")
-            count = total[np.searchsorted(u, v)]
-            first = np.argsort(count, kind="stable")[: len(v) - _common(len(v), k, t) + 1]  # ties: by value
-            rows += [(x, key, n) for x in v[first][count[first] > 1].astype(np.int64).tolist()]
-        return pd.DataFrame(rows, columns=["v", "key", "n"])
-
-    told = dealt.groupBy("chunk").applyInPandas(ask, message).groupBy("part").applyInPandas(tell, message)
-    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(choose, "v long, key binary, n long")
+
+def lists(classes: DataFrame, g: int, t: float) -> DataFrame:
+    """v, cid, n, least (values shared with a similar set), weight, sk (the retained values), open: each class with
+    those of its rarest retained values that another class has too."""
+    values = classes.select("cid", F.explode(F.slice("sketch", 1, g)).alias("v"))
+    often = cut(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
+    ranked = values.join(near(often), "v").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ranked"), F.sum("df").alias("weight"))
+    # The values that only this class has are the rarest; what is left of the prefix are the first of the others.
+    take = F.greatest(F.size("ranked") - F.col("least") + 1, F.lit(0))
+    own = classes.select("cid", F.col("n_shingles").alias("n"), shared(F.col("n_shingles"), g, t).alias("least"), F.slice("sketch", 1, g).alias("sk"))
+    both = ranked.join(own, "cid").select("cid", "n", "least", (F.col("weight") / F.size("sk")).alias("weight"), "sk", F.slice("ranked.v", 1, take).alias("vs"))
+    return both.select(F.explode("vs").alias("v"), "cid", "n", "least", "weight", "sk", F.lit(True).alias("open"))
+
+
+def leaders(entries: DataFrame) -> DataFrame:
+    """v, m (members), lead: the lists with two members or more."""
+    lead = F.max_by(F.struct("cid", "n", "least", "sk"), F.struct("weight", "cid"))
+    return entries.groupBy("v").agg(F.count("*").alias("m"), lead.alias("lead")).where("m > 1")
 
 
 def _estimate(k: int, t: float):
     """Keeps the pairs whose sketches do not exclude the similarity: the union's k smallest values are a sample of
     the union, and those in both sketches a sample of the intersection."""
-    least = t - 6 * math.sqrt(t * (1 - t) / k)
+    least = likely_common(k, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            (da, oa), (db, ob) = ((c.values.to_numpy(zero_copy_only=False).view(_U), c.offsets.to_numpy()) for c in (batch.column("sketch_a"), batch.column("sketch_b")))
             keep = []
-            for sa, sb in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_py(), "<u8") for x in (sa, sb))
+            for i in range(batch.num_rows):
+                a, b = da[oa[i] : oa[i + 1]], db[ob[i] : ob[i + 1]]
                 union = np.union1d(a, b)
-                union = union[:k] if max(len(a), len(b)) >= k else union
                 both = np.intersect1d(a, b, assume_unique=True)
-                keep.append(np.searchsorted(both, union[-1], side="right") >= least * len(union))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if max(len(a), len(b)) < k:  # whole sets
+                    keep.append(len(both) >= round(t * len(union), 9))
+                else:
+                    keep.append(np.searchsorted(both, union[:k][-1], side="right") >= least)
+            yield batch.select(["a", "b", "long"]).filter(pa.array(keep, pa.bool_()))
+        released()
 
     return run
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    zip_ = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        body = [zip_.compress(t or b"") for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], ["cid", "body"])
+
+
 def _verify(n: int, t: float):
+    """common and linked for every pair; for those of long lists also what `a` has and `b` has not."""
     percent = round(t * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip, known = zstandard.ZstdDecompressor(), {}
-
-        def full(key: bytes, body: pa.Scalar) -> np.ndarray:
-            if key not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[key] = shingles([unzip.decompress(body.as_py())], n)[0]
-            return known[key]
-
+        unzip = zstandard.ZstdDecompressor()
+        known: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            keep = []
-            for a, b, x, y in zip(*(batch.column(i) for i in range(4))):
-                p, q = full(a.as_py(), x), full(b.as_py(), y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(1_000_000 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [part.column(c).to_pylist() for c in (0, 1)]
+                new: dict[int, bytes] = {}
+                if held > 4_000_000:  # values of sets kept for the next pairs
+                    known, held = {}, 0
+                for own, bodies in zip(ids, (part.column(3), part.column(4))):
+                    for i, x in enumerate(own):
+                        if x not in known and x not in new:
+                            new[x] = unzip.decompress(bodies[i].as_py())
+                for x, s in zip(new, _sets(list(new.values()), n)):
+                    known[x] = s
+                    held += len(s)
+                common, linked, more = [], [], []
+                for a, b, long in zip(*ids, part.column(2).to_pylist()):
+                    p, q = known[a], known[b]
+                    if len(p) and len(q):
+                        inside = q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
+                        both = int(inside.sum())
+                    else:
+                        inside, both = np.zeros(len(p), bool), 0
+                    common.append(both)
+                    linked.append(1_000_000 * both >= percent * (len(p) + len(q) - both))
+                    more.append(p[~inside].view(np.int64) if long else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(more, pa.list_(pa.int64()))], ["a", "b", "long", "common", "linked", "more"])
+        released()
 
     return run
 
 
-def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """`rows` whose key is among `keys` (a written table of distinct keys)."""
-    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "key", "left_semi")
+def within(t: float):
+    """Pairs (a, b) of short lists that share enough retained values, lie in different components and have an open
+    member; the lists come one after the other."""
 
+    def pairs_of(cid, n, least, label, open_, values, ends):
+        m = len(cid)
+        flat = np.unique(values, return_inverse=True)[1]
+        has = np.zeros((m, int(flat.max()) + 1), np.float32)
+        has[np.repeat(np.arange(m), np.diff(ends)), flat] = 1
+        both = has @ has.T
+        small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
+        ok = (both >= np.maximum(least[:, None], least)) & (label[:, None] != label) & (open_[:, None] | open_) & (small >= np.round(t * large, 9))
+        i, j = np.nonzero(np.triu(ok, 1))
+        return cid[i], cid[j]
 
-def _joined(pairs: DataFrame, facts: DataFrame, column: str) -> DataFrame:
-    side = lambda x: facts.select(F.col("key").alias(x), F.col(column).alias(f"{column}_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", f"{column}_a", f"{column}_b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def found(table: pa.Table) -> pa.RecordBatch:
+            cols = [table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("v", "cid", "n", "least", "label", "open")]
+            sk = table.column("sk").combine_chunks()
+            sk = sk if isinstance(sk, pa.ListArray) else sk.chunk(0)
+            values, offsets = sk.values.to_numpy(zero_copy_only=False), sk.offsets.to_numpy()
+            v = cols[0]
+            at = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [len(v)]])
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist()):
+                i, j = pairs_of(*(c[x:y] for c in cols[1:]), values[offsets[x] : offsets[y]], offsets[x : y + 1])
+                left.append(i)
+                right.append(j)
+            a, b = np.concatenate(left), np.concatenate(right)
+            ends = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], ["a", "b"])
 
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table]).combine_chunks()
+            v = table.column("v").to_numpy()
+            last = int(np.searchsorted(v != v[-1], False)) if len(v) and (v == v[-1]).all() else int(np.flatnonzero(v != v[-1])[-1]) + 1 if len(v) else 0
+            if last:
+                yield found(table.slice(0, last))
+            rest = table.slice(last)
+        if rest is not None and rest.num_rows:
+            yield found(rest)
+        released()
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct())
+    return run
 
 
 def components(links: DataFrame) -> DataFrame:
     """key, label: the smallest key reachable over the links (a, b). In each round every node goes to its smallest
-    neighbour, the links follow, and links within a node fall away; only tables are kept, never a collected list."""
+    neighbour, the links follow, and links within a node fall away; only written tables are kept, never a collected
+    list, and their sizes are known, so plans stay small however many rounds it takes."""
     ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).distinct()
     labels = cut(ends.select("key", F.col("key").alias("label")))
     edges = cut(links.select("a", "b").where("a <> b").distinct())
-    while edges.count():
+    while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = cut(both.where("b < a").groupBy("a").agg(F.min("b").alias("to")))
-        near = F.broadcast(step) if step.count() <= BROADCAST_KEYS else step
-        move = lambda df, c: df.join(near.select(F.col("a").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: E731, B023
+        step = near(cut(both.where("b < a").groupBy("a").agg(F.min("b").alias("to"))))
+        move = lambda df, c: df.join(step.select(F.col("a").alias(c), "to"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")  # noqa: E731, B023
         labels = cut(move(labels, "label"))
         edges = cut(move(move(edges, "a"), "b").where("a <> b").distinct())
     return labels
 
 
-def _placed(docs: DataFrame, n: int, t: float, k: int) -> DataFrame:
+class Search:
+    """The links between classes; `links` and `tested` grow as pairs are judged."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, t: float, k: int, g: int):
+        self.docs, self.classes, self.n, self.t, self.k, self.g = docs, classes, n, t, k, g
+        self.links: DataFrame | None = None
+        self.tested: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def labelled(self, entries: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return entries.withColumn("label", F.col("cid"))
+        return entries.join(near(self.labels.withColumnRenamed("key", "cid")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+    def bodies(self, pairs: DataFrame) -> DataFrame:
+        """cid, body (the compressed text) of the classes in the pairs: a text once, found by its row."""
+        wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        rep = cut(self.classes.join(wanted, "cid").select("cid", F.col("first.row").alias("_row")))
+        own = self.docs.select(row_key(self.docs).alias("_row"), self.docs["text"].cast("binary").alias("body"))
+        found = own.join(near(rep), "_row").select("cid", "body").mapInArrow(_compressed, "cid long, body binary")
+        return cut(found.dropDuplicates(["cid"]))
+
+    def judge(self, pairs: DataFrame) -> DataFrame | None:
+        """a, b, long, common, linked, more for the pairs (a, b, long, sure) that are not excluded; `sure` ones are
+        judged in any case. Notes the links."""
+        pairs = cut(pairs)
+        if pairs.isEmpty():
+            return None
+        ends = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        self.tested = ends if self.tested is None else self.tested.unionByName(ends)
+        side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("sketch").alias(f"sketch_{x}"))
+        drawn = pairs.where("not sure").join(side("a"), "a").join(side("b"), "b").select("a", "b", "long", "sketch_a", "sketch_b")
+        likely = cut(drawn.mapInArrow(_estimate(self.k, self.t), "a long, b long, long boolean").unionByName(pairs.where("sure").select("a", "b", "long")))
+        texts = self.bodies(likely)
+        body = lambda x: texts.select(F.col("cid").alias(x), F.col("body").alias(f"body_{x}"))
+        whole = likely.join(body("a"), "a").join(body("b"), "b").select("a", "b", "long", "body_a", "body_b")
+        judged = cut(whole.mapInArrow(_verify(self.n, self.t), "a long, b long, long boolean, common long, linked boolean, more array<bigint>"))
+        found = judged.where("linked").select("a", "b")
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.labels = components(self.links)
+        return judged
+
+    def untested(self, pairs: DataFrame) -> DataFrame:
+        if self.tested is None:
+            return pairs
+        done = self.tested.distinct()
+        return pairs.join(done, (F.least(pairs["a"], pairs["b"]) == done["a"]) & (F.greatest(pairs["a"], pairs["b"]) == done["b"]), "left_anti")
+
+    def run(self) -> DataFrame | None:
+        entries, first = cut(lists(self.classes, self.g, self.t)), True
+        while not entries.isEmpty():
+            entries, first = self.turn(entries, first), False
+        return self.labels
+
+    def turn(self, entries: DataFrame, first: bool) -> DataFrame:
+        """Judges what the lists give; the lists that longer ones are dealt into."""
+        leads = cut(leaders(entries))
+        met = cut(
+            entries.join(leads, "v").where(F.col("cid") != F.col("lead.cid"))
+            .select("cid", "n", "least", (F.col("m") > SHORT).alias("long"), F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.least").alias("lead_least"), F.size(F.array_intersect("sk", "lead.sk")).alias("both"))
+        )
+        fits = _fits(F.col("n"), F.col("lead_n"), self.t) & (F.col("both") >= F.greatest("least", "lead_least"))
+        near_lead = F.col("long") & (F.col("both") >= F.col("least"))
+        pairs = met.where(fits | near_lead).groupBy(F.col("cid").alias("a"), F.col("lead").alias("b")).agg(F.max("long").alias("long"))
+        # In long lists every member near the leader is judged exactly: its values outside the leader are needed.
+        stars = self.judge(pairs.where("long").withColumn("sure", F.lit(True)).unionByName(self.untested(pairs.where("not long")).withColumn("sure", F.lit(False))))
+        now = self.labelled(entries.join(leads.where("m > 2"), "v"))
+        several = now.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("open").alias("some")).where("low <> high and some")
+        left = cut(now.join(several.select("v"), "v", "left_semi"))
+        short = left.where(F.col("m").between(3, SHORT)).select("v", "cid", "n", "least", "label", "open", "sk")
+        pairs = short.repartition("v").sortWithinPartitions("v").mapInArrow(within(self.t), "a long, b long").distinct()
+        long = left.where(F.col("m") > SHORT)
+        if long.isEmpty() or stars is None:
+            self.judge(self.untested(pairs).select("a", "b", F.lit(False).alias("long"), F.lit(False).alias("sure")))
+            if long.isEmpty():
+                return entries.limit(0)
+        by_size, dealt = self.dealt(long, stars, first)
+        self.judge(self.untested(pairs.unionByName(by_size).distinct()).select("a", "b", F.lit(False).alias("long"), F.lit(False).alias("sure")))
+        again = self.labelled(dealt)
+        keep = again.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("open").alias("some")).where("low <> high and some")
+        return cut(dealt.join(keep.select("v"), "v", "left_semi"))
+
+    def dealt(self, long: DataFrame, stars: DataFrame | None, first: bool) -> tuple[DataFrame, DataFrame]:
+        """Of long lists that hold several components: pairs whose sizes alone allow the similarity, and new lists."""
+        t, share = self.t, self.t / (1 + self.t)
+        both = F.size(F.array_intersect("sk", "lead.sk"))
+        far = (both < F.col("least")).alias("far")
+        members = cut(long.where(F.col("cid") != F.col("lead.cid")).select("v", "cid", "n", "least", "weight", "sk", "open", "label", F.col("lead.cid").alias("lead"), F.col("lead.sk").alias("lead_sk"), far))
+        # Far from the leader: a similar set shares a retained value that the leader has not. In the first turn all are
+        # open, and a far member is enough for a pair; later the open one may be the other.
+        some_far = members.groupBy("v").agg(F.max("far").alias("some")).where("some")
+        apart = members.join(some_far.select("v"), "v", "left_semi").select("v", "cid", "n", "least", "weight", "sk", (F.col("open") & (F.col("far") | F.lit(not first))).alias("open"), F.explode(F.array_except("sk", "lead_sk")).alias("x"))
+        apart = apart.withColumn("v", F.xxhash64(F.lit(1), "v", "x")).drop("x")
+        none = long.sparkSession.createDataFrame([], "a long, b long")
+        if stars is None:
+            return none, cut(apart)
+        # Near it: common and more are known from the full sets. Of a pair in two components one at least
+        # is not linked with the leader; those are open.
+        home = self.labelled(members.select(F.col("lead").alias("cid")).distinct()).select(F.col("cid").alias("lead"), F.col("label").alias("home"))
+        star = members.where("not far").groupBy("lead", "cid").agg(*[F.any_value(c).alias(c) for c in ("n", "least", "weight", "sk", "label")])
+        star = star.join(home, "lead").withColumn("open", F.col("label") != F.col("home"))
+        star = star.join(stars.where("long").select(F.col("b").alias("lead"), F.col("a").alias("cid"), "common", "more"), ["lead", "cid"])
+        star = cut(star.join(star.where("open").select("lead").distinct(), "lead", "left_semi"))
+        beyond = star.select("lead", "cid", "n", "least", "weight", "sk", "open", F.explode("more").alias("x")).withColumn("v", F.xxhash64(F.lit(0), "lead", "x")).drop("lead", "x")
+        # Without a common value outside the leader: least(common) >= share * (n + m), so the other's size is under a bound.
+        top = F.floor(F.col("common") / share - F.col("n") + 1e-9)
+        low = F.ceil(F.round(t * F.col("n"), 9))
+        sized = star.where("open").select("lead", F.col("cid").alias("a"), "n", F.col("common").alias("ca"), F.col("label").alias("la"), F.explode(F.when(top >= low, F.sequence(low, top))).alias("m"))
+        other = star.select("lead", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("common").alias("cb"), F.col("label").alias("lb"))
+        meets = sized.join(other, ["lead", "m"]).where((F.col("la") != F.col("lb")) & (F.col("cb") >= F.round(share * (F.col("n") + F.col("m")), 9)) & _fits(F.col("n"), F.col("m"), t))
+        return meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), cut(apart.select(*beyond.columns).unionByName(beyond))
+
+
+def _placed(docs: DataFrame, n: int, t: float, k: int, exact: bool = False) -> DataFrame:
     """doc_id, row, n_shingles and least (the doc_id and row of its component's first row, null ids last) for every
     row of `docs`."""
+    k, g = (WHOLE, WHOLE) if exact else (k, max(8, 3 * k // 8))
     rows = cut(described(docs, n, k))
-    classes = cut(rows.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    entries = cut(lists(classes, k, t))
-    texts = cut(only(keyed_texts(docs, n), cut(entries.select("key").distinct())).groupBy("key").agg(F.first("body").alias("body")))
-    links = tested = None
-    labels: DataFrame | None = None
-    fits = F.least("n", "m") >= F.round(F.lit(t) * F.greatest("n", "m"), 9)
-    for turn in range(TURNS + 1):
-        now = entries.withColumn("label", F.col("key")) if labels is None else entries.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        # A list's leaders are its smallest members in a few orders of all keys, so lists of one group agree on them.
-        orders = [F.col("key") if turn + i == 0 else F.xxhash64(F.lit(LEADERS * turn + i), "key") for i in range(LEADERS)]
-        leads = F.array(*[F.min_by(F.struct(F.col("key").alias("lead"), F.col("label").alias("of"), F.col("n").alias("m")), o) for o in orders])
-        open_ = now.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), leads.alias("leads")).where("low <> high")
-        if turn < TURNS:
-            met = now.join(open_.select("v", F.explode(F.array_distinct("leads")).alias("x")), "v").select("key", "label", "n", "x.*").where("label <> of").select("key", F.col("lead").alias("other"), "n", "m")
-        else:
-            left = cut(now.join(open_.select("v"), "v", "left_semi"))
-            # A pair meets in the list of its smallest common value only; a class has at most k values.
-            left = left.join(left.groupBy("key").agg(F.collect_list("v").alias("all")), "key")
-            right = left.select(F.col("v").alias("w"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("label").alias("of"), F.col("all").alias("also"))
-            once = (F.col("v") == F.col("w")) & (F.col("key") < F.col("other")) & (F.col("label") != F.col("of")) & fits
-            met = left.join(right, once & (F.array_min(F.array_intersect("all", "also")) == F.col("v"))).select("key", "other", "n", "m")
-        pairs = met.where(fits).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.count():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        likely = cut(_joined(pairs, only(classes, _ends(pairs)), "sketch").mapInArrow(_estimate(k, t), "a binary, b binary"))
-        found = cut(_joined(likely, only(texts, _ends(likely)), "body").mapInArrow(_verify(n, t), "a binary, b binary"))
-        if found.count():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-    ids = classes.select("key", "least")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    made = rows.where("n_shingles > 0").groupBy("key").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    classes = cut(made.withColumn("cid", F.monotonically_increasing_id()))  # written at once, so that the numbers stay
+    labels = Search(docs, classes, n, t, k, g).run()
+    ids = classes.select("key", "cid", F.col("first").alias("least"))
     if labels is not None:
-        linked = labels.join(ids, "key")
+        linked = labels.select(F.col("key").alias("cid"), "label").join(ids, "cid")
         smallest = linked.groupBy("label").agg(F.min("least").alias("first"))
-        ids = ids.join(linked.join(smallest, "label").select("key", "first"), "key", "left").select("key", F.coalesce("first", "least").alias("least"))
+        ids = ids.join(linked.join(smallest, "label").select("cid", "first"), "cid", "left").select("key", F.coalesce("first", "least").alias("least"))
+    ids = cut(ids.select("key", "least"))
     return rows.select("doc_id", "row", "n_shingles", "key").join(ids, "key", "left").select("doc_id", "row", "n_shingles", "least")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.8, k: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, t: float = 0.8, k: int = 64, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`."""
     own = F.when(F.col("n_shingles") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
-    return _placed(docs, n, t, k).select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return _placed(docs, n, t, k, exact).select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
 
 
 def dedup(docs: DataFrame, n: int = 5, t: float = 0.8, k: int = 64) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import fresh, unique_path
+from keyloom.llm.common import drop, fresh, released, unique_path
 from keyloom.llm.encoding import encoder, in_groups
 
 LIMIT, STEP = 20, 256
@@ -193,11 +193,6 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2) -> str:
     return out
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def read(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids of every document in the files."""
     blocks = spark.read.parquet(f"{out}/blocks")

@@ -1,4 +1,5 @@
 import random
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +49,44 @@ def test_dedup_judges_rows_of_one_id_by_themselves(spark):
     assert [r for r in got if r[0] != 8] == sorted([(1, a, "p"), (7, b, "q"), (None, "zz top qq", "v"), (None, None, "x"), (None, "", "y"), (9, "", "z")], key=repr)
 
 
-def test_estimate_keeps_six_deviations():
-    """The sample may hold 32 common values of 64 for a similarity of 0.8, as the inverted lists allow, and not 31."""
-    made = lambda common: [np.sort(np.r_[np.arange(common), np.arange(100 + x, 300, 2)])[:64].astype("<u8").tobytes() for x in (0, 1)]
-    a, b = zip(made(32), made(31))
-    batch = pa.RecordBatch.from_arrays([pa.array([b"32", b"31"]), pa.array([b"x", b"y"]), pa.array(a), pa.array(b)], ["a", "b", "sketch_a", "sketch_b"])
-    assert [x for out in near_dedup._estimate(64, 0.8)([batch]) for x in out.column(0).to_pylist()] == [b"32"]
+def test_estimate_keeps_what_chance_allows():
+    """The sample may hold `likely_common` values of 64 for a similarity of 0.8, and not one less."""
+    least = near_dedup.likely_common(64, 0.8)
+    made = lambda common: [np.sort(np.r_[np.arange(common), np.arange(100 + x, 300, 2)])[:64].astype(np.int64) for x in (0, 1)]
+    a, b = zip(made(least), made(least - 1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), pa.array([True, False]), pa.array(a), pa.array(b)], ["a", "b", "long", "sketch_a", "sketch_b"])
+    assert [x for out in near_dedup._estimate(64, 0.8)([batch]) for x in out.column(0).to_pylist()] == [1]
+
+
+def test_bound_of_retained_values():
+    """No two sets at the threshold share fewer retained values than `shared` says, where it is not left to chance."""
+    assert near_dedup.likely_common(24, 0.8) == 6
+    assert sum(comb(24, c) * 0.8**c * 0.2 ** (24 - c) for c in range(6)) < 1e-9
+
+
+def test_long_lists_of_edited_copies(spark):
+    """Lists of several hundred copies of one text, many too far from each other, and of unlike texts with a common
+    passage: what leaders leave open is found as by comparing every pair, with sketches and with whole sets."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 7, 9])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        if i % 5 == 0:
+            del w[rng.randrange(40) :][: rng.randrange(8)]
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(base[:12] + [f"u{rng.randrange(200)}" for _ in range(8)])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, 2)
+    for options in ({}, {"exact": True}):
+        assert sorted((tuple(r) for r in near_dedup.near_duplicates(df, 2, **options).collect()), key=repr) == expected
 
 
 def test_components_of_long_chains(spark):
-    links = spark.createDataFrame([(bytes([i]), bytes([i + 1])) for i in range(40) if i != 20] + [(bytes([90]), bytes([90]))], "a binary, b binary")
-    got = {bytes(r["key"])[0]: bytes(r["label"])[0] for r in near_dedup.components(links).collect()}
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(90, 90)], "a long, b long")
+    got = {r["key"]: r["label"] for r in near_dedup.components(links).collect()}
     assert got == {**{i: 0 for i in range(21)}, **{i: 21 for i in range(21, 41)}, 90: 90}
 
 
