@@ -8,7 +8,8 @@ the similarity share at least `shared` of these (surely for sets whose differenc
 for a chance of 1e-9 at the very threshold), so all but the `shared - 1` most frequent ones suffice, by frequency in the
 corpus. `exact=True` retains whole sets, which leaves nothing to chance.
 
-Lists are not turned into all pairs. Every list has a leader, the member whose values are the most frequent, and each
+Lists are not turned into all pairs. Every list has a leader, the member with the most frequent values (by the sum of their logarithms, so that a few common
+ones do not outweigh many that a group shares), and each
 member meets the leader of its list where both share enough values. Such a pair passes an estimate from the union of
 both sketches, then the exact similarity of the full sets decides, and linked classes grow together. A list that still
 holds several components is finished by its length. Of up to `SHORT` members those of different components are compared
@@ -16,8 +17,8 @@ on their retained values within the list, and only what passes goes on. A longer
 with the leader L for a measure: sets A and B have at most min(|A & L|, |B & L|) values of L in common, so unless that
 reaches what the similarity asks for (few pairs, found by their sizes), they share a value outside L, and the new lists
 are those of the values outside L. For members near L whole sets are taken, for those with too few of L's retained
-values the retained ones. Pairs in which both are linked with L are never made. The new lists are treated alike, each
-without the leader of the one it comes from, so this ends.
+values the retained ones. Pairs in which both are linked with L are never made. Of the new lists, the long ones are
+treated alike, and what is long after `TURNS` turns is compared block by block.
 
 Defined cases: null texts and texts without words have no shingle, no link and their own id as component; fewer words
 than a shingle has make one shingle; equal texts are linked; rows that share a doc_id stand for themselves and may be
@@ -43,7 +44,9 @@ from keyloom.llm.routing import mixed, word_hashes
 
 #: Up to so many ids or 16-byte keys are broadcast (about 100 MB at most in memory); beyond, joins shuffle.
 BROADCAST_KEYS = 500_000
-SHORT = 64  # members of a list that are compared within it
+SHORT = 256  # members of a list that are compared within it at once
+BLOCK = 256  # members of a block; lists that were dealt anew are compared within up to two blocks
+TURNS = 4  # turns with leaders; lists that are long even then are compared block by block
 WHOLE = 1 << 30  # retained values of the exact option
 CHANCE = 1e-9  # that two sets at the threshold share too few retained values
 _U = np.uint64
@@ -136,22 +139,23 @@ def near(rows: DataFrame) -> DataFrame:
 
 
 def lists(classes: DataFrame, g: int, t: float) -> DataFrame:
-    """v, cid, n, least (values shared with a similar set), weight, sk (the retained values), open: each class with
+    """v, cid, n, least (values shared with a similar set), weight, sk (the retained values), open, parent (the
+    star that the list comes from): each class with
     those of its rarest retained values that another class has too."""
     values = classes.select("cid", F.explode(F.slice("sketch", 1, g)).alias("v"))
     often = cut(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
-    ranked = values.join(near(often), "v").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ranked"), F.sum("df").alias("weight"))
+    ranked = values.join(near(often), "v").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ranked"), F.sum(F.log2("df")).alias("weight"))
     # The values that only this class has are the rarest; what is left of the prefix are the first of the others.
     take = F.greatest(F.size("ranked") - F.col("least") + 1, F.lit(0))
     own = classes.select("cid", F.col("n_shingles").alias("n"), shared(F.col("n_shingles"), g, t).alias("least"), F.slice("sketch", 1, g).alias("sk"))
     both = ranked.join(own, "cid").select("cid", "n", "least", (F.col("weight") / F.size("sk")).alias("weight"), "sk", F.slice("ranked.v", 1, take).alias("vs"))
-    return both.select(F.explode("vs").alias("v"), "cid", "n", "least", "weight", "sk", F.lit(True).alias("open"))
+    return both.select(F.explode("vs").alias("v"), "cid", "n", "least", "weight", "sk", F.lit(True).alias("open"), F.lit(None).cast("long").alias("parent"))
 
 
-def leaders(entries: DataFrame) -> DataFrame:
-    """v, m (members), lead: the lists with two members or more."""
+def leaders(entries: DataFrame, over: int) -> DataFrame:
+    """v, m (members), lead of the lists with more than `over` members."""
     lead = F.max_by(F.struct("cid", "n", "least", "sk"), F.struct("weight", "cid"))
-    return entries.groupBy("v").agg(F.count("*").alias("m"), lead.alias("lead")).where("m > 1")
+    return entries.groupBy("v").agg(F.count("*").alias("m"), lead.alias("lead")).where(F.col("m") > over)
 
 
 def _estimate(k: int, t: float):
@@ -224,8 +228,8 @@ def _verify(n: int, t: float):
 
 
 def within(t: float):
-    """Pairs (a, b) of short lists that share enough retained values, lie in different components and have an open
-    member; the lists come one after the other."""
+    """Pairs (a, b) of short lists that share enough retained values, lie in different components and
+    have an open member; the lists come one after the other."""
 
     def pairs_of(cid, n, least, label, open_, values, ends):
         m = len(cid)
@@ -297,6 +301,7 @@ class Search:
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
+        self.rest: DataFrame | None = None  # parent, cid, rest: see `dealt`
 
     def labelled(self, entries: DataFrame) -> DataFrame:
         if self.labels is None:
@@ -339,68 +344,97 @@ class Search:
         return pairs.join(done, (F.least(pairs["a"], pairs["b"]) == done["a"]) & (F.greatest(pairs["a"], pairs["b"]) == done["b"]), "left_anti")
 
     def run(self) -> DataFrame | None:
-        entries, first = cut(lists(self.classes, self.g, self.t)), True
-        while not entries.isEmpty():
-            entries, first = self.turn(entries, first), False
+        entries: DataFrame | None = cut(lists(self.classes, self.g, self.t))
+        for depth in range(TURNS):
+            if entries is None or entries.isEmpty():
+                return self.labels
+            entries = self.turn(entries, depth == 0)
+        if entries is not None:
+            self.finish(entries)
         return self.labels
 
-    def turn(self, entries: DataFrame, first: bool) -> DataFrame:
+    def compared(self, rows: DataFrame) -> DataFrame:
+        """Pairs that `within` finds; `rows` are members of lists of bounded length."""
+        own = rows.select("v", "cid", "n", "least", "label", "open", "sk")
+        return own.repartition("v").sortWithinPartitions("v").mapInArrow(within(self.t), "a long, b long").distinct()
+
+    def several(self, rows: DataFrame) -> DataFrame:
+        """v, m: the lists with more than one component and an open member."""
+        found = rows.groupBy("v").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("open").alias("some"))
+        return found.where("low <> high and some").select("v", "m")
+
+    def finish(self, entries: DataFrame) -> None:
+        """Judges what lists hold that are still long. Such a list goes into one list for each two of its blocks."""
+        now = self.labelled(entries)
+        rows = now.join(near(cut(self.several(now))), "v")
+        many = F.ceil(F.col("m") / BLOCK).cast("int")
+        long = rows.withColumn("own", F.pmod(F.xxhash64("cid"), many)).select("*", F.explode(F.sequence(F.lit(0), many - 1)).alias("other"))
+        self.judge_likely(self.compared(long.withColumn("v", F.xxhash64("v", F.least("own", "other"), F.greatest("own", "other")))))
+
+    def judge_likely(self, pairs: DataFrame) -> None:
+        self.judge(self.untested(pairs).select("a", "b", F.lit(False).alias("long"), F.lit(False).alias("sure")))
+
+    def turn(self, entries: DataFrame, first: bool) -> DataFrame | None:
         """Judges what the lists give; the lists that longer ones are dealt into."""
-        leads = cut(leaders(entries))
-        met = cut(
-            entries.join(leads, "v").where(F.col("cid") != F.col("lead.cid"))
-            .select("cid", "n", "least", (F.col("m") > SHORT).alias("long"), F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.least").alias("lead_least"), F.size(F.array_intersect("sk", "lead.sk")).alias("both"))
-        )
-        fits = _fits(F.col("n"), F.col("lead_n"), self.t) & (F.col("both") >= F.greatest("least", "lead_least"))
-        near_lead = F.col("long") & (F.col("both") >= F.col("least"))
-        pairs = met.where(fits | near_lead).groupBy(F.col("cid").alias("a"), F.col("lead").alias("b")).agg(F.max("long").alias("long"))
-        # In long lists every member near the leader is judged exactly: its values outside the leader are needed.
-        stars = self.judge(pairs.where("long").withColumn("sure", F.lit(True)).unionByName(self.untested(pairs.where("not long")).withColumn("sure", F.lit(False))))
-        now = self.labelled(entries.join(leads.where("m > 2"), "v"))
-        several = now.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("open").alias("some")).where("low <> high and some")
-        left = cut(now.join(several.select("v"), "v", "left_semi"))
-        short = left.where(F.col("m").between(3, SHORT)).select("v", "cid", "n", "least", "label", "open", "sk")
-        pairs = short.repartition("v").sortWithinPartitions("v").mapInArrow(within(self.t), "a long, b long").distinct()
-        long = left.where(F.col("m") > SHORT)
-        if long.isEmpty() or stars is None:
-            self.judge(self.untested(pairs).select("a", "b", F.lit(False).alias("long"), F.lit(False).alias("sure")))
-            if long.isEmpty():
-                return entries.limit(0)
-        by_size, dealt = self.dealt(long, stars, first)
-        self.judge(self.untested(pairs.unionByName(by_size).distinct()).select("a", "b", F.lit(False).alias("long"), F.lit(False).alias("sure")))
-        again = self.labelled(dealt)
-        keep = again.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("open").alias("some")).where("low <> high and some")
-        return cut(dealt.join(keep.select("v"), "v", "left_semi"))
-
-    def dealt(self, long: DataFrame, stars: DataFrame | None, first: bool) -> tuple[DataFrame, DataFrame]:
-        """Of long lists that hold several components: pairs whose sizes alone allow the similarity, and new lists."""
-        t, share = self.t, self.t / (1 + self.t)
+        limit, stars = SHORT if first else 2 * BLOCK, None
+        leads = cut(leaders(entries, 1 if first else limit))
+        if not leads.isEmpty():
+            met = (
+                entries.join(leads, "v").where(F.col("cid") != F.col("lead.cid"))
+                .select("cid", "n", "least", (F.col("m") > limit).alias("long"), F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.least").alias("lead_least"), F.size(F.array_intersect("sk", "lead.sk")).alias("both"))
+            )
+            fits = _fits(F.col("n"), F.col("lead_n"), self.t) & (F.col("both") >= F.greatest("least", "lead_least"))
+            near_lead = F.col("long") & (F.col("both") >= F.col("least"))
+            pairs = met.where(fits | near_lead).groupBy(F.col("cid").alias("a"), F.col("lead").alias("b")).agg(F.max("long").alias("long"))
+            # In long lists every member near the leader is judged exactly: its values outside the leader are needed.
+            stars = self.judge(pairs.withColumn("sure", F.col("long")))
+        now = self.labelled(entries)
+        rows = cut(now.join(near(cut(self.several(now).where(F.col("m") > (2 if first else 1)))), "v"))
+        pairs, again = self.compared(rows.where(F.col("m") <= limit)), None
+        long = rows.where(F.col("m") > limit)
+        if not long.isEmpty():
+            by_size, again = self.dealt(long.join(leads.select("v", "lead"), "v"), stars)
+            pairs = pairs if by_size is None else pairs.unionByName(by_size).distinct()
+        self.judge_likely(pairs)
+        return again
+
+    def dealt(self, long: DataFrame, stars: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
+        """Of long lists that hold several components: pairs whose sizes alone allow the similarity, and new lists. A
+        list that comes from values outside one leader is measured by all its leaders so far: `rest` is what a member
+        has outside them."""
+        t, share, first = self.t, self.t / (1 + self.t), self.rest is None
         both = F.size(F.array_intersect("sk", "lead.sk"))
-        far = (both < F.col("least")).alias("far")
-        members = cut(long.where(F.col("cid") != F.col("lead.cid")).select("v", "cid", "n", "least", "weight", "sk", "open", "label", F.col("lead.cid").alias("lead"), F.col("lead.sk").alias("lead_sk"), far))
+        star_key = F.col("lead.cid") if first else F.xxhash64("v", "lead.cid")
+        own = long.where(F.col("cid") != F.col("lead.cid")).select(star_key.alias("star"), "parent", F.col("lead.cid").alias("lead"), F.col("lead.sk").alias("lead_sk"), "cid", "n", "least", "weight", "sk", "open", "label", (both < F.col("least")).alias("far"))
+        members = cut(own.dropDuplicates(["star", "cid"]))
         # Far from the leader: a similar set shares a retained value that the leader has not. In the first turn all are
-        # open, and a far member is enough for a pair; later the open one may be the other.
-        some_far = members.groupBy("v").agg(F.max("far").alias("some")).where("some")
-        apart = members.join(some_far.select("v"), "v", "left_semi").select("v", "cid", "n", "least", "weight", "sk", (F.col("open") & (F.col("far") | F.lit(not first))).alias("open"), F.explode(F.array_except("sk", "lead_sk")).alias("x"))
-        apart = apart.withColumn("v", F.xxhash64(F.lit(1), "v", "x")).drop("x")
-        none = long.sparkSession.createDataFrame([], "a long, b long")
+        # open, and a far member is enough for a pair; later the open one may be the other as well.
+        some_far = members.where("far").select("star").distinct()
+        is_open = F.col("far") if first else F.col("open")
+        apart = members.join(some_far, "star", "left_semi").select("star", "cid", "n", "least", "weight", "sk", is_open.alias("open"), F.explode(F.array_except("sk", "lead_sk")).alias("x"))
+        apart = apart.withColumn("v", F.xxhash64(F.lit(1), "star", "x")).withColumn("parent", F.lit(None).cast("long")).drop("star", "x")
         if stars is None:
-            return none, cut(apart)
-        # Near it: common and more are known from the full sets. Of a pair in two components one at least
-        # is not linked with the leader; those are open.
-        home = self.labelled(members.select(F.col("lead").alias("cid")).distinct()).select(F.col("cid").alias("lead"), F.col("label").alias("home"))
-        star = members.where("not far").groupBy("lead", "cid").agg(*[F.any_value(c).alias(c) for c in ("n", "least", "weight", "sk", "label")])
-        star = star.join(home, "lead").withColumn("open", F.col("label") != F.col("home"))
-        star = star.join(stars.where("long").select(F.col("b").alias("lead"), F.col("a").alias("cid"), "common", "more"), ["lead", "cid"])
-        star = cut(star.join(star.where("open").select("lead").distinct(), "lead", "left_semi"))
-        beyond = star.select("lead", "cid", "n", "least", "weight", "sk", "open", F.explode("more").alias("x")).withColumn("v", F.xxhash64(F.lit(0), "lead", "x")).drop("lead", "x")
-        # Without a common value outside the leader: least(common) >= share * (n + m), so the other's size is under a bound.
+            return None, cut(apart)
+        # Near it: what a member has outside is known from the full sets. Of a pair in two components one at least is not
+        # linked with the leader; those are open.
+        of_leads = self.labelled(members.select(F.col("lead").alias("cid")).distinct()).select(F.col("cid").alias("lead"), F.col("label").alias("lead_label"))
+        star = members.where("not far").drop("lead_sk", "far").join(of_leads, "lead").withColumn("out", F.col("label") != F.col("lead_label"))
+        star = star.join(star.where("out").select("star").distinct(), "star", "left_semi")
+        star = star.join(stars.where("long").select(F.col("b").alias("lead"), F.col("a").alias("cid"), F.col("more").alias("rest")), ["lead", "cid"])
+        if not first:
+            before = self.rest.withColumnRenamed("rest", "outside")
+            star = star.join(before, ["parent", "cid"], "left").withColumn("rest", F.when(F.col("outside").isNull(), F.col("rest")).otherwise(F.array_intersect("rest", "outside"))).drop("outside")
+        star = cut(star.withColumn("common", F.col("n") - F.size("rest")))
+        kept = star.select(F.col("star").alias("parent"), "cid", "rest")
+        self.rest = kept if first else self.rest.unionByName(kept)
+        beyond = star.select("star", "cid", "n", "least", "weight", "sk", F.col("out").alias("open"), F.explode("rest").alias("x")).withColumn("v", F.xxhash64(F.lit(0), "star", "x")).withColumn("parent", F.col("star")).drop("star", "x")
+        # Without a common value outside the leaders: least(common) >= share * (n + m), so the other's size is bounded.
         top = F.floor(F.col("common") / share - F.col("n") + 1e-9)
         low = F.ceil(F.round(t * F.col("n"), 9))
-        sized = star.where("open").select("lead", F.col("cid").alias("a"), "n", F.col("common").alias("ca"), F.col("label").alias("la"), F.explode(F.when(top >= low, F.sequence(low, top))).alias("m"))
-        other = star.select("lead", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("common").alias("cb"), F.col("label").alias("lb"))
-        meets = sized.join(other, ["lead", "m"]).where((F.col("la") != F.col("lb")) & (F.col("cb") >= F.round(share * (F.col("n") + F.col("m")), 9)) & _fits(F.col("n"), F.col("m"), t))
-        return meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), cut(apart.select(*beyond.columns).unionByName(beyond))
+        sized = star.where("out").select("star", F.col("cid").alias("a"), "n", F.col("common").alias("ca"), F.col("label").alias("la"), F.explode(F.when(top >= low, F.sequence(low, top))).alias("m"))
+        other = star.select("star", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("common").alias("cb"), F.col("label").alias("lb"))
+        meets = sized.join(other, ["star", "m"]).where((F.col("la") != F.col("lb")) & (F.col("cb") >= F.round(share * (F.col("n") + F.col("m")), 9)) & _fits(F.col("n"), F.col("m"), t))
+        return meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), cut(apart.unionByName(beyond))
 
 
 def _placed(docs: DataFrame, n: int, t: float, k: int, exact: bool = False) -> DataFrame:
