@@ -3,8 +3,9 @@
 A byte-level BPE splits a text by a pattern before it merges. At a single space between two visible characters that
 pattern always splits: no alternative of it continues over a space that follows a visible character, and the match
 that begins at the space looks at nothing before it. So the ids of a text are those of its pieces between such
-spaces, joined, and each different piece needs the library once. Vocabularies for which that is not proven are
-encoded whole.
+spaces, joined, and each different piece needs the library once. Pieces are found by hashes of all of a batch at once,
+and then compared byte by byte with what the cache holds. Vocabularies for which the split is not proven are encoded
+whole.
 """
 
 from __future__ import annotations
@@ -12,15 +13,19 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 
-#: A space where it is not between two visible characters; Python's white space includes all of the pattern's.
-ODD = re.compile(r"\s | \s|\A | \Z")
-CUT = re.compile(r"(?<=\S)(?= \S)")
+from keyloom.llm.routing import BYTES, INVERSE, ODD, mixed, powers
+
 #: White space within a piece, which then is encoded alone.
 JOINT = re.compile(r"\s")
+#: Bytes beside a space at which no cut is made: white space and control characters, and what white space of several
+#: bytes may begin with.
+WIDE = (0xC2, 0xE1, 0xE2, 0xE3)
+_AFTER = np.arange(256) > 32
+_AFTER[list(WIDE)] = False
+_U = np.uint64
 
 
 def is_cut(text: str, p: int) -> bool:
@@ -28,11 +33,43 @@ def is_cut(text: str, p: int) -> bool:
     return 0 < p < len(text) - 1 and text[p] == " " and not text[p - 1].isspace() and not text[p + 1].isspace()
 
 
+def cuts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces begin in texts that lie one after the other: at each text, and at spaces that `is_cut` accepts
+    (not at all of them: beside characters that might be wide white space none is taken)."""
+    at = np.flatnonzero(buf == 32)
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[starts] = edge[ends - 1] = True
+    at = at[~edge[at]]
+    before = buf[at - 1]
+    good = (before > 32) & _AFTER[buf[at + 1]]
+    high = np.flatnonzero(good & (before >= 0x80))
+    # A text's first character may be what stands before: then the bytes before it are not looked at, or do no harm.
+    for back in (2, 3):
+        good[high] &= ~np.isin(buf[np.maximum(at[high] - back, 0)], WIDE)
+    keep = np.zeros(len(buf), bool)
+    keep[at[good]] = True
+    keep[starts] = True
+    return np.flatnonzero(keep)
+
+
+def piece_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    h = BYTES[buf]
+    h *= powers(ODD, len(h))
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(h)])
+    return mixed((sums[end] - sums[begin]) * powers(INVERSE, len(h))[begin] + (end - begin).astype(_U))
+
+
+def _reach(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n times for each."""
+    ends = np.cumsum(n, dtype=np.int64)
+    return np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """ids and counts of texts, as the library gives them without begin, end or added special tokens."""
 
-    def __init__(self, path: str, max_pieces: int = 600_000):
-        self.max_pieces, self.path = max_pieces, path
+    def __init__(self, path: str, max_pieces: int = 600_000, max_bytes: int = 64 << 20):
+        self.max_pieces, self.max_bytes, self.path = max_pieces, max_bytes, path
         if path.endswith(".model"):
             import sentencepiece
 
@@ -56,65 +93,82 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-
-    def _add(self, keys: list[str]) -> None:
-        """Keys of first pieces begin with a space and are encoded without it, others with one before them. Pieces with
-        no further white space are encoded many at a time: their only space is where each one's ids begin."""
-        alone: list[str] = []
-        many: list[str] = []
-        for k in keys:
-            (alone if JOINT.search(k) else many).append(k)
-        self._one_by_one(alone)
-        for a in range(0, len(many), 4096):
-            own = many[a : a + 4096]
-            found = [np.array(x, np.uint32) for x in self._whole([" " + " ".join(own[i : i + 64]) for i in range(0, len(own), 64)])]
-            flat = np.concatenate(found)
+        """The cache: hashes in order, and for each the place of its piece; of each piece its bytes and its ids."""
+        self.known, self.place = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.data, self.data_start, self.data_n = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces' places in a new order, how many ids each has, and the ids one after the other. Pieces with no
+        white space but the one they begin with are encoded many at a time: that space is where each one's ids begin."""
+        texts = [p.decode() for p in pieces]
+        plain = np.fromiter((t[:1] == " " and not JOINT.search(t, 1) for t in texts), bool, len(texts))
+        alone = np.flatnonzero(~plain).tolist()
+        order, sizes, ids = [], [], []
+        joined = np.flatnonzero(plain)
+        groups = [joined[a : a + 256] for a in range(0, len(joined), 256)]
+        for own, found in zip(groups, self._whole(["".join([texts[i] for i in g.tolist()]) for g in groups])):
+            flat = np.array(found, np.uint32)
             at = np.flatnonzero(self.opens[flat])
             if len(at) == len(own) and at[0] == 0:
-                self._append(own, flat, np.diff(at, append=len(flat)))
+                order.append(own)
+                sizes.append(np.diff(at, append=len(flat)))
+                ids.append(flat)
             else:
-                self._one_by_one(own)
-
-    def _one_by_one(self, keys: list[str]) -> None:
-        ids = self._whole([k[1:] if k[:1] == " " else " " + k for k in keys])
-        if keys:
-            self._append(keys, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids]))
-
-    def _append(self, keys: list[str], flat: np.ndarray, n: np.ndarray) -> None:
-        i = len(self.place)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while i + len(keys) > len(self.n):
-            self.start, self.n = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.n, np.zeros_like(self.n)])
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.start[i : i + len(keys)] = self.used + np.cumsum(n) - n
-        self.n[i : i + len(keys)] = n
-        self.place.update(zip(keys, range(i, i + len(keys))))
-        self.used += len(flat)
+                alone += own.tolist()
+        if alone:
+            found = self._whole([texts[i] for i in alone])
+            order.append(np.array(alone, np.int64))
+            sizes.append(np.array([len(x) for x in found], np.int64))
+            ids.append(np.array([i for x in found for i in x], np.uint32))
+        return np.concatenate(order), np.concatenate(sizes), np.concatenate(ids)
+
+    def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        own, n, flat = self._encoded(pieces)
+        pieces, hashes = [pieces[i] for i in own.tolist()], hashes[own]
+        size = np.array([len(p) for p in pieces], np.int64)
+        first = len(self.n)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n])
+        self.data_start = np.concatenate([self.data_start, len(self.data) + np.cumsum(size) - size])
+        self.n, self.data_n = np.concatenate([self.n, n]), np.concatenate([self.data_n, size])
+        self.flat = np.concatenate([self.flat, flat])
+        self.data = np.concatenate([self.data, np.frombuffer(b"".join(pieces), np.uint8)])
+        order = np.argsort(hashes, kind="stable")
+        spot = np.searchsorted(self.known, hashes[order])
+        self.known, self.place = np.insert(self.known, spot, hashes[order]), np.insert(self.place, spot, first + order)
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cache places of all pieces of the texts one after the other, and how many each text has."""
-        keys: list[str] = []
-        many = np.empty(len(texts), np.int64)
-        for j, text in enumerate(texts):
-            if ODD.search(text):
-                ks = CUT.split(text)
-                ks[1:] = [k[1:] for k in ks[1:]]
-            else:
-                ks = text.split(" ")
-            ks[0] = " " + ks[0]
-            many[j] = len(ks)
-            keys += ks
-        if len(self.place) > self.max_pieces:
+        raw = [t.encode() for t in texts]
+        size = np.array([len(t) for t in raw], np.int64)
+        ends = np.cumsum(size)
+        data = b"".join(raw)
+        if not data:
+            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        buf, some = np.frombuffer(data, np.uint8), size > 0
+        begin = cuts(buf, (ends - size)[some], ends[some])
+        end = np.append(begin[1:], len(buf))
+        if len(self.known) > self.max_pieces or len(self.data) > self.max_bytes:
             self._clear()
-        at = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int32, len(keys))
-        new = np.flatnonzero(at < 0)
+        u, which = np.unique(piece_hashes(buf, begin, end), return_inverse=True)
+        spot = np.searchsorted(self.known, u)
+        new = np.flatnonzero(spot == len(self.known)) if not len(self.known) else np.flatnonzero(self.known[np.minimum(spot, len(self.known) - 1)] != u)
         if len(new):
-            self._add(list(dict.fromkeys(keys[i] for i in new)))
-            at[new] = [self.place[keys[i]] for i in new]
+            one = np.empty(len(u), np.int64)
+            one[which] = np.arange(len(which))
+            self._add(u[new], [data[begin[i] : end[i]] for i in one[new].tolist()])
+            spot = np.searchsorted(self.known, u)
+        at = self.place[spot][which]
+        n = end - begin
+        same = np.array_equal(self.data_n[at], n) and np.array_equal(self.data[_reach(self.data_start[at], n)], buf)
+        if not same:  # two pieces with one hash: place the batch's pieces by themselves
+            self._clear()
+            parts = [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+            seen = {p: i for i, p in enumerate(dict.fromkeys(parts))}
+            self._add(np.arange(len(seen), dtype=_U), list(seen))
+            at = self.place[[seen[p] for p in parts]]
+            self.known, self.place = self.known[:0], self.place[:0]  # not to be found again
+        many = np.diff(np.searchsorted(begin, np.concatenate([ends - size, [len(buf)]])))
         return at, many
 
     def counts(self, texts: list[str]) -> np.ndarray:
@@ -122,31 +176,30 @@ class Encoder:
             return np.array([len(x) for x in self._whole(texts)], np.int64)
         at, many = self._pieces(texts)
         ends = np.concatenate([[0], np.cumsum(self.n[at], dtype=np.int64)])
-        cuts = np.concatenate([[0], np.cumsum(many)])
-        return ends[cuts[1:]] - ends[cuts[:-1]]
+        last = np.concatenate([[0], np.cumsum(many)])
+        return ends[last[1:]] - ends[last[:-1]]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.array(x, np.uint32) for x in self._whole(texts)]
         at, many = self._pieces(texts)
         n = self.n[at]
-        ends = np.cumsum(n, dtype=np.int64)
-        flat = self.flat[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum(many)]
-        return np.split(flat, cuts[:-1])
+        ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        flat = self.flat[_reach(self.start[at], n)]
+        return np.split(flat, ends[np.cumsum(many)][:-1]) if len(texts) else []
 
 
 _made: dict[tuple[str, int], Encoder] = {}
 
 
 def encoder(path: str, max_pieces: int = 600_000) -> Encoder:
-    """One encoder a Python worker, kept between tasks."""
+    """One encoder a Python worker, kept between tasks; its cache is bounded by pieces and bytes (about 100 MB)."""
     if (path, max_pieces) not in _made:
         _made[path, max_pieces] = Encoder(path, max_pieces)
     return _made[path, max_pieces]
 
 
-def in_groups(texts: list[str], chars: int = 1_000_000):
+def in_groups(texts: list, chars: int = 1_000_000):
     """Consecutive (from, to) of the list with about so many characters, to bound memory."""
     a = size = 0
     for i, text in enumerate(texts):

@@ -79,19 +79,28 @@ INVERSE = pow(ODD, -1, 1 << 64)
 BYTES = mixed(np.arange(256, dtype=_U) + _U(1))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[:1] = 1
-    return np.cumprod(out)
+_kept: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64; some millions of them are kept."""
+    if n > len(_kept.get(base, "")):
+        out = np.full(max(n, 1 << 20), base, _U)
+        out[:1] = 1
+        out = np.cumprod(out)
+        if n > 1 << 22:
+            return out[:n]
+        _kept[base] = out
+    return _kept[base][:n]
 
 
 def word_hashes(data: bytes, begin: np.ndarray) -> np.ndarray:
     """Of the words between `begin`'s places (less the space after each): a difference of prefix sums, shifted back."""
     h = BYTES[np.frombuffer(data, np.uint8)]
-    h *= _powers(ODD, len(h))
+    h *= powers(ODD, len(h))
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(h)])
     first, last = begin[:-1], begin[1:] - 1
-    return mixed((sums[last] - sums[first]) * _powers(INVERSE, len(h))[first] + (last - first).astype(_U))
+    return mixed((sums[last] - sums[first]) * powers(INVERSE, len(h))[first] + (last - first).astype(_U))
 
 
 def _grams(h: np.ndarray, m: int) -> np.ndarray:
@@ -137,8 +146,8 @@ def _runs(hashes: np.ndarray, size: np.ndarray, u: Units, base: int) -> tuple[np
     anchor = np.where(is_left, _U(1), _U(2)) + grams[p]
     for j in steps:
         anchor = mixed(anchor * _U(ODD) + grams[np.where(is_left, p - half + j, p + half - j)])
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed(hashes) * _powers(ODD, n))])
-    content = mixed((sums[first + run + (u.k - 1)] - sums[first]) * _powers(INVERSE, n)[first])
+    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed(hashes) * powers(ODD, n))])
+    content = mixed((sums[first + run + (u.k - 1)] - sums[first]) * powers(INVERSE, n)[first])
     return first + base, run, anchor, content
 
 

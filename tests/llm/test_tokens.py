@@ -24,6 +24,14 @@ def whole(texts):
     return [e.ids for e in Tokenizer.from_file(vocabulary()).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_equal_hashes_are_told_apart(texts, whole, monkeypatch):
+    """Pieces are compared by their bytes: hashes that hardly differ change nothing."""
+    kept = encoding.piece_hashes
+    monkeypatch.setattr(encoding, "piece_hashes", lambda *a: kept(*a) % np.uint64(50))
+    enc = encoding.Encoder(vocabulary())
+    assert [list(g) for _ in range(2) for g in enc.ids(texts[:80])] == whole[:80] * 2
+
+
 def test_pieces_give_the_librarys_ids(texts, whole):
     enc = encoding.Encoder(vocabulary(), max_pieces=500)
     got = [ids for a, b in encoding.in_groups(texts, 20_000) for ids in enc.ids(texts[a:b])]
@@ -37,6 +45,20 @@ def test_resynchronisation(texts, whole, chunk, overlap):
     for t, w in list(zip(texts, whole))[40:]:
         if len(t) > chunk:
             assert token_counts.resync_count(enc, t, chunk, overlap) == len(w), t
+    own = [(t, len(w)) for t, w in zip(texts, whole)]
+    assert token_counts.spliced_counts(enc, [t for t, _ in own], chunk, overlap) == [n for _, n in own]
+
+
+def test_how_many_are_spliced(spark, sf, monkeypatch):
+    """With the defaults a good part of the given documents' characters goes through chunks, most at the first overlap."""
+    texts = [r[0] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    huge = [t for t in texts if len(t) > 8192]
+    alone = []
+    kept = token_counts.resync_count
+    monkeypatch.setattr(token_counts, "resync_count", lambda enc, t, *a: (alone.append(t), kept(enc, t, *a))[1])
+    enc = encoding.Encoder(vocabulary())
+    assert len(huge) >= 3 and token_counts.spliced_counts(enc, huge, 4096, 96) == enc.counts(huge).tolist()
+    assert len(alone) <= len(huge) // 2
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
