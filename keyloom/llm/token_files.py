@@ -2,9 +2,10 @@
 
 Ids are encoded once and counted (at most one sum for each id of the vocabulary reaches the driver); package-merge
 gives code lengths of at most `LIMIT` bits (more where the vocabulary needs it), and only the lengths are kept, since
-canonical codes follow from them. Documents in ascending doc_id order are cut into independent blocks: a row of the
-files has a block's documents (ids and lengths), its bits, and the bit offset of every `STEP`-th id. A reader decodes
-all stretches between these offsets at once with one table lookup an id.
+canonical codes follow from them. Between the passes ids take two bytes each where they fit. Documents in ascending
+doc_id order are cut into independent blocks: a row of the files has a block's documents (ids and lengths), its bits,
+and the bit offset of every `STEP`-th id. A reader decodes all stretches between these offsets at once with one table
+lookup an id.
 
 Files under the path: `blocks/` (Parquet as the container: a lost executor's part is written anew and only whole parts
 are seen), `lengths/` (id, code length). Defined cases: null and empty texts hold the end id alone; null doc_ids come
@@ -116,34 +117,54 @@ def unpack(bits: bytes, offsets: np.ndarray, n: int, table: tuple[np.ndarray, np
     return out.T.reshape(-1)[:n]
 
 
+def _narrow(ids: np.ndarray) -> bytes:
+    """Two bytes an id where all fit, else four."""
+    return ids.astype("<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _wide(raw: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), "<u2" if raw.as_buffer().size == 2 * n else "<u4")
+
+
 def encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, n, crc, ids (little-endian unsigned 32-bit) with the end id, in no order."""
+    """doc_id, n, crc, ids (see `_narrow`) with the end id, in no order; and for every task a row with n = -1 whose ids
+    are its counts of all ids, as eight-byte numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), np.array([end_id], "<u4")
+        enc, end, total, kind = encoder(path), np.array([end_id], np.uint32), np.zeros(end_id + 1, np.int64), None
         for batch in batches:
+            kind = batch.column(0).type
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             for a, b in in_groups(texts):
-                raw = [np.concatenate([x, end]).astype("<u4").tobytes() for x in enc.ids(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(raw, pa.binary())], ["doc_id", "n", "crc", "ids"])
+                own = [np.concatenate([x, end]) for x in enc.ids(texts[a:b])]
+                c = np.bincount(np.concatenate(own), minlength=len(total))
+                c[: len(total)] += total
+                total = c
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in own], pa.int64()), pa.array([zlib.crc32(x.astype("<u4", copy=False)) for x in own], pa.int64()), pa.array([_narrow(x) for x in own], pa.binary())], ["doc_id", "n", "crc", "ids"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([total.astype("<i8").tobytes()], pa.binary())], ["doc_id", "n", "crc", "ids"])
+        released()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return fresh(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, crc long, ids binary")
 
 
-def _counted(ids: DataFrame) -> DataFrame:
+def _counted(tasks: DataFrame) -> DataFrame:
+    """id, n over all tasks' counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for raw in batch.column(0):
-                c = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"))
-                if len(c) > len(total):
-                    c, total = total, c.astype(np.int64)
-                total[: len(c)] += c
+                c = np.frombuffer(raw.as_buffer(), "<i8").copy()
+                if len(c) < len(total):
+                    c, total = total, c
+                c[: len(total)] += total
+                total = c
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tasks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _blocks(lengths: np.ndarray):
@@ -159,8 +180,8 @@ def _blocks(lengths: np.ndarray):
 
         size = 0
         for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(raw.as_buffer(), "<u4")
+            for doc, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                ids = _wide(raw, n)
                 held.append(ids)
                 docs.append((doc, len(ids)))
                 size += len(ids)
@@ -178,17 +199,17 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2) -> str:
     spark = docs.sparkSession
     raw = f"{out}/raw"
     encoded(docs, path, end_id).write.option("compression", "zstd").parquet(raw)
-    ids = spark.read.parquet(raw)
-    counts = {r["id"]: r["n"] for r in _counted(ids).collect()}  # at most the vocabulary
+    rows = spark.read.parquet(raw)
+    counts = {r["id"]: r["n"] for r in _counted(rows.where("n < 0")).collect()}  # at most the vocabulary
     n = np.zeros(max(counts, default=0) + 1, np.int64)
     n[list(counts)] = list(counts.values())
     lengths = code_lengths(n)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, length int").coalesce(1).write.parquet(f"{out}/lengths")
     parts = min(MAX_PARTS, max(1, math.ceil(int(n.sum()) / PART_IDS)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranged = ids.repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc").select("doc_id", "ids")
-    rows = ranged.mapInArrow(_blocks(lengths), f"first long, n long, doc_ids array<{kind}>, sizes binary, bits binary, offsets binary")
-    rows.select(F.spark_partition_id().alias("part"), "*").write.option("compression", "none").parquet(f"{out}/blocks")
+    ranged = rows.where("n >= 0").repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc").select("doc_id", "n", "ids")
+    coded = ranged.mapInArrow(_blocks(lengths), f"first long, n long, doc_ids array<{kind}>, sizes binary, bits binary, offsets binary")
+    coded.select(F.spark_partition_id().alias("part"), "*").write.option("compression", "none").parquet(f"{out}/blocks")
     drop(spark, raw)
     return out
 
