@@ -5,8 +5,7 @@ if one of its features (word, prefixes, suffix) stands almost only in toxic trai
 fitted to these sequences; forward-backward gives each token's marginal, runs of likely tokens are the offending
 spans, and a logistic curve over the strongest marginal and the sum of the likely ones is the document's score.
 
-What is fitted uses a bounded sample (`max_toxic`, `max_clean` labelled documents, smallest hash of the id first);
-everything else covers all rows and whole texts. Defined cases: null and blank texts have no token and score as the
+What is fitted uses a bounded sample (see `train`); everything else covers all rows and whole texts. Defined cases: null and blank texts have no token and score as the
 curve at its lowest; a null doc_id is never learned from and not held out unless its empty text is; repeated rows are
 scored each by itself; several labels of a document count as toxic if one does; null labels are ignored; without
 toxic or without clean training rows every score is 0; other columns are ignored; an empty table gives an empty
@@ -22,10 +21,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, fresh
+from keyloom.llm.common import WORD, fresh, released
 from keyloom.llm.encoding import in_groups
 from keyloom.llm.routing import mixed
 
@@ -62,8 +61,13 @@ class Crf:
 
 
 def marginals(scores: list[np.ndarray], steps: tuple[float, float, float, float]) -> list[np.ndarray]:
-    """Log-odds of the toxic state for every token of every sequence, by forward-backward. All sequences advance
-    together, the longest first, so that the ended ones leave from the end."""
+    """Log-odds of the toxic state for every token of every sequence, by forward-backward."""
+    return forward_backward(scores, steps)[0]
+
+
+def forward_backward(scores: list[np.ndarray], steps: tuple[float, float, float, float], count: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """The marginals, and (if asked for) how often each kind of step is expected. All sequences advance together, the
+    longest first, so that the ended ones leave from the end."""
     order = sorted(range(len(scores)), key=lambda i: -len(scores[i]))
     sizes = np.array([len(scores[i]) for i in order], np.int64)
     top = int(sizes[0]) if len(sizes) else 0
@@ -85,11 +89,18 @@ def marginals(scores: list[np.ndarray], steps: tuple[float, float, float, float]
     for t in range(top - 2, -1, -1):
         r = back[base[t + 1] : base[t + 2]] * odds[base[t + 1] : base[t + 2]]
         back[base[t] : base[t] + alive[t + 1]] = (tc + tt * r) / (cc + ct * r)
+    expected = np.zeros(4)
+    if count and top > 1:
+        at = np.arange(base[1], base[-1])  # every token but the first ones, and the one before it
+        before = at - np.repeat(alive[:-1], alive[1:])
+        r, o = ahead[before], odds[at] * back[at]
+        kinds = np.stack([np.full(len(r), cc), ct * o, tc * r, tt * r * o])
+        expected = (kinds / kinds.sum(0)).sum(1)
     both = np.log(ahead) + np.log(back)
     out: list[np.ndarray] = [np.empty(0)] * len(scores)
     for row, i in enumerate(order):
         out[i] = both[base[: sizes[row]] + row]
-    return out
+    return out, expected
 
 
 def _chance(log_odds: np.ndarray) -> np.ndarray:
@@ -182,20 +193,27 @@ def fit(docs: list[str], toxic: np.ndarray, rounds: int = 40, l2: float = 1e-3)
     pairs = np.ones(len(all_ids), bool)
     pairs[0] = False
     pairs[cuts] = False  # the first token of a sequence follows none
-    # Steps are fitted in closed form from the labels; the weights by full-batch AdaGrad on the likelihood's gradient.
+    # Weights and steps are fitted by full-batch AdaGrad on the likelihood's gradient; steps begin at their frequencies.
     now, before = y[pairs], np.concatenate([[0], y[:-1]])[pairs]
-    steps = tuple(float(np.log((((before == s) & (now == t)).sum() + 1) / ((before == s).sum() + 2))) for s in (0, 1) for t in (0, 1))
+    seen = np.array([((before == s) & (now == t)).sum() for s in (0, 1) for t in (0, 1)], float)
+    steps = np.log((seen + 1) / np.repeat(seen[::2] + seen[1::2] + 2, 2))
+    step_squares = np.full(4, 1e-8)
     theta, bias = np.zeros(len(names)), 0.0
     squares, bias_squares = np.full(len(names), 1e-8), 1e-8
     for _ in range(rounds):
         per_type = bias + np.bincount(rows, theta[cols], len(types.number))
-        p = _chance(np.concatenate(marginals(np.split(per_type[all_ids], cuts), steps)))
+        found, expected = forward_backward(np.split(per_type[all_ids], cuts), tuple(steps), count=True)
+        p = _chance(np.concatenate(found))
         off = np.bincount(all_ids, p - y, len(types.number))
         slope = np.bincount(cols, off[rows], len(names)) + l2 * len(own) * theta / 10
         squares += slope**2
         theta -= 0.5 * slope / np.sqrt(squares)
         bias_squares += off.sum() ** 2
         bias -= 0.5 * off.sum() / np.sqrt(bias_squares)
+        step_slope = expected - seen
+        step_squares += step_slope**2
+        steps = np.clip(steps - 0.2 * step_slope / np.sqrt(step_squares), -12, 12)
+    steps = tuple(steps.tolist())
     model = Crf({f: float(theta[i]) for f, i in names.items() if abs(theta[i]) > 0.02}, float(bias), steps)
     kept = np.where(np.abs(theta) > 0.02, theta, 0.0)
     word = bias + np.bincount(rows, kept[cols], len(types.number))
@@ -209,14 +227,19 @@ def fit(docs: list[str], toxic: np.ndarray, rounds: int = 40, l2: float = 1e-3)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2000) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2000, max_chars: int = 20_000_000) -> Crf:
+    """Fits to a bounded sample of labelled documents: `max_toxic` and `max_clean` of them, the smallest hashes of the id
+    first, and of these, in that order, whole texts of `max_chars` characters together. Of several rows of one id the
+    smallest text counts, so that no id can bring more than one."""
     known = fresh(labels, "doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("o", F.xxhash64("doc_id"))
     pick = lambda t, n: known.where(F.col("toxic") == t).orderBy("o", "doc_id").limit(n)
     # At most max_toxic + max_clean rows of three numbers are broadcast.
-    sample = pick(1, max_toxic).unionByName(pick(0, max_clean)).select(F.col("doc_id").alias("label_id"), "toxic")
+    sample = pick(1, max_toxic).unionByName(pick(0, max_clean)).select(F.col("doc_id").alias("label_id"), "toxic", "o")
     own = fresh(docs, "doc_id", "text").where("text is not null")
-    rows = own.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "toxic").toPandas()
+    texts = own.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "toxic", "o").agg(F.min("text").alias("text"))
+    before = F.sum(F.length("text")).over(Window.orderBy("o", "doc_id"))  # one row for each document of the sample
+    rows = texts.withColumn("chars", before).where(F.col("chars") <= max_chars).select("doc_id", "text", "toxic").toPandas()
     rows = rows.drop_duplicates("text").sort_values(["doc_id", "text"])
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy(float))
 
@@ -224,6 +247,12 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean:
 _cached: dict[str, object] = {"model": None, "scores": {}}
 
 
+def forget() -> None:
+    """Ends a task: the worker lives on, and other stages need its memory."""
+    _cached["model"], _cached["scores"] = None, {}
+    released()
+
+
 def score_texts(model: Crf, texts: list[str | None]) -> list[tuple[float, np.ndarray]]:
     """Score and token log-odds of each text."""
     if _cached["model"] != model.curve or len(_cached["scores"]) > CACHE:  # type: ignore[arg-type]
@@ -285,6 +314,7 @@ def score(docs: DataFrame, model: Crf, limit: float = 0.7) -> DataFrame:
                 marked = [[{"begin": x, "end": y} for x, y in spans(t, m)] for t, (_, m) in zip(texts, found)]
                 values = [s for s, _ in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.float64()), pa.array([int(s >= limit) for s in values], pa.int32()), pa.array(marked, span)], ["doc_id", "score", "predicted", "spans"])
+        forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return fresh(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, predicted int, spans array<struct<begin: bigint, end: bigint>>")
@@ -299,5 +329,6 @@ def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.7, **options) ->
         for batch in batches:
             for part, texts in _parts(batch, at):
                 yield part.filter(pa.array([s < limit for s, _ in score_texts(shared.value, texts)], pa.bool_()))
+        forget()
 
     return docs.mapInArrow(run, docs.schema)

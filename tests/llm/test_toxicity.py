@@ -13,13 +13,19 @@ def test_marginals():
     rng = np.random.default_rng(0)
     scores, steps = [rng.normal(size=n) for n in (0, 1, 2, 5, 7)], (-0.1, -2.0, -1.0, -0.3)
     s = np.array(steps).reshape(2, 2)
+    expected = np.zeros(4)
     for x, got in zip(scores, toxicity.marginals(scores, steps)):
-        weight = np.zeros((len(x), 2))
+        weight, pairs = np.zeros((len(x), 2)), np.zeros(4)
         for z in itertools.product((0, 1), repeat=len(x)):
             v = np.exp(sum(a * b for a, b in zip(x, z)) + sum(s[a, b] for a, b in zip(z, z[1:])))
             for i, state in enumerate(z):
                 weight[i, state] += v
+            for a, b in zip(z, z[1:]):
+                pairs[2 * a + b] += v
+        if len(x) > 1:
+            expected += pairs / weight[0].sum()
         assert np.allclose(got, np.log(weight[:, 1] / weight[:, 0])) if len(x) else len(got) == 0
+    assert np.allclose(toxicity.forward_backward(scores, steps, count=True)[1], expected)
 
 
 def test_a_word_of_a_fortieth_of_the_toxic_documents_marks():
@@ -45,7 +51,9 @@ def test_held_out_accuracy(tables, model):
     scored = toxicity.score(docs, model).withColumn("out", toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").toPandas()
     assert all(o == (zlib.crc32(str(i).encode()) % 3 == 1) for i, o in zip(scored["doc_id"], scored["out"]))
     own = scored[scored["out"]]
-    assert (own["predicted"] == own["toxic"]).mean() > 0.95
+    bad, good = own[own["toxic"] == 1], own[own["toxic"] == 0]
+    assert bad["predicted"].mean() >= 0.75  # labels are noisy: the rest hold no word that toxic documents share
+    assert good["predicted"].mean() <= 0.02
     assert ((scored["score"] >= 0) & (scored["score"] <= 1)).all()
 
 
