@@ -12,7 +12,7 @@ no segment has two equal windows. Three rounds over the texts, dealt once into c
 2. Only segments with a repeated anchor are sent on: equal ones of a chunk once, with the number of their places
    and their smallest doc_id. An anchor decides the shard. The very frequent ones are cut into single windows dealt by
    their own content, so a passage that a third of the documents share is dealt to all shards, and at most once a chunk.
-   A shard indexes its distinct segments and answers for each window of each.
+   A shard indexes its distinct segments, but those that alone have their anchor, and answers for each window of each.
 3. A chunk puts the answers to its texts.
 
 All that a task holds is a chunk, a bucket or a shard; their number grows with the corpus. Rows are ordered by content
@@ -22,7 +22,7 @@ in every message, so a chunk or shard computed anew after a loss sends the same.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,6 +71,11 @@ class Segments:
     def content(self, a: int, b: int) -> bytes:
         return self.data[a:b] if self.begin is None else self.data[self.begin[a] : self.begin[b] - 1]
 
+    def contents(self, first: np.ndarray, last: np.ndarray) -> Iterator[bytes]:
+        if self.begin is not None:
+            first, last = self.begin[first], self.begin[last] - 1
+        return (self.data[a:b] for a, b in zip(first.tolist(), last.tolist()))
+
 
 #: A random odd number for the polynomial hash of words, its inverse modulo 2^64, and random values of the bytes.
 #: Only anchors depend on these hashes; which windows are equal is decided on their bytes.
@@ -202,7 +207,7 @@ class Candidates:
     content: np.ndarray  # its distinct content
     contents: list[bytes]
     shard: np.ndarray
-    sub: np.ndarray
+    route: np.ndarray  # the anchor, or of a single window a hash of its content
     many: np.ndarray  # windows of each distinct content
 
 
@@ -212,34 +217,31 @@ def _candidates(s: Segments, u: Units, n: int, flags: dict[int, bytes]) -> Candi
     flat = np.frombuffer(b"".join(flags[int(b)] for b in bucket[cuts]), np.uint8) if len(bucket) else np.zeros(0, np.uint8)
     flag = flat[place] if len(place) else flat
     plain, often = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
-    # Equal segments: by anchor and content hash, 128 bits together.
-    by = np.lexsort((s.hash[plain], s.anchor[plain]))
-    ranked = plain[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (s.anchor[ranked[1:]] != s.anchor[ranked[:-1]]) | (s.hash[ranked[1:]] != s.hash[ranked[:-1]])
-    content = np.empty(len(plain), np.int64)
-    content[by] = np.cumsum(new) - 1
-    firsts = ranked[new]
-    texts = [s.content(a, b) for a, b in zip(s.first[firsts].tolist(), (s.first[firsts] + s.windows[firsts] + (u.k - 1)).tolist())]
+    # Equal segments: by their bytes.
+    same: dict[bytes, int] = {}
+    content = np.fromiter((same.setdefault(t, len(same)) for t in s.contents(s.first[plain], s.first[plain] + s.windows[plain] + (u.k - 1))), np.int64, len(plain))
+    firsts = np.empty(len(same), np.int64)
+    firsts[content] = plain
+    texts = list(same)
     # Single windows of the very frequent: by content, which also deals them.
     reps = s.windows[often]
     nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
     at = np.repeat(s.first[often], reps) + nth
     known: dict[bytes, int] = {}
-    single = np.fromiter((known.setdefault(s.content(a, a + u.k), len(known)) for a in at.tolist()), np.int64, len(at))
+    single = np.fromiter((known.setdefault(t, len(known)) for t in s.contents(at, at + u.k)), np.int64, len(at))
     routes = np.array([xxhash.xxh3_64_intdigest(t) for t in known], _U)
     content = np.concatenate([content, single + len(texts)])
     texts += known
     route = np.concatenate([s.anchor[firsts], routes])
     tie = np.concatenate([s.hash[firsts], np.zeros(len(known), _U)])
     many = np.concatenate([s.windows[firsts], np.ones(len(known), np.int64)])
-    shard, sub = (route % _U(n)).astype(np.int64), ((route >> _U(40)) & _U(0xFFFF)).astype(np.uint16)
+    shard = (route % _U(n)).astype(np.int64)
     order = np.lexsort((tie, route, shard))
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     place = np.concatenate([s.first[plain], at])
     of = np.searchsorted(np.cumsum(s.size), place, side="right")
-    return Candidates(place, np.concatenate([s.windows[plain], np.ones(len(at), np.int64)]), of, back[content], [texts[i] for i in order.tolist()], shard[order], sub[order], many[order])
+    return Candidates(place, np.concatenate([s.windows[plain], np.ones(len(at), np.int64)]), of, back[content], [texts[i] for i in order.tolist()], shard[order], route[order], many[order])
 
 
 def _cut(values: np.ndarray) -> list[tuple[int, int]]:
@@ -264,9 +266,11 @@ def _unpacked(data: bytes, n: int) -> list[bytes]:
 Index = Callable[[list[bytes], np.ndarray, np.ndarray, Units], np.ndarray]
 #: Gets the segments, ids, and for each occurrence's window the place and the number; gives columns for the chunk's texts.
 Finish = Callable[[Segments, np.ndarray, np.ndarray, np.ndarray], dict[str, list]]
+#: Gets the places and smallest doc_ids of segments that are equal to no other in any window; gives their windows' number.
+Settled = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def route(docs: DataFrame, u: Units, index: Index, finish: Finish, schema: str, chunk_bytes: int = 8 << 20, sub_bytes: int = 1 << 20) -> DataFrame:
+def route(docs: DataFrame, u: Units, index: Index, settled: Settled, finish: Finish, schema: str, chunk_bytes: int = 8 << 20, sub_bytes: int = 1 << 20) -> DataFrame:
     """doc_id and finish's columns for every row of `docs` (doc_id, text)."""
     own = fresh(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = own.agg(F.sum(F.length("text"))).collect()[0][0] or 0
@@ -303,14 +307,14 @@ def route(docs: DataFrame, u: Units, index: Index, finish: Finish, schema: str,
         chunk, rows = int(pdf["chunk"].iloc[0]), []
         for a, b in _cut(c.shard):
             part = c.contents[a:b]
-            rows.append((chunk, 2, int(c.shard[a]), _packed(np.array([len(x) for x in part], "<i4").tobytes(), b"".join(part), places[a:b].astype("<i8").tobytes(), least[a:b].astype("<i8").tobytes(), c.sub[a:b].astype("<u2").tobytes())))
+            rows.append((chunk, 2, int(c.shard[a]), _packed(np.array([len(x) for x in part], "<i4").tobytes(), b"".join(part), places[a:b].astype("<i8").tobytes(), least[a:b].astype("<i8").tobytes(), c.route[a:b].astype("<u8").tobytes())))
         return frame(rows)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
         known: dict[bytes, int] = {}
-        places, least, subs, at = [], [], [], []
+        places, least, routes, at = [], [], [], []
         for data in pdf["data"]:
-            size, text, many, low, sub = _unpacked(data, 5)
+            size, text, many, low, route = _unpacked(data, 5)
             ends = np.cumsum(np.frombuffer(size, "<i4"), dtype=np.int64).tolist()
             mine, a = [], 0
             for b in ends:
@@ -319,19 +323,25 @@ def route(docs: DataFrame, u: Units, index: Index, finish: Finish, schema: str,
             at.append(np.array(mine, np.int64))
             places.append(np.frombuffer(many, "<i8"))
             least.append(np.frombuffer(low, "<i8"))
-            subs.append(np.frombuffer(sub, "<u2"))
+            routes.append(np.frombuffer(route, "<u8"))
         texts, flat = list(known), np.concatenate(at)
         total = np.bincount(flat, np.concatenate(places), len(texts)).astype(np.int64)
         low = np.full(len(texts), LAST)
         np.minimum.at(low, flat, np.concatenate(least))
-        sub = np.zeros(len(texts), np.int64)
-        sub[flat] = np.concatenate(subs)
+        route = np.zeros(len(texts), _U)
+        route[flat] = np.concatenate(routes)
         units = [t.count(b" ") + 1 for t in texts] if u.by_word else [len(t) for t in texts]
         windows = np.array(units, np.int64) - (u.k - 1)
         ends = np.cumsum(windows)
         out = np.empty(int(ends[-1]), np.int64)
-        groups = max(1, math.ceil(sum(map(len, texts)) / sub_bytes))
-        of = sub % groups
+        # Equal windows have one anchor, so a segment that alone has its anchor is equal to itself only.
+        _, which, count = np.unique(route, return_inverse=True, return_counts=True)
+        alone = count[which] == 1
+        w = np.where(alone, windows, 0)
+        out[np.repeat(ends - windows - (np.cumsum(w) - w), w) + np.arange(w.sum())] = np.repeat(settled(total, low), w)
+        size = np.array([len(t) for t in texts], np.int64)
+        groups = max(1, math.ceil(int(size[~alone].sum()) / sub_bytes))
+        of = np.where(alone, -1, ((route >> _U(40)) % _U(groups)).astype(np.int64))
         for g in range(groups):
             mine = np.flatnonzero(of == g)
             if len(mine):

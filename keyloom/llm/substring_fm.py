@@ -48,7 +48,7 @@ class WaveletMatrix:
         return place
 
 
-def suffixes(text: np.ndarray, depth: int = 256) -> np.ndarray:
+def suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffix array by prefix doubling; equal prefixes of `depth` symbols stay in any order."""
     n = len(text)
     rank, step = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
@@ -66,15 +66,15 @@ def suffixes(text: np.ndarray, depth: int = 256) -> np.ndarray:
 
 
 class FmIndex:
-    def __init__(self, segments: list[np.ndarray], places: np.ndarray, top: int):
-        """Symbols are 1 to `top`; 0 ends a segment."""
+    def __init__(self, segments: list[np.ndarray], places: np.ndarray, top: int, depth: int):
+        """Symbols are 1 to `top`; 0 ends a segment. Matches of up to `depth` symbols are found."""
         size = np.array([len(s) + 1 for s in segments], np.int64)
-        self.text = np.zeros(int(size.sum()), np.int64)
+        self.text = np.zeros(int(size.sum()), np.int32)
         self.start = np.cumsum(size) - size
         inner = np.ones(len(self.text), bool)
         inner[self.start + size - 1] = False
         self.text[inner] = np.concatenate(segments)
-        order = suffixes(self.text)
+        order = suffixes(self.text, depth)
         before = self.text[order - 1]
         self.matrix = WaveletMatrix(before, top)
         counts = np.bincount(self.text, minlength=top + 1)
@@ -105,8 +105,8 @@ def repeated(texts: list[bytes], places: np.ndarray, least: np.ndarray, u: Units
     k = u.k
     ids: dict[bytes, int] = {}
     words = [np.array([ids.setdefault(w, len(ids) + 1) for w in t.split(b" ")], np.int64) for t in texts]
-    index = FmIndex(words, places, len(ids))
     size = np.array([len(w) for w in words], np.int64)
+    index = FmIndex(words, places, len(ids), int(size.max()) + 1)
     windows = size - k + 1
     base = np.cumsum(windows) - windows
     marks = np.zeros(int(windows.sum()) + 1, np.int64)  # +1 and -1 at the ends of marked runs
@@ -164,4 +164,4 @@ def dedup_words(docs: DataFrame, k: int = 35, m: int = 8, **sizes) -> DataFrame:
         return {"n_words": s.size, "n_removed": lost, "kept": kept}
 
     frequent = {"frequent": sizes.pop("frequent")} if "frequent" in sizes else {}
-    return route(docs, Units(k, m, True, **frequent), repeated, finish, "n_words long, n_removed long, kept binary", **sizes)
+    return route(docs, Units(k, m, True, **frequent), repeated, lambda places, least: (places >= 2).astype(np.int64), finish, "n_words long, n_removed long, kept binary", **sizes)

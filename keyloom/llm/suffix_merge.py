@@ -140,4 +140,4 @@ def dedup_bytes(docs: DataFrame, k: int = 50, m: int = 16, **sizes) -> DataFrame
         return {"n_bytes": s.size, "n_removed": lost, "n_spans": spans, "kept": kept}
 
     frequent = {"frequent": sizes.pop("frequent")} if "frequent" in sizes else {}
-    return route(docs, Units(k, m, False, **frequent), first_documents, finish, "n_bytes long, n_removed long, n_spans long, kept binary", **sizes)
+    return route(docs, Units(k, m, False, **frequent), first_documents, lambda places, least: least, finish, "n_bytes long, n_removed long, n_spans long, kept binary", **sizes)

@@ -100,6 +100,20 @@ def test_indexes_against_brute_force(monkeypatch):
         assert suffix_merge.first_documents([bytes(s) for s in segments], least, least, routing.Units(k, 1, False)).tolist() == expected
 
 
+@pytest.mark.parametrize("k", [35, 300, 400])
+def test_long_windows(k):
+    """The index tells strings apart that differ only far behind their begin."""
+    rng = random.Random(k)
+    base = [rng.randrange(3) for _ in range(3 * k)]
+    segments = [tuple(base[a : a + k + 20]) for a in (0, 7, 40)] + [tuple(base[: k - 1] + [9] + base[k : k + 9])]
+    texts = [b" ".join(b"w%d" % x for x in s) for s in segments]
+    seen = collections.Counter(s[i : i + k] for s in segments for i in range(len(s) - k + 1))
+    expected = [int(seen[s[i : i + k]] >= 2) for s in segments for i in range(len(s) - k + 1)]
+    assert 0 < sum(expected) < len(expected)
+    one = np.ones(len(texts), np.int64)
+    assert substring_fm.repeated(texts, one, one, routing.Units(k, 1, True)).tolist() == expected
+
+
 def test_wavelet_rank():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 11, 300)
