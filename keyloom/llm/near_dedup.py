@@ -17,7 +17,8 @@ on their retained values within the list, and only what passes goes on. A longer
 with the leader L for a measure: sets A and B have at most min(|A & L|, |B & L|) values of L in common, so unless that
 reaches what the similarity asks for (few pairs, found by their sizes), they share a value outside L, and the new lists
 are those of the values outside L. For members near L whole sets are taken, for those with too few of L's retained
-values the retained ones. Pairs in which both are linked with L are never made. Of the new lists, the long ones are
+values the retained ones (in lists of up to `WIDE` members such ones are compared within the list, where they hardly
+ever share enough). Pairs in which both are linked with L are never made. Of the new lists, the long ones are
 treated alike, and what is long after `TURNS` turns is compared block by block.
 
 Defined cases: null texts and texts without words have no shingle, no link and their own id as component; fewer words
@@ -44,8 +45,9 @@ from keyloom.llm.routing import mixed, word_hashes
 
 #: Up to so many ids or 16-byte keys are broadcast (about 100 MB at most in memory); beyond, joins shuffle.
 BROADCAST_KEYS = 500_000
-SHORT = 256  # members of a list that are compared within it at once
+SHORT = 64  # members of a list that are compared within it at once
 BLOCK = 256  # members of a block; lists that were dealt anew are compared within up to two blocks
+WIDE = 1024  # members of a list in which pairs with one far from the leader are compared within it
 TURNS = 4  # turns with leaders; lists that are long even then are compared block by block
 WHOLE = 1 << 30  # retained values of the exact option
 CHANCE = 1e-9  # that two sets at the threshold share too few retained values
@@ -108,8 +110,8 @@ def _fits(a: Column, b: Column, t: float) -> Column:
 
 
 def _sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
-    """The sets of the texts, about two million bytes of them at a time."""
-    for a, b in in_groups(texts, 2_000_000):
+    """The sets of the texts, about a million bytes of them at a time."""
+    for a, b in in_groups(texts):
         yield from shingles(texts[a:b], n)
 
 
@@ -233,9 +235,11 @@ def within(t: float):
 
     def pairs_of(cid, n, least, label, open_, values, ends):
         m = len(cid)
-        flat = np.unique(values, return_inverse=True)[1]
-        has = np.zeros((m, int(flat.max()) + 1), np.float32)
-        has[np.repeat(np.arange(m), np.diff(ends)), flat] = 1
+        flat, count = np.unique(values, return_inverse=True, return_counts=True)[1:]
+        often = np.cumsum(count > 1) - 1  # columns for values of two members or more
+        own = count[flat] > 1
+        has = np.zeros((m, int(often[-1]) + 1), np.float32)
+        has[np.repeat(np.arange(m), np.diff(ends))[own], often[flat[own]]] = 1
         both = has @ has.T
         small, large = np.minimum(n[:, None], n), np.maximum(n[:, None], n)
         ok = (both >= np.maximum(least[:, None], least)) & (label[:, None] != label) & (open_[:, None] | open_) & (small >= np.round(t * large, 9))
@@ -301,6 +305,7 @@ class Search:
         self.links: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
+        self.facts: DataFrame | None = None  # what entries have of each class
         self.rest: DataFrame | None = None  # parent, cid, rest: see `dealt`
 
     def labelled(self, entries: DataFrame) -> DataFrame:
@@ -345,6 +350,7 @@ class Search:
 
     def run(self) -> DataFrame | None:
         entries: DataFrame | None = cut(lists(self.classes, self.g, self.t))
+        self.facts = cut(entries.select("cid", "n", "least", "weight", "sk").dropDuplicates(["cid"]))
         for depth in range(TURNS):
             if entries is None or entries.isEmpty():
                 return self.labels
@@ -391,35 +397,46 @@ class Search:
         now = self.labelled(entries)
         rows = cut(now.join(near(cut(self.several(now).where(F.col("m") > (2 if first else 1)))), "v"))
         pairs, again = self.compared(rows.where(F.col("m") <= limit)), None
-        long = rows.where(F.col("m") > limit)
-        if not long.isEmpty():
-            by_size, again = self.dealt(long.join(leads.select("v", "lead"), "v"), stars)
-            pairs = pairs if by_size is None else pairs.unionByName(by_size).distinct()
+        if not rows.where(F.col("m") > limit).isEmpty():
+            far = F.size(F.array_intersect("sk", "lead.sk")) < F.col("least")
+            long = cut(rows.where(F.col("m") > limit).join(leads.select("v", "lead"), "v").where(F.col("cid") != F.col("lead.cid")).withColumn("far", far))
+            # Few unlike sets share enough values, so their pairs are found within the list; those of like ones are not.
+            unlike = long.where(F.col("m") <= WIDE)
+            unlike = unlike.join(near(cut(unlike.where("far").select("v").distinct())), "v", "left_semi").withColumn("open", F.col("far"))
+            by_size, again = self.dealt(long, stars)
+            pairs = pairs.unionByName(self.compared(unlike))
+            pairs = (pairs if by_size is None else pairs.unionByName(by_size)).distinct()
         self.judge_likely(pairs)
         return again
 
+    def lists_of(self, rows: DataFrame) -> DataFrame:
+        """The entries of new lists, without those that have one member or none open."""
+        rows = cut(rows)
+        live = rows.groupBy("v").agg(F.count("*").alias("m"), F.max("open").alias("some")).where("m > 1 and some").select("v")
+        return cut(rows.join(near(cut(live)), "v", "left_semi").join(self.facts, "cid"))
+
     def dealt(self, long: DataFrame, stars: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
         """Of long lists that hold several components: pairs whose sizes alone allow the similarity, and new lists. A
         list that comes from values outside one leader is measured by all its leaders so far: `rest` is what a member
         has outside them."""
         t, share, first = self.t, self.t / (1 + self.t), self.rest is None
-        both = F.size(F.array_intersect("sk", "lead.sk"))
         star_key = F.col("lead.cid") if first else F.xxhash64("v", "lead.cid")
-        own = long.where(F.col("cid") != F.col("lead.cid")).select(star_key.alias("star"), "parent", F.col("lead.cid").alias("lead"), F.col("lead.sk").alias("lead_sk"), "cid", "n", "least", "weight", "sk", "open", "label", (both < F.col("least")).alias("far"))
-        members = cut(own.dropDuplicates(["star", "cid"]))
+        own = long.select(star_key.alias("star"), "parent", F.col("lead.cid").alias("lead"), F.col("lead.sk").alias("lead_sk"), "cid", "n", "least", "weight", "sk", "open", "label", "far", "m")
         # Far from the leader: a similar set shares a retained value that the leader has not. In the first turn all are
         # open, and a far member is enough for a pair; later the open one may be the other as well.
-        some_far = members.where("far").select("star").distinct()
+        wide = own.where(F.col("m") > WIDE).dropDuplicates(["star", "cid"])
+        some_far = near(cut(wide.where("far").select("star").distinct()))
         is_open = F.col("far") if first else F.col("open")
-        apart = members.join(some_far, "star", "left_semi").select("star", "cid", "n", "least", "weight", "sk", is_open.alias("open"), F.explode(F.array_except("sk", "lead_sk")).alias("x"))
+        apart = wide.join(some_far, "star", "left_semi").select("star", "cid", is_open.alias("open"), F.explode(F.array_except("sk", "lead_sk")).alias("x"))
         apart = apart.withColumn("v", F.xxhash64(F.lit(1), "star", "x")).withColumn("parent", F.lit(None).cast("long")).drop("star", "x")
+        members = cut(own.where("not far").dropDuplicates(["star", "cid"]))
         if stars is None:
-            return None, cut(apart)
+            return None, self.lists_of(apart)
         # Near it: what a member has outside is known from the full sets. Of a pair in two components one at least is not
         # linked with the leader; those are open.
         of_leads = self.labelled(members.select(F.col("lead").alias("cid")).distinct()).select(F.col("cid").alias("lead"), F.col("label").alias("lead_label"))
-        star = members.where("not far").drop("lead_sk", "far").join(of_leads, "lead").withColumn("out", F.col("label") != F.col("lead_label"))
-        star = star.join(star.where("out").select("star").distinct(), "star", "left_semi")
+        star = members.drop("lead_sk", "far", "m").join(near(cut(of_leads)), "lead").withColumn("out", F.col("label") != F.col("lead_label"))
+        star = star.join(near(cut(star.where("out").select("star").distinct())), "star", "left_semi")
         star = star.join(stars.where("long").select(F.col("b").alias("lead"), F.col("a").alias("cid"), F.col("more").alias("rest")), ["lead", "cid"])
         if not first:
             before = self.rest.withColumnRenamed("rest", "outside")
@@ -427,14 +444,14 @@ class Search:
         star = cut(star.withColumn("common", F.col("n") - F.size("rest")))
         kept = star.select(F.col("star").alias("parent"), "cid", "rest")
         self.rest = kept if first else self.rest.unionByName(kept)
-        beyond = star.select("star", "cid", "n", "least", "weight", "sk", F.col("out").alias("open"), F.explode("rest").alias("x")).withColumn("v", F.xxhash64(F.lit(0), "star", "x")).withColumn("parent", F.col("star")).drop("star", "x")
+        beyond = star.select("star", "cid", F.col("out").alias("open"), F.explode("rest").alias("x")).withColumn("v", F.xxhash64(F.lit(0), "star", "x")).withColumn("parent", F.col("star")).drop("star", "x")
         # Without a common value outside the leaders: least(common) >= share * (n + m), so the other's size is bounded.
         top = F.floor(F.col("common") / share - F.col("n") + 1e-9)
         low = F.ceil(F.round(t * F.col("n"), 9))
         sized = star.where("out").select("star", F.col("cid").alias("a"), "n", F.col("common").alias("ca"), F.col("label").alias("la"), F.explode(F.when(top >= low, F.sequence(low, top))).alias("m"))
         other = star.select("star", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("common").alias("cb"), F.col("label").alias("lb"))
         meets = sized.join(other, ["star", "m"]).where((F.col("la") != F.col("lb")) & (F.col("cb") >= F.round(share * (F.col("n") + F.col("m")), 9)) & _fits(F.col("n"), F.col("m"), t))
-        return meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), cut(apart.unionByName(beyond))
+        return meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), self.lists_of(apart.unionByName(beyond))
 
 
 def _placed(docs: DataFrame, n: int, t: float, k: int, exact: bool = False) -> DataFrame:
