@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Reducer = Callable[[Column], Column]
@@ -55,15 +55,28 @@ REDUCERS: dict[str, Reducer] = {
 }
 
 
-def custom(update: Callable[[Column, Column], Column]) -> Reducer:
-    """Any associative and commutative update of two values. The values of a key meet in one row, so this is the slow
-    path for keys of bounded size; a named reducer combines before the shuffle."""
+class Custom:
+    """Any associative and commutative update of two values. As an aggregate it folds the values of a group that meet in
+    one row; `reduce_by_key` therefore gives it groups of bounded size (see `partial`)."""
 
-    def fold(v: Column) -> Column:
-        values = F.array_sort(F.collect_list(v))
-        return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), update)
+    def __init__(self, update: Callable[[Column, Column], Column]):
+        self.update = update
 
-    return fold
+    def __call__(self, v: Column) -> Column:
+        values = F.collect_list(v)
+        return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), self.update)
+
+    def partial(self, rows: DataFrame, block: int = 1 << 14, salts: int = 1 << 12) -> DataFrame:
+        """key, value: folded first within each task's blocks of rows, then by key and salt, so that a hot key never
+        meets in one row: at most `block` values, then its blocks over `salts`, then `salts`."""
+        place = F.struct(F.spark_partition_id(), F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / block))
+        blocks = rows.withColumn("_at", place).groupBy("key", "_at").agg(self(F.col("value")).alias("value"))
+        salted = blocks.groupBy("key", F.pmod(F.xxhash64("_at"), F.lit(salts)).alias("_salt")).agg(self(F.col("value")).alias("value"))
+        return salted.select("key", "value")
+
+
+def custom(update: Callable[[Column, Column], Column]) -> Custom:
+    return Custom(update)
 
 
 def reducer(by: str | Reducer | None) -> Reducer:

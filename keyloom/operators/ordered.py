@@ -1,24 +1,37 @@
 """Running values along an order, without one task that sees all rows.
 
-Rows are dealt into blocks of neighbouring positions. A block's summary (a row) is scanned over the blocks, and a
-window inside each block does the rest, so the only total order is over rows / `block` summaries."""
+Rows are dealt into blocks of neighbouring positions: where positions are dense, ranges of them; where they are sparse,
+the partitions of a range partitioning, written once so that they stay. A block's summary (a row) is scanned over the
+blocks, and a window inside each block does the rest. Positions are unique numbers; a null one is refused."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.plans.checkpoints import cut
+
 BLOCK = 1 << 16
+SPARSE = 64  # positions a row, from which on ranges of positions would be too many blocks
 
 
 def _blocked(df: DataFrame, pos: str, block: int) -> DataFrame:
+    s = df.agg(F.min(pos).alias("low"), F.max(pos).alias("high"), F.count(pos).alias("n"), F.count("*").alias("rows")).collect()[0]
+    if s["n"] < s["rows"]:
+        raise ValueError(f"{s['rows'] - s['n']} rows have no position {pos}")
+    if s["n"] and s["high"] - s["low"] >= SPARSE * s["n"]:
+        return cut(_ranged(df, pos))
     return df.withColumn("_b", F.floor(F.col(pos) / F.lit(block)).cast("long"))
 
 
-def _carried(df: DataFrame, summary: Column, carry) -> DataFrame:
+def _ranged(df: DataFrame, *by: str) -> DataFrame:
+    return df.repartitionByRange(*by).withColumn("_b", F.spark_partition_id().cast("long"))
+
+
+def _carried(rows: DataFrame, summary: Column, carry) -> DataFrame:
     """Each row with the scan of the summaries of the blocks before its own, as `_c`."""
-    blocks = df.groupBy("_b").agg(summary.alias("_s"))
-    return df.join(blocks.select("_b", carry(Window.orderBy("_b")).alias("_c")), "_b")
+    blocks = rows.groupBy("_b").agg(summary.alias("_s"))
+    return rows.join(blocks.select("_b", carry(Window.orderBy("_b")).alias("_c")), "_b")
 
 
 def with_previous(df: DataFrame, pos: str, value: str, out: str, default: object = None, block: int = BLOCK) -> DataFrame:
@@ -56,6 +69,18 @@ def monotone(df: DataFrame, pos: str, value: str) -> DataFrame:
     return seen.where(F.col("_m").isNull() | (F.col(value) >= F.col("_m"))).drop("_m")
 
 
+def monotone_within(df: DataFrame, group: str, pos: str, value: str) -> DataFrame:
+    """Drops the rows whose value is under one seen before in their group, along `pos`. A group with very many rows lies
+    in several blocks, each of which takes over the largest value of those before. Null groups are one group."""
+    rows = cut(_ranged(df, group, pos))
+    carried = rows.groupBy("_b", F.col(group).alias("_g")).agg(F.max(value).alias("_s"))
+    carried = carried.select(F.col("_b").alias("_at"), "_g", F.max("_s").over(Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
+    inside = Window.partitionBy("_b", group).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("_in", F.max(value).over(inside)).join(carried, (F.col("_b") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_g")))
+    top = F.greatest("_c", "_in")
+    return seen.where(top.isNull() | (F.col(value) >= top)).select(*df.columns)
+
+
 def order_violations(df: DataFrame, pos: str, key: str, strict: bool = False, row_bytes: int | None = None) -> DataFrame:
     """pos, last, key of the rows whose key is under (strict: not over) the one before. The strict check begins at 0,
     so a first key of 0 is a violation. With `row_bytes`, the offset of the row in a file of such rows."""

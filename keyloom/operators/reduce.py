@@ -8,7 +8,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.reducers import Reducer, reducer
+from keyloom.functions.reducers import Custom, Reducer, reducer
 
 
 def reduce_by_key(df: DataFrame, key: str | Column, value: str | Column, by: str | Reducer | None, ordered: bool = True, one_shuffle: bool = False, nulls: str = "drop") -> DataFrame:
@@ -21,7 +21,9 @@ def reduce_by_key(df: DataFrame, key: str | Column, value: str | Column, by: str
     if nulls == "raise":
         named = named.withColumn("key", F.coalesce("key", F.raise_error(F.lit("null key")).cast(named.schema["key"].dataType)))
     named = named.where("key is not null and value is not null")
-    if one_shuffle:
+    if isinstance(by, Custom):
+        named = by.partial(named)
+    elif one_shuffle:
         named = named.repartitionByRange("key")
     out = named.groupBy("key").agg(reducer(by)(F.col("value")).alias("value"))
     return out.orderBy("key") if ordered else out
@@ -62,9 +64,17 @@ def golden_compare(result: DataFrame, golden: DataFrame) -> DataFrame:
 
 @dataclass
 class Status:
+    """What a caller may ask while it runs: inputs given and rows known of, whether the input has ended, and whether the
+    result exists, with its rows, bytes and files (of a result that was written)."""
+
     inputs: int = 0
     done_input: bool = False
+    started: bool = False
     done: bool = False
+    rows: int = 0
+    bytes: int = 0
+    files: int = 0
+    path: str | None = None
 
 
 @dataclass
@@ -94,13 +104,20 @@ class KeyedLog:
     def result(self) -> DataFrame:
         if not self.status.done_input:
             raise RuntimeError("the input is not finished")
-        self.status.done = True
+        self.status.started = True
         return reduce_by_key(union_all(self._inputs), "key", "value", self.by, self.ordered)
 
     def rows(self):
         """The rows in key order, a partition at a time."""
-        return ((r["key"], r["value"]) for r in self.result().toLocalIterator())
+        for r in self.result().toLocalIterator():
+            self.status.rows += 1
+            yield r["key"], r["value"]
+        self.status.done = True
 
     def write(self, path: str) -> str:
-        self.result().write.parquet(path)
+        result = self.result()
+        result.write.parquet(path)
+        files = result.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size")).collect()[0]
+        self.status.rows, self.status.files, self.status.bytes = result.sparkSession.read.parquet(path).count(), files["n"], files["size"]
+        self.status.path, self.status.done = path, True
         return path

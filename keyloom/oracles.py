@@ -33,6 +33,18 @@ v as (select unnest(range(0, (select v from n))) id),
 j as (select id, 1.0::double / n.v old, x, 0.15::double / n.v + 0.85::double * x fin from v cross join n left join m on t = id)"""
 
 
+def ranks(graph: str, steps: int, gated: bool) -> str:
+    """State s<i> after each step: value, and (gated) whether it stored."""
+    sql = f"with e as materialized ({graph}), n as materialized (select max(s) + 1 v from e), dg as materialized (select s, count(*) f from e group by 1), "
+    sql += "s0 as materialized (select unnest(range(0, (select v from n))) id, 1.0::double / (select v from n) val, true act)"
+    for i in range(steps):
+        fin = "0.15::double / (select v from n) + 0.85::double * x"
+        stores = f"x is not null and act and abs(val - ({fin})) >= 1e-4" if gated else "x is not null"
+        sql += f""", m{i} as (select t, sum(val / f) x from e join dg using (s) join s{i} on id = s group by 1),
+s{i + 1} as materialized (select id, case when {stores} then {fin} else val end val, coalesce({stores}, false) act from s{i} left join m{i} on t = id)"""
+    return sql + f" select id, round(val, 9) as rank{', act as active' if gated else ''} from s{steps}"
+
+
 LCG = "(x * 1103515245 + 12345) % 2147483648"
 RMAT = f"""with recursive g(id, i, x, s, t) as (
 select i, 0, (i * 2654435 + 1) % 2147483648, 0::bigint, 0::bigint from range(256) r(i)
@@ -84,7 +96,7 @@ select id, (4 * coalesce(sum(coalesce(d, 0)) over (order by id rows between unbo
     "csr_matrix": f"select s as src, t as dst from ({ORD})",
     "frontier_expand": f"select t as dst, s * 4 as msg from ({ORD}) where s < 100",
     "vertex_state_merge": f"""with m as (select t, min(s) x from ({EVT}) where s < 50 group by 1)
-select id, (case when x is null then 0 else 2 end)::int as iteration, x as val, x is not null as active from (select unnest(range(200)) id) left join m on t = id""",
+select id, (case when x is null then 0 else 2 end)::int as iteration, x as val, x is not null as active from (select unnest(range((select max(greatest(s, t)) + 1 from ({EVT})))) id) left join m on t = id""",
     "bfs_unvisited_anti": f"select distinct t as id from ({EVT}) where t >= 40",
     "bfs_levels": f"{tree(ORDPART)} select v as vertex, d::int as depth from lv",
     "bfs_parents": f"{tree(ORD)} select v as vertex, d::int as depth, p as parent from b",
@@ -95,6 +107,8 @@ select id, (case when x is null then 0 else 2 end)::int as iteration, x as val,
     "pagerank_1iter": f"{rank(ORDPART)} select id, round(case when abs(old - fin) >= 1e-4 then fin else old end, 9) as rank from j",
     "pagerank_raw": f"{rank(ORD)} select id, round(case when abs(old - fin) >= 1e-4 then x else old end, 9) as rank from j",
     "pagerank_active": f"{rank(ORD)} select id, coalesce(abs(old - fin) >= 1e-4, false) as active from j",
+    "pagerank_2iter": ranks(ORD, 2, True),
+    "pagerank_10iter": ranks(ORD, 10, False),
     "bc_merge_flip_level": f"{tree(EVT)} select p as key, case when d = 1 then 5 else 1 end::bigint as value from b union all select v, 5 from b where d = 1",
     "bc_leaf_counts": f"""{tree(ORD)},
 leaf as (select b.* from b where not exists (select 1 from b c where c.p = b.v and c.d = b.d + 1)),
@@ -103,6 +117,17 @@ select a as vertex, count(*) as leaves from w group by 1""",
     "gather_by_index": "select event_id as pos, user_id as idx, p_brand as value from events join part on p_partkey = user_id",
     "rmat_generate": f"{RMAT} select id, src, dst from r",
     "rmat_quadrants": f"{RMAT} select (src >= 128)::int as down, (dst >= 128)::int as \"right\", count(*) as n from r group by 1, 2",
+    "kmer_text_lines": f"""{KMERS}, c as (select kmer, count(*) filter (where nxt = 'a') a, count(*) filter (where nxt = 'e') e, count(*) filter (where nxt = 'i') i, count(*) filter (where nxt = 'o') o from w group by kmer)
+select {" || ".join(f"case substr(kmer, {j}, 1) when 'e' then '01' when 'i' then '10' when 'o' then '11' else '00' end" for j in (1, 2, 3, 4))} || ' ' || a || ' ' || e || ' ' || i || ' ' || o as line from c""",
+    "random_updates_reduce": "select ((((i * 2654435 + 1) % 2147483648 * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 & 4095 as key, count(*) as value from range(10000) r(i) group by 1",
+    "result_file": "select l_partkey as key, count(*) as value from lineitem group by 1",
+    "text_edges_round_trip": f"select s as src, t as dst from ({EVT})",
+    "packed_edges_round_trip": f"select s as src, t as dst from ({EVT})",
+    "csr_files_round_trip": f"""with e as ({EVT}), n as (select max(s) + 1 v from e), v as (select unnest(range(0, (select v from n) + 1)) id), dg as (select s, count(*) d from e group by 1),
+i as (select (4 * coalesce(sum(coalesce(d, 0)) over (order by id rows between unbounded preceding and 1 preceding), 0))::bigint as off from v left join dg on s = id)
+select 'index' as file, off as value, count(*) as n from i group by off union all select 'matrix', t, count(*) from e group by t""",
+    "fastq_round_trip": "select translate(md5(c_custkey::varchar), '0123456789abcdef', 'ACGTACGTACGTACGT') as seq, count(*) as n from customer group by 1",
+    "stream_reduce": "select l_suppkey as key, sum(l_orderkey)::bigint as value from lineitem group by 1",
     "kmer_count": f"{KMERS} select kmer, count(*) as n from w group by kmer",
     "kmer_next_char": f"{KMERS} select kmer, " + ", ".join(f"count(*) filter (where nxt = '{c}') as n_{c}" for c in "aeio") + " from w group by kmer",
 }

@@ -7,6 +7,7 @@ frontier of up to `SMALL_FRONTIER` rows is broadcast, so that early and late sup
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce as fold
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from keyloom.operators.edges import out_degree
 from keyloom.plans.checkpoints import cut
 
 SMALL_FRONTIER = 200_000  # rows of two numbers
+MERGE = 8  # levels whose tables become one
 EdgeProgram = Callable[[Column, Column, Column], Column]
 
 
@@ -24,16 +26,17 @@ def kept_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def expand(frontier: DataFrame, edges: DataFrame, message: Column, small: bool = False) -> DataFrame:
+def expand(frontier: DataFrame, edges: DataFrame, message: Column, rows: int | None = None) -> DataFrame:
     """dst, msg: what each active vertex (id, val) sends along its out-edges. `message` sees src, val and, if it is a
-    column of `edges`, fanout."""
+    column of `edges`, fanout. `rows` is the frontier's size, where it is known; else it is counted."""
+    small = (frontier.count() if rows is None else rows) <= SMALL_FRONTIER
     near = F.broadcast(frontier) if small else frontier
     return edges.join(near, F.col("src") == F.col("id")).select("dst", message.alias("msg"))
 
 
-def superstep(frontier: DataFrame, edges: DataFrame, message: Column, by: str | Reducer, small: bool = False) -> DataFrame:
+def superstep(frontier: DataFrame, edges: DataFrame, message: Column, by: str | Reducer, rows: int | None = None) -> DataFrame:
     """id, msg: the reduced messages of one step."""
-    return expand(frontier, edges, message, small).groupBy(F.col("dst").alias("id")).agg(reducer(by)(F.col("msg")).alias("msg"))
+    return expand(frontier, edges, message, rows).groupBy(F.col("dst").alias("id")).agg(reducer(by)(F.col("msg")).alias("msg"))
 
 
 def merge_state(state: DataFrame, messages: DataFrame, finalize: Callable[[Column, Column], Column], active: Callable[[Column, Column, Column], Column], step: int, store: str = "final") -> DataFrame:
@@ -52,6 +55,10 @@ def merge_state(state: DataFrame, messages: DataFrame, finalize: Callable[[Colum
     )
 
 
+def union(tables: list[DataFrame]) -> DataFrame:
+    return fold(DataFrame.unionByName, tables)
+
+
 def bfs(edges: DataFrame, source: int = 12, mark_source: bool = False, until: int | None = None, max_steps: int | None = None) -> DataFrame:
     """vertex, depth, parent of the vertices that can be reached; of several parents the smallest id.
 
@@ -66,22 +73,21 @@ def bfs(edges: DataFrame, source: int = 12, mark_source: bool = False, until: in
         size, depth = 1, 0
         while max_steps is None or depth < max_steps:
             depth += 1
-            found = superstep(frontier.withColumn("val", F.col("id")), own, F.col("src"), "first", size <= SMALL_FRONTIER)
+            found = superstep(frontier.withColumn("val", F.col("id")), own, F.col("src"), "first", size)
             if visited is not None:
                 found = found.join(visited, F.col("id") == F.col("seen"), "left_anti")
             level = cut(found.select(F.col("id").alias("vertex"), F.lit(depth).alias("depth"), F.col("msg").alias("parent")))
-            size = level.count()
+            size, there = level.agg(F.count("*"), F.count_if(F.col("vertex") == F.lit(until))).collect()[0]
             if not size:
                 break
             levels.append(level)
             frontier, reached = level.select(F.col("vertex").alias("id")), level.select(F.col("vertex").alias("seen"))
             visited = reached if visited is None else visited.unionByName(reached)
-            if until is not None and level.where(F.col("vertex") == until).count():
+            if depth % MERGE == 0:  # one table instead of one a level: plans and numbers of files stay small
+                levels, visited = [cut(union(levels).coalesce(spark.sparkContext.defaultParallelism))], cut(visited)
+            if there:
                 break
-        out = spark.createDataFrame([], "vertex long, depth int, parent long")
-        for level in levels:
-            out = out.unionByName(level)
-        return cut(out)
+        return cut(union([spark.createDataFrame([], "vertex long, depth int, parent long"), *levels]))
     finally:
         own.unpersist()
 
@@ -123,9 +129,11 @@ def frontier_stats(tree: DataFrame) -> DataFrame:
     )
 
 
-def pagerank(edges: DataFrame, steps: int = 1, damping: float = 0.85, store: str = "final", least_change: float = 1e-4) -> DataFrame:
+def pagerank(edges: DataFrame, steps: int = 1, damping: float = 0.85, store: str = "final", least_change: float | None = 1e-4) -> DataFrame:
     """id, iteration, val, active. A vertex without in-edges keeps its value; one without out-edges sends nothing.
-    Only vertices that changed by `least_change` store and send in the next step."""
+    Every vertex sends its stored value in every step. What it receives is stored by a vertex that is active: it stored
+    in the step before (in the first one all count as such) and changes by `least_change` or more. `least_change=None`
+    lets every vertex with a message store, the plain iteration."""
     spark = edges.sparkSession
     top = edges.agg(F.max("src")).collect()[0][0]
     n = 0 if top is None else top + 1
@@ -136,9 +144,9 @@ def pagerank(edges: DataFrame, steps: int = 1, damping: float = 0.85, store: str
     try:
         state = spark.range(n).select("id", F.lit(0).alias("iteration"), F.lit(1.0 / n).alias("val"))
         for step in range(steps):
-            senders = state if step == 0 else state.where("active")
-            messages = superstep(senders.select("id", "val"), weighted, F.col("val") / F.col("fanout"), "sum")
-            state = cut(merge_state(state.select("id", "iteration", "val"), messages.where(F.col("id") < n), lambda old, new: F.lit((1 - damping) / n) + F.lit(damping) * new, lambda old, final, marked: marked & (F.abs(old - final) >= least_change), step, store))
+            messages = superstep(state.select("id", "val"), weighted, F.col("val") / F.col("fanout"), "sum", n)
+            stores = (lambda old, final, marked: F.lit(True)) if least_change is None else (lambda old, final, marked: marked & (F.abs(old - final) >= least_change))
+            state = cut(merge_state(state.select("id", "iteration", "val"), messages.where(F.col("id") < n), lambda old, new: F.lit((1 - damping) / n) + F.lit(damping) * new, stores, step, store))
         return state
     finally:
         weighted.unpersist()

@@ -13,8 +13,10 @@ from keyloom.operators import ordered as O
 from keyloom.operators import reduce as R
 from keyloom.operators import sequences as S
 from keyloom.plans import vertex as V
-from keyloom.sources import readers
+from keyloom.plans.checkpoints import shared_path
+from keyloom.sources import readers, sinks
 from keyloom.sources.readers import table
+from keyloom.streaming import updates
 
 Query = Callable[[SparkSession, str], DataFrame]
 MASK, SOURCE, TARGET = 0xFFFFF, 12, 7
@@ -77,7 +79,7 @@ def reduce_min(spark, d):
 
 @query
 def reduce_max(spark, d):
-    return R.reduce_by_key(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", "max", one_shuffle=True)
+    return R.reduce_by_key(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", "max")
 
 
 @query
@@ -191,13 +193,10 @@ def monotone_src_filter(spark, d):
 
 @query
 def monotone_dst_filter(spark, d):
-    """Targets that go backwards within a source."""
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+    """Drops targets that go backwards within a source."""
     day = F.datediff("o_orderdate", F.lit("1990-01-01"))
     rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", day.alias("dst"))
-    return rows.withColumn("m", F.max("dst").over(before)).where("m is null or dst >= m").drop("m")
+    return O.monotone_within(rows, "o_custkey", "o_orderkey", "dst")
 
 
 @query
@@ -244,15 +243,16 @@ def csr_matrix(spark, d):
 @query
 def frontier_expand(spark, d):
     frontier = spark.range(0, 100).select("id", (F.col("id") * 3).alias("val"))
-    return V.expand(frontier, g_ord(spark, d), F.col("src") + F.col("val"), small=True)
+    return V.expand(frontier, g_ord(spark, d), F.col("src") + F.col("val"), rows=100)
 
 
 @query
 def vertex_state_merge(spark, d):
     edges = g_evt(spark, d)
     frontier = spark.range(0, 50).select("id", F.col("id").alias("val"))
-    messages = V.superstep(frontier, edges, F.col("src"), "first", small=True)
-    state = readers.defaults(spark, 200, F.lit(None).cast("long"))
+    messages = V.superstep(frontier, edges, F.col("src"), "first", rows=50)
+    vertices = E.edge_stats(edges).collect()[0]["max_node"]
+    state = readers.defaults(spark, 0 if vertices is None else vertices + 1, F.lit(None).cast("long"))
     return V.merge_state(state, messages, lambda old, new: new, lambda old, final, marked: old.isNull(), 1)
 
 
@@ -308,6 +308,16 @@ def pagerank_active(spark, d):
     return V.pagerank(g_ord(spark, d)).select("id", "active")
 
 
+@query
+def pagerank_2iter(spark, d):
+    return V.pagerank(g_ord(spark, d), steps=2).select("id", F.round("val", 9).alias("rank"), "active")
+
+
+@query
+def pagerank_10iter(spark, d):
+    return V.pagerank(g_ord(spark, d), steps=10, least_change=None).select("id", F.round("val", 9).alias("rank"))
+
+
 @query
 def bc_merge_flip_level(spark, d):
     tree = V.bfs(g_evt(spark, d), SOURCE)
@@ -344,3 +354,65 @@ def kmer_count(spark, d):
 @query
 def kmer_next_char(spark, d):
     return S.kmer_next(table(spark, d, "documents"), "text", 4, "aeio")
+
+
+@query
+def kmer_text_lines(spark, d):
+    return S.kmer_lines(S.kmer_next(table(spark, d, "documents"), "text", 4, "aeio"), "aeio")
+
+
+@query
+def random_updates_reduce(spark, d):
+    return R.reduce_by_key(readers.random_updates(spark, 10_000, 0xFFF), "key", "value", "sum")
+
+
+@query
+def result_file(spark, d):
+    """A result written to a file and read again."""
+    log = R.KeyedLog("sum")
+    log.update(table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.lit(1).cast("long").alias("value")))
+    log.finish()
+    return spark.read.parquet(log.write(shared_path(spark, "result")))
+
+
+@query
+def text_edges_round_trip(spark, d):
+    path = shared_path(spark, "edges")
+    sinks.text_edges(g_evt(spark, d), path)
+    return readers.text_edges(spark, path)
+
+
+@query
+def packed_edges_round_trip(spark, d):
+    path, fields = shared_path(spark, "edges"), [("src", "<u8"), ("dst", "<u8")]
+    sinks.packed(g_evt(spark, d), fields).write.parquet(path)
+    return readers.unpacked(spark, path, fields).select("src", "dst")
+
+
+@query
+def csr_files_round_trip(spark, d):
+    """How often each offset stands in the index, and each target in the matrix."""
+    path = shared_path(spark, "csr")
+    sinks.csr_files(g_evt(spark, d), path)
+    index = readers.unpacked(spark, f"{path}/index", [("value", "<u8")]).select(F.lit("index").alias("file"), "value")
+    matrix = readers.unpacked(spark, f"{path}/matrix", [("value", "<u4")]).select(F.lit("matrix").alias("file"), "value")
+    return index.unionByName(matrix).groupBy("file", "value").agg(F.count("*").alias("n"))
+
+
+@query
+def fastq_round_trip(spark, d):
+    """A read for each customer, written as four lines and read again."""
+    path = shared_path(spark, "reads")
+    base = F.translate(F.md5(F.col("c_custkey").cast("string")), "0123456789abcdef", "ACGT" * 4)
+    table(spark, d, "customer").select(F.concat_ws("\n", F.concat(F.lit("@"), "c_custkey"), base, F.lit("+"), F.repeat(F.lit("!"), 32)).alias("value")).write.text(path)
+    return readers.fastq(spark, path).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_reduce(spark, d):
+    """Updates that arrive file by file, reduced as a stream to its end."""
+    path, name = shared_path(spark, "updates"), f"drained_{abs(hash(d)) % 10**9}"
+    table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.col("l_orderkey").alias("value")).repartition(4).write.parquet(path)
+    stream = updates.parquet_updates(spark, path, "key long, value long", 2)
+    updates.drain(updates.reduce_stream(stream, "sum"), name, shared_path(spark, "stream"))
+    return spark.table(name)

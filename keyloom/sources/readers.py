@@ -20,28 +20,48 @@ def text_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.get(parts, F.lit(0)).try_cast("long").alias("src"), F.get(parts, F.lit(1)).try_cast("long").alias("dst")).where("src is not null and dst is not null")
 
 
+def _decoded(kind: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), kind)
+            places = batch.column(0)
+            yield pa.RecordBatch.from_arrays([places, *(pa.array(rows[n].astype(np.int64)) for n in kind.names)], ["pos", *kind.names])
+
+    return run
+
+
 def binary_rows(spark: SparkSession, path: str, fields: list[tuple[str, str]]) -> DataFrame:
-    """Packed fixed-width rows of numpy types, e.g. [("src", "<u8"), ("dst", "<u8")]; all columns become BIGINT, with
-    the file and the row's place in it. A file is read by one task, so large data should come as many files."""
+    """Packed fixed-width rows of numpy types, e.g. [("src", "<u8"), ("dst", "<u8")]; all columns become BIGINT, with the
+    row's place in the file (of several files, one after the other). Files are split between rows, whatever their size."""
+    kind = np.dtype(fields)
+    encoders = spark._jvm.org.apache.spark.sql.Encoders
+    records = spark._jsc.binaryRecords(path, kind.itemsize).zipWithIndex()
+    made = spark._jsparkSession.createDataset(records.rdd(), encoders.tuple(encoders.BINARY(), encoders.LONG()))
+    rows = DataFrame(made.toDF(), spark).toDF("data", "pos").select("pos", "data")
+    return rows.mapInArrow(_decoded(kind), "pos long, " + ", ".join(f"{n} long" for n, _ in fields))
+
+
+def unpacked(spark: SparkSession, path: str, fields: list[tuple[str, str]]) -> DataFrame:
+    """part, seq, place and the fields of what `sinks.packed` made: the order of the rows is that of these three."""
     kind = np.dtype(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, raw in zip(batch.column(0), batch.column(1)):
-                rows = np.frombuffer(raw.as_buffer(), kind, raw.as_buffer().size // kind.itemsize)
-                for a in range(0, len(rows), 1 << 20):
-                    part = rows[a : a + (1 << 20)]
-                    columns = [pa.array([path.as_py()] * len(part)), pa.array(np.arange(a, a + len(part)))] + [pa.array(part[n].astype(np.int64)) for n, _ in fields]
-                    yield pa.RecordBatch.from_arrays(columns, ["file", "pos", *(n for n, _ in fields)])
+            for part, seq, raw in zip(*(batch.column(i) for i in range(3))):
+                rows = np.frombuffer(raw.as_buffer(), kind)
+                own = [pa.array(np.full(len(rows), x.as_py(), np.int64)) for x in (part, seq)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.arange(len(rows))), *(pa.array(rows[n].astype(np.int64)) for n in kind.names)], ["part", "seq", "place", *kind.names])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, pos long, " + ", ".join(f"{n} long" for n, _ in fields))
+    return spark.read.parquet(path).select("part", "seq", "data").mapInArrow(run, "part long, seq long, place long, " + ", ".join(f"{n} long" for n, _ in fields))
 
 
 def fastq(spark: SparkSession, path: str, first_only: bool = False) -> DataFrame:
-    """id, seq: the second of each four lines of a file read as one text per file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "seq"))
-    reads = lines.where("pos % 4 = 1 and seq <> ''").select((F.col("pos") / 4).cast("long").alias("id"), "seq")
+    """id, seq: the second of each four lines; empty ones are left out. Files are split anywhere, and lines are numbered
+    after that, so every file must have whole records (a multiple of four lines)."""
+    encoders = spark._jvm.org.apache.spark.sql.Encoders
+    numbered = spark._jsc.textFile(path).zipWithIndex()
+    lines = DataFrame(spark._jsparkSession.createDataset(numbered.rdd(), encoders.tuple(encoders.STRING(), encoders.LONG())).toDF(), spark).toDF("seq", "pos")
+    reads = lines.where("pos % 4 = 1 and seq <> ''").select(F.expr("pos div 4").alias("id"), F.regexp_replace("seq", "\r$", "").alias("seq"))
     return reads.where("id = 0") if first_only else reads
 
 
@@ -72,7 +92,8 @@ def quadrants(edges: DataFrame, scale: int) -> DataFrame:
 
 def random_updates(spark: SparkSession, n: int, mask: int = 0xFFFFF) -> DataFrame:
     """key, value = 1: n updates with keys spread over the mask."""
-    return spark.range(n).select(F.xxhash64("id").bitwiseAND(mask).alias("key"), F.lit(1).cast("long").alias("value"))
+    x = (F.col("id") * 2654435 + 1) % LCG_M
+    return spark.range(n).select(lcg(lcg(x)).bitwiseAND(mask).alias("key"), F.lit(1).cast("long").alias("value"))
 
 
 def defaults(spark: SparkSession, vertices: int, value: Column) -> DataFrame:

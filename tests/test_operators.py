@@ -60,6 +60,7 @@ def test_log(spark, tmp_path):
     assert not log.update(kv(spark, [(9, 9)]))
     assert list(log.rows()) == [(1, 7), (2, 1)]
     assert spark.read.parquet(log.write(str(tmp_path / "out"))).count() == 2
+    assert log.status.done and log.status.rows == 2 and log.status.files >= 1 and log.status.bytes > 0
     with pytest.raises(ValueError):
         R.KeyedLog()
 
@@ -76,6 +77,38 @@ def test_running_values(spark, values, block):
     assert by(O.with_max_before(df, "pos", "value", "o", block=block)) == [max(values[:i], default=None) for i in range(n)]
 
 
+def test_sparse_positions_and_null_ones(spark):
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 50, 300).tolist()
+    df = spark.createDataFrame([(10**9 * i + v, v) for i, v in enumerate(values)], "pos long, value long").repartition(3)
+    assert [r["o"] for r in O.with_previous(df, "pos", "value", "o").orderBy("pos").collect()] == [None, *values[:-1]]
+    assert [r["o"] for r in O.with_sum_before(df, "pos", "value", "o").orderBy("pos").collect()] == [sum(values[:i]) for i in range(300)]
+    with pytest.raises(ValueError, match="no position"):
+        O.with_previous(df.unionByName(spark.createDataFrame([(None, 1)], "pos long, value long")), "pos", "value", "o")
+
+
+def test_monotone_within_groups(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(g) if g < 4 else None, i, int(v)) for i, (g, v) in enumerate(zip(np.minimum(rng.integers(0, 9, 400), 4), rng.integers(0, 30, 400)))]
+    top, kept = {}, []
+    for g, i, v in rows:
+        if v >= top.get(g, v):
+            kept.append((g, i, v))
+        top[g] = max(v, top.get(g, v))
+    df = spark.createDataFrame(rows, "g long, pos long, v long")
+    assert sorted(got(O.monotone_within(df, "g", "pos", "v")), key=lambda r: r[1]) == kept
+    assert got(O.monotone_within(df.limit(0), "g", "pos", "v")) == []
+
+
+def test_custom_fold_of_a_hot_key(spark):
+    from keyloom.functions.reducers import Custom
+
+    rows = kv(spark, [(1, i % 97) for i in range(5000)] + [(2, 5)]).repartition(3)
+    small = custom(lambda a, b: (a + b) % 1000003)
+    assert sorted(got(small.partial(rows, block=16, salts=4).groupBy("key").agg(small(F.col("value"))))) == [(1, sum(i % 97 for i in range(5000)) % 1000003), (2, 5)]
+    assert isinstance(small, Custom)
+
+
 def test_strict_order_starts_at_zero(spark):
     df = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "pos long, key long")
     assert got(O.order_violations(df, "pos", "key", strict=True).orderBy("pos")) == [(0, 0, 0), (2, 1, 1)]
@@ -123,6 +156,18 @@ def test_pagerank(spark):
     assert got(V.pagerank(edges(spark, []))) == []
 
 
+def test_pagerank_of_many_steps(spark):
+    """Every vertex sends in every step; the plan does not grow with the steps."""
+    e = [(0, 1), (0, 2), (1, 2), (2, 0), (3, 0), (3, 4), (4, 0)]
+    out, val = {s: sum(a == s for a, _ in e) for s, _ in e}, {i: 0.2 for i in range(5)}
+    for _ in range(50):
+        new = {v: sum(val[s] / out[s] for s, t in e if t == v) for v in val}
+        val = {v: 0.03 + 0.85 * new[v] if any(t == v for _, t in e) else val[v] for v in val}
+    assert {r["id"]: r["val"] for r in V.pagerank(edges(spark, e), steps=50, least_change=None).collect()} == pytest.approx(val)
+    two = {r["id"]: r["val"] for r in V.pagerank(edges(spark, e), steps=2).collect()}
+    assert two[4] == pytest.approx(0.03 + 0.85 * 0.1)  # vertex 3 has no in-edge and still sends
+
+
 def test_sequences(spark, tmp_path):
     text = "ACGT" * 200 + "N"
     df = spark.createDataFrame([(text,), ("AC",), (None,), ("",)], "t string")
@@ -133,6 +178,11 @@ def test_sequences(spark, tmp_path):
     assert found == expected
     lines = S.kmer_lines(S.kmer_next(df.where("t like '%N'"), "t", 4)).collect()
     assert "00011011 199 0 0 0" in [r["line"] for r in lines]
+    long = {r["kmer"]: r["n"] for r in S.kmer_count(df, "t", 64).collect()}
+    expected = {}
+    for i in range(len(text) - 64):
+        expected[text[i : i + 64]] = expected.get(text[i : i + 64], 0) + 1
+    assert long == expected
     (tmp_path / "r.fq").write_text("@1\nACGT\n+\n!!!!\n@2\nTTTT\n+\n!!!!\n")
     assert got(readers.fastq(spark, str(tmp_path / "r.fq")).orderBy("id")) == [(0, "ACGT"), (1, "TTTT")]
     assert got(readers.fastq(spark, str(tmp_path / "r.fq"), first_only=True)) == [(0, "ACGT")]
