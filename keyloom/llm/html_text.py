@@ -1,9 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of block elements. Every paragraph-like run of text earns points for its length and its commas
-and passes them to its ancestors (all to the parent, half to the next, a sixth of it and less further up); a container's
-points are discounted by the part of its text that stands in links. The container with most points is the article,
-together with the siblings that look like parts of it.
+and passes them to its ancestors (all to the parent, half to the next, a sixth to the one above, and from there half as
+many at each step); a container's points are discounted by the part of its text that stands in links. The container
+with most points is the article, together with the siblings that look like parts of it.
 
 Elements that are never the article by their tag, or are hidden, are dropped with all in them. A form, and a block whose
 role or a whole word of whose class or id is foreign, is dropped too, unless it wraps the page: it has the tagged article
@@ -86,19 +86,20 @@ def settle(page: Page) -> None:
     n = len(page.tag)
     if not any(f > NEVER for f in page.foreign):
         return
-    inside, tagged, points = [False] * n, [False] * n, [0.0] * n
+    inside, full, tagged, points = [False] * n, [False] * n, [False] * n, [0.0] * n
     for i in range(n):
         inside[i] = page.foreign[i] > NEVER or (page.parent[i] >= 0 and inside[page.parent[i]])
-    outside = False  # whether a tagged article with text stands outside all foreign blocks
     for e, text, _ in page.runs:
-        earned, article, up = _earned(page.tag[e], text), False, e
-        while up >= 0:
-            if page.tag[up] in ("article", "main"):
-                article = True
-                outside = outside or not inside[up]
-            tagged[up] = tagged[up] or article
-            points[up] += earned
-            up = page.parent[up]
+        full[e] = True
+        points[e] += _earned(page.tag[e], text)
+    outside = False  # whether a tagged article with text stands outside all foreign blocks
+    for i in range(n - 1, -1, -1):  # children come after their parents
+        if full[i] and page.tag[i] in ("article", "main"):
+            tagged[i] = True
+            outside = outside or not inside[i]
+        if (up := page.parent[i]) >= 0:
+            full[up], tagged[up] = full[up] or full[i], tagged[up] or tagged[i]
+            points[up] += points[i]
     for i in range(n):
         above = page.parent[i] >= 0 and page.out[page.parent[i]]
         kind = page.foreign[i]
@@ -110,6 +111,7 @@ def settle(page: Page) -> None:
 def parse(source: str) -> Page:
     page, stack = Page(), [0]
     held: list[str] = []
+    open_: dict[str, int] = {}  # how many elements of each tag are open
     linked = link = at = 0
 
     def flush() -> None:
@@ -130,9 +132,13 @@ def parse(source: str) -> Page:
 
     def close(tags: tuple[str, ...], fence: frozenset[str]) -> None:
         """Ends the innermost open element of these tags and all in it, unless a fence stands before it."""
+        if not any(open_.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if (t := page.tag[stack[i]]) in tags:
                 flush()
+                for e in stack[i:]:
+                    open_[page.tag[e]] -= 1
                 del stack[i:]
                 return
             if t in fence:
@@ -185,31 +191,40 @@ def parse(source: str) -> Page:
                 page.foreign.append(_foreign(tag, m[3]))
                 page.out.append(page.out[stack[-1]] or page.foreign[-1] == NEVER)
                 stack.append(len(page.tag) - 1)
+                open_[tag] = open_.get(tag, 0) + 1
                 link = 0
     flush()
     settle(page)
     return page
 
 
+def weighed(page: Page) -> tuple[list[float], list[int], list[int]]:
+    """Points, characters and linked characters of every element, in one pass from the last element to the first."""
+    n = len(page.tag)
+    own, half, rest, chars, links = [0.0] * n, [0.0] * n, [0.0] * n, [0] * n, [0] * n
+    for e, text, linked in page.runs:
+        # A run directly in a container is a paragraph without a tag of its own; in p, li and the like it is the tag's.
+        at = page.parent[e] if page.tag[e] in OWN_TEXT else e
+        if at >= 0:
+            own[at] += _earned(page.tag[e], text)
+        chars[e] += len(text)
+        links[e] += linked
+    for i in range(n - 1, 0, -1):
+        up = page.parent[i]
+        half[up] += own[i] / 2
+        rest[up] += half[i] / 3 + rest[i] / 2
+        chars[up] += chars[i]
+        links[up] += links[i]
+    return [a + b + c for a, b, c in zip(own, half, rest)], chars, links
+
+
 def extract(source: str | None) -> str:
     """The article's blocks in page order, joined by two line ends."""
     if not source:
         return ""
     page = parse(source)
     n = len(page.tag)
-    points, chars, links = [0.0] * n, [0] * n, [0] * n
-    for e, text, linked in page.runs:
-        # A run directly in a container is a paragraph without a tag of its own; in p, li and the like it is the tag's.
-        own, earned = page.tag[e] in OWN_TEXT, _earned(page.tag[e], text)
-        up, level = (page.parent[e] if own else e), 0
-        while up >= 0:
-            points[up] += earned / (1, 2)[level] if level < 2 else earned / (6 * (level - 1))
-            up, level = page.parent[up], level + 1
-        up = e
-        while up >= 0:
-            chars[up] += len(text)
-            links[up] += linked
-            up = page.parent[up]
+    points, chars, links = weighed(page)
     score = [p * (1 - k / c) if c else 0.0 for p, c, k in zip(points, chars, links)]
     best = max(range(n), key=lambda i: (score[i], chars[i] - links[i], -i)) if page.runs else 0
     if not page.runs:
@@ -226,7 +241,7 @@ def extract(source: str | None) -> str:
         for i in range(n):
             if page.parent[i] == page.parent[best] and i != best and not page.out[i] and chars[i]:
                 dense = links[i] / chars[i]
-                if score[i] >= max(10, 0.2 * score[best]) or page.tag[i] in KEPT_HEADS and dense < 0.25:
+                if score[i] >= max(10, 0.2 * score[best]) or page.tag[i] == page.tag[best] == "article" and score[i] > 0 or page.tag[i] in KEPT_HEADS and dense < 0.25:
                     kept.add(i)
     inside = [False] * n
     for i in range(n):

@@ -1,5 +1,9 @@
+import random
+import time
+
 import pytest
 
+from keyloom.llm import html_text
 from keyloom.llm.html_text import extract, extract_pages
 
 LONG = "A paragraph, with commas, that is long enough to earn some points for its container"
@@ -55,6 +59,44 @@ def test_pages(spark, sf):
     assert extract_pages(odd.limit(0)).collect() == []
 
 
+def test_weights_against_climbing():
+    """Points, characters and links of random trees, each run climbing to all its ancestors by itself."""
+    rng = random.Random(4)
+    for _ in range(60):
+        parts, depth = [], 0
+        for _ in range(rng.randrange(40)):
+            kind = rng.choice(["div", "p", "section", "ul", "li", "close", "text", "text", "link"])
+            parts.append({"close": "</div>", "text": f"{LONG}, {rng.randrange(9)}", "link": f"<a href=x>{LONG}</a>"}.get(kind, f"<{kind}>"))
+        page = html_text.parse("".join(parts))
+        n = len(page.tag)
+        points, chars, links = [0.0] * n, [0] * n, [0] * n
+        for e, text, linked in page.runs:
+            up, share = (page.parent[e] if page.tag[e] in html_text.OWN_TEXT else e), 1.0
+            for share in [1, 1 / 2, 1 / 6, *(1 / 6 / 2**i for i in range(1, n))]:
+                if up < 0:
+                    break
+                points[up] += share * html_text._earned(page.tag[e], text)
+                up = page.parent[up]
+            up = e
+            while up >= 0:
+                chars[up] += len(text)
+                links[up] += linked
+                up = page.parent[up]
+        got = html_text.weighed(page)
+        assert got[0] == pytest.approx(points) and got[1:] == (chars, links)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30_000 + LONG, "<div><b>" * 30_000 + "</section>" * 30_000 + f"<p>{LONG}", "<ul><li>" * 30_000 + LONG])
+def test_deep_pages_take_no_longer_than_others(page):
+    began = time.process_time()
+    assert extract(page) == LONG
+    assert time.process_time() - began < 5
+
+
+def test_sibling_articles_stay():
+    assert extract(f"<main><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><p>{LONG} x</p></article></main>").endswith("x")
+
+
 def test_long_page_is_whole():
     page = "<article>" + "".join(f"<p>{i} {LONG}</p>" for i in range(3000)) + "</article>"
     assert extract(page).count("\n\n") == 2999
