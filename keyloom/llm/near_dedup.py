@@ -140,23 +140,25 @@ def near(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
 
-def lists(classes: DataFrame, g: int, t: float) -> DataFrame:
-    """v, cid, n, least (values shared with a similar set), weight, sk (the retained values), open, parent (the
-    star that the list comes from): each class with
-    those of its rarest retained values that another class has too."""
+def lists(classes: DataFrame, k: int, g: int, t: float) -> DataFrame:
+    """v, cid, n, least (retained values shared with a similar set), weight, sk (half of each retained value's bits),
+    open, parent (the star that the list comes from): each class with those of its rarest values among the `g` smallest
+    that another class has too."""
     values = classes.select("cid", F.explode(F.slice("sketch", 1, g)).alias("v"))
     often = cut(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     ranked = values.join(near(often), "v").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ranked"), F.sum(F.log2("df")).alias("weight"))
     # The values that only this class has are the rarest; what is left of the prefix are the first of the others.
-    take = F.greatest(F.size("ranked") - F.col("least") + 1, F.lit(0))
-    own = classes.select("cid", F.col("n_shingles").alias("n"), shared(F.col("n_shingles"), g, t).alias("least"), F.slice("sketch", 1, g).alias("sk"))
-    both = ranked.join(own, "cid").select("cid", "n", "least", (F.col("weight") / F.size("sk")).alias("weight"), "sk", F.slice("ranked.v", 1, take).alias("vs"))
+    take = F.greatest(F.size("ranked") - F.col("few") + 1, F.lit(0))
+    # Two values of a set may have the same half, which takes one from what it shares.
+    half = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
+    own = classes.select("cid", F.col("n_shingles").alias("n"), shared(F.col("n_shingles"), g, t).alias("few"), F.greatest(shared(F.col("n_shingles"), k, t) - 1, F.lit(1)).alias("least"), half.alias("sk"))
+    both = ranked.join(own, "cid").select("cid", "n", "least", (F.col("weight") / F.least(F.size("sk"), F.lit(g))).alias("weight"), "sk", F.slice("ranked.v", 1, take).alias("vs"))
     return both.select(F.explode("vs").alias("v"), "cid", "n", "least", "weight", "sk", F.lit(True).alias("open"), F.lit(None).cast("long").alias("parent"))
 
 
 def leaders(entries: DataFrame, over: int) -> DataFrame:
     """v, m (members), lead of the lists with more than `over` members."""
-    lead = F.max_by(F.struct("cid", "n", "least", "sk"), F.struct("weight", "cid"))
+    lead = F.max_by(F.struct("weight", "cid", "n", "least", "sk"), F.struct("weight", "cid"))
     return entries.groupBy("v").agg(F.count("*").alias("m"), lead.alias("lead")).where(F.col("m") > over)
 
 
@@ -349,7 +351,7 @@ class Search:
         return pairs.join(done, (F.least(pairs["a"], pairs["b"]) == done["a"]) & (F.greatest(pairs["a"], pairs["b"]) == done["b"]), "left_anti")
 
     def run(self) -> DataFrame | None:
-        entries: DataFrame | None = cut(lists(self.classes, self.g, self.t))
+        entries: DataFrame | None = cut(lists(self.classes, self.k, self.g, self.t))
         self.facts = cut(entries.select("cid", "n", "least", "weight", "sk").dropDuplicates(["cid"]))
         for depth in range(TURNS):
             if entries is None or entries.isEmpty():
@@ -384,6 +386,8 @@ class Search:
         """Judges what the lists give; the lists that longer ones are dealt into."""
         limit, stars = SHORT if first else 2 * BLOCK, None
         leads = cut(leaders(entries, 1 if first else limit))
+        if first:
+            leads = self.common_leaders(entries, leads, limit)
         if not leads.isEmpty():
             met = (
                 entries.join(leads, "v").where(F.col("cid") != F.col("lead.cid"))
@@ -409,6 +413,16 @@ class Search:
         self.judge_likely(pairs)
         return again
 
+    def common_leaders(self, entries: DataFrame, leads: DataFrame, limit: int) -> DataFrame:
+        """For long lists, the leader with most weight of all long lists that a list's own leader is in: any set can be
+        the measure of a list, and the lists of one group should have the same."""
+        long = leads.where(F.col("m") > limit)
+        own = near(cut(long.select(F.col("lead.cid").alias("cid")).distinct()))
+        met = entries.select("v", "cid").join(own, "cid").join(long.select("v", F.col("lead").alias("other")), "v")
+        best = near(cut(met.groupBy("cid").agg(F.max_by("other", F.struct("other.weight", "other.cid")).alias("best"))))
+        moved = long.join(best, F.col("lead.cid") == F.col("cid")).select("v", "m", F.col("best").alias("lead"))
+        return cut(leads.where(F.col("m") <= limit).unionByName(moved))
+
     def lists_of(self, rows: DataFrame) -> DataFrame:
         """The entries of new lists, without those that have one member or none open."""
         rows = cut(rows)
@@ -446,11 +460,13 @@ class Search:
         self.rest = kept if first else self.rest.unionByName(kept)
         beyond = star.select("star", "cid", F.col("out").alias("open"), F.explode("rest").alias("x")).withColumn("v", F.xxhash64(F.lit(0), "star", "x")).withColumn("parent", F.col("star")).drop("star", "x")
         # Without a common value outside the leaders: least(common) >= share * (n + m), so the other's size is bounded.
+        # Sizes meet by classes a twentieth wide, of which there are few from t * n on.
         top = F.floor(F.col("common") / share - F.col("n") + 1e-9)
         low = F.ceil(F.round(t * F.col("n"), 9))
-        sized = star.where("out").select("star", F.col("cid").alias("a"), "n", F.col("common").alias("ca"), F.col("label").alias("la"), F.explode(F.when(top >= low, F.sequence(low, top))).alias("m"))
-        other = star.select("star", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("common").alias("cb"), F.col("label").alias("lb"))
-        meets = sized.join(other, ["star", "m"]).where((F.col("la") != F.col("lb")) & (F.col("cb") >= F.round(share * (F.col("n") + F.col("m")), 9)) & _fits(F.col("n"), F.col("m"), t))
+        by = lambda x: F.floor(F.log(F.greatest(x, F.lit(1))) * 20).cast("int")
+        sized = star.where("out").select("star", F.col("cid").alias("a"), "n", F.col("common").alias("ca"), F.col("label").alias("la"), F.explode(F.when(top >= low, F.sequence(by(low), by(top)))).alias("class"))
+        other = star.select("star", F.col("cid").alias("b"), F.col("n").alias("m"), by(F.col("n")).alias("class"), F.col("common").alias("cb"), F.col("label").alias("lb"))
+        meets = sized.join(other, ["star", "class"]).where((F.col("la") != F.col("lb")) & (F.least("ca", "cb") >= F.round(share * (F.col("n") + F.col("m")), 9)) & _fits(F.col("n"), F.col("m"), t))
         return meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), self.lists_of(apart.unionByName(beyond))
 
 
