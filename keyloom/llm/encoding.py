@@ -2,8 +2,9 @@
 
 A byte-level BPE splits a text by a pattern before it merges. At a single space between two visible characters that
 pattern always splits: no alternative of it continues over a space that follows a visible character, and the match
-that begins at the space looks at nothing before it. So the ids of a text are those of its pieces between such
-spaces, joined, and each different piece needs the library once. Pieces are found by hashes of all of a batch at once,
+that begins at the space looks at nothing before it. A single line end between visible characters is a match of its own,
+and no alternative joins a letter with a stop or comma behind it. So the ids of a text are those of its pieces between
+such places, joined, and each different piece needs the library once. Pieces are found by hashes of all of a batch at once,
 and then compared byte by byte with what the cache holds. Vocabularies for which the split is not proven are encoded
 whole.
 """
@@ -25,6 +26,9 @@ JOINT = re.compile(r"\s")
 WIDE = (0xC2, 0xE1, 0xE2, 0xE3)
 _AFTER = np.arange(256) > 32
 _AFTER[list(WIDE)] = False
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 _U = np.uint64
 
 
@@ -34,20 +38,26 @@ def is_cut(text: str, p: int) -> bool:
 
 
 def cuts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where pieces begin in texts that lie one after the other: at each text, and at spaces that `is_cut` accepts
-    (not at all of them: beside characters that might be wide white space none is taken)."""
-    at = np.flatnonzero(buf == 32)
+    """Where pieces begin in texts that lie one after the other: at each text; at single spaces, and at and behind single
+    line ends, between visible characters (beside what might be wide white space none is taken); and at a stop or comma
+    behind an ASCII letter."""
+    blank = np.flatnonzero((buf == 32) | (buf == 10))
     edge = np.zeros(len(buf) + 1, bool)
     edge[starts] = edge[ends - 1] = True
-    at = at[~edge[at]]
-    before = buf[at - 1]
-    good = (before > 32) & _AFTER[buf[at + 1]]
+    blank = blank[~edge[blank]]
+    before = buf[blank - 1]
+    good = (before > 32) & _AFTER[buf[blank + 1]]
     high = np.flatnonzero(good & (before >= 0x80))
     # A text's first character may be what stands before: then the bytes before it are not looked at, or do no harm.
     for back in (2, 3):
-        good[high] &= ~np.isin(buf[np.maximum(at[high] - back, 0)], WIDE)
+        good[high] &= ~np.isin(buf[np.maximum(blank[high] - back, 0)], WIDE)
+    blank = blank[good]
+    stops = np.flatnonzero(_STOP[buf])
+    stops = stops[stops > 0]
     keep = np.zeros(len(buf), bool)
-    keep[at[good]] = True
+    keep[blank] = True
+    keep[blank[buf[blank] == 10] + 1] = True
+    keep[stops[_LETTER[buf[stops - 1]]]] = True
     keep[starts] = True
     return np.flatnonzero(keep)
 
@@ -68,7 +78,7 @@ def _reach(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Encoder:
     """ids and counts of texts, as the library gives them without begin, end or added special tokens."""
 
-    def __init__(self, path: str, max_pieces: int = 600_000, max_bytes: int = 64 << 20):
+    def __init__(self, path: str, max_pieces: int = 1_000_000, max_bytes: int = 64 << 20):
         self.max_pieces, self.max_bytes, self.path = max_pieces, max_bytes, path
         if path.endswith(".model"):
             import sentencepiece
@@ -192,8 +202,8 @@ class Encoder:
 _made: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str, max_pieces: int = 600_000) -> Encoder:
-    """One encoder a Python worker, kept between tasks; its cache is bounded by pieces and bytes (about 100 MB)."""
+def encoder(path: str, max_pieces: int = 1_000_000) -> Encoder:
+    """One encoder a Python worker, kept between tasks; its cache is bounded by pieces and bytes (about 150 MB)."""
     if (path, max_pieces) not in _made:
         _made[path, max_pieces] = Encoder(path, max_pieces)
     return _made[path, max_pieces]
