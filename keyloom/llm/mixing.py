@@ -5,7 +5,7 @@ going to the other sources by weight), and every document is taken floor(rate) t
 seeded by its id falls under the fraction of the rate.
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; rows with the same doc_id
-share their draw; a null doc_id draws as the text 'null'; sources without words have target 0 and rate 0. Only the
+share their draw; a row without one draws by its text; sources without words have target 0 and rate 0. Only the
 per-source sums leave their tasks; they are pre-aggregated, so a source with a third of all rows is not hot.
 """
 
@@ -22,9 +22,10 @@ BITS = 52
 BROADCAST_SOURCES = 50_000
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def draw(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on the id (of rows without one, on the text) and the seed alone."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))
+    text = F.concat(F.lit(f"{seed}:"), own)
     return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long").cast("double") / F.lit(float(2**BITS))
 
 
@@ -64,7 +65,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("of"), F.col("doc_id").alias("id"), size.alias("size"))
     joined = sized.join(plan, sized["of"].eqNullSafe(plan["source"]), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(draw(F.col("id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(draw(F.col("id"), F.col("row.text"), seed) < rate - F.floor(rate), 1).otherwise(0)
     return joined.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
 

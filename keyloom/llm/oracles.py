@@ -5,7 +5,7 @@ from __future__ import annotations
 from keyloom.llm.quality_rules import BOILERPLATE, NAV_LINE
 
 OP7 = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+with d as (select doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as w, source_size * 3 as cap from s),
 r as (select *, sum(source_size) over () - coalesce(sum(cap) over b, 0) as rest, sum(w) over () - coalesce(sum(w) over b, 0) as w_left
@@ -15,7 +15,7 @@ t as (select w.source, w.source_size,
              case when coalesce(w.cap * l.w_left > l.rest * w.w, false) then l.rest::double * w.w::double / l.w_left::double else w.cap::double end as target
       from w left join l on true),
 x as (select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0::double end as rate,
-             ('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, 'null')), 1, 13))::bigint::double / 4503599627370496.0::double as draw
+             ('0x' || substr(md5('mix:' || coalesce(d.doc_id::varchar, 'null:' || md5(coalesce(d.text, '')))), 1, 13))::bigint::double / 4503599627370496.0::double as draw
       from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, ((floor(rate) + case when draw < rate - floor(rate) then 1 else 0 end)::bigint * size)::bigint as taken from x
 """
