@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of documents. No SQL states the whole (the classifier and the token files are beyond it); tests hold the stages against
 brute force.
+
+Defined cases: a null, empty or blank text is not toxic, has no copy, holds no benchmark item and has size 0, which its
+source's rate takes like any; it ends as a document with the end id alone. Rows without an id are judged by their texts
+and come first in the files. Of rows with equal texts one stays, whatever their ids; columns beyond those of documents
+stay with their rows up to the last stage, whatever they are called; an empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import decontaminate, mixing, near_dedup, token_files, toxicity
-from keyloom.llm.common import table, unique_path
+from keyloom.llm.common import drop, table, unique_path
 from keyloom.llm.queries import vocabulary
 
 ORACLE_SQL = None
@@ -51,9 +56,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage returns. A stage's files are deleted once the next one has written its own."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         out = unique_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs, done = spark.read.parquet(out), before
+        before = out
+        if done:
+            drop(spark, done)
+    result = STAGES[-1][1](spark, docs, sf_dir)  # its files are written; what it returns reads them
+    if before:
+        drop(spark, before)
+    return result
