@@ -90,12 +90,11 @@ def forward_backward(scores: list[np.ndarray], steps: tuple[float, float, float,
         r = back[base[t + 1] : base[t + 2]] * odds[base[t + 1] : base[t + 2]]
         back[base[t] : base[t] + alive[t + 1]] = (tc + tt * r) / (cc + ct * r)
     expected = np.zeros(4)
-    if count and top > 1:
-        at = np.arange(base[1], base[-1])  # every token but the first ones, and the one before it
-        before = at - np.repeat(alive[:-1], alive[1:])
-        r, o = ahead[before], odds[at] * back[at]
+    for t in range(1, top if count else 0):
+        now = slice(base[t], base[t + 1])
+        r, o = ahead[base[t - 1] : base[t - 1] + alive[t]], odds[now] * back[now]
         kinds = np.stack([np.full(len(r), cc), ct * o, tc * r, tt * r * o])
-        expected = (kinds / kinds.sum(0)).sum(1)
+        expected += (kinds / kinds.sum(0)).sum(1)
     both = np.log(ahead) + np.log(back)
     out: list[np.ndarray] = [np.empty(0)] * len(scores)
     for row, i in enumerate(order):
@@ -227,7 +226,7 @@ def fit(docs: list[str], toxic: np.ndarray, rounds: int = 40, l2: float = 1e-3)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2000, max_chars: int = 20_000_000) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 2000, max_chars: int = 8_000_000) -> Crf:
     """Fits to a bounded sample of labelled documents: `max_toxic` and `max_clean` of them, the smallest hashes of the id
     first, and of these, in that order, whole texts of `max_chars` characters together. Of several rows of one id the
     smallest text counts, so that no id can bring more than one."""
@@ -241,7 +240,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean:
     before = F.sum(F.length("text")).over(Window.orderBy("o", "doc_id"))  # one row for each document of the sample
     rows = texts.withColumn("chars", before).where(F.col("chars") <= max_chars).select("doc_id", "text", "toxic").toPandas()
     rows = rows.drop_duplicates("text").sort_values(["doc_id", "text"])
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy(float))
+    model = fit(rows["text"].tolist(), rows["toxic"].to_numpy(float))
+    released()
+    return model
 
 
 _cached: dict[str, object] = {"model": None, "scores": {}}
