@@ -143,10 +143,10 @@ def repeated(texts: list[bytes], places: np.ndarray, least: np.ndarray, u: Units
 
 def covered(size: int, where: np.ndarray, k: int) -> np.ndarray:
     """Units that a window starting at one of the places covers."""
-    steps = np.zeros(size + 1, np.int32)
-    np.add.at(steps, where, 1)
-    np.add.at(steps, np.minimum(where + k, size), -1)
-    return np.cumsum(steps)[:size] > 0
+    starts = np.zeros(size + k + 1, np.int32)
+    starts[np.unique(where)] = 1
+    starts[k:] -= starts[:-k].copy()
+    return np.cumsum(starts, dtype=np.int32)[:size] > 0
 
 
 def dedup_words(docs: DataFrame, k: int = 35, m: int = 8, **sizes) -> DataFrame:
