@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import fresh
+from keyloom.llm.common import fresh, released
 
 LAST = np.iinfo(np.int64).max  # the place of null ids in their order
 GROUP = 1_000_000  # units whose hashes are in memory at a time
@@ -354,6 +354,7 @@ def route(docs: DataFrame, u: Units, index: Index, settled: Settled, finish: Fin
             v = out[np.repeat(ends[mine] - w - (np.cumsum(w) - w), w) + np.arange(w.sum())]
             new = np.append(np.flatnonzero(np.diff(v)) + 1, len(v))  # runs of one number
             rows.append((chunk, 3, part, _packed(v[new - 1].astype("<i8").tobytes(), np.diff(new, prepend=0).astype("<i8").tobytes())))
+        released()
         return frame(rows)
 
     def put(pdf: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -375,7 +376,9 @@ def route(docs: DataFrame, u: Units, index: Index, settled: Settled, finish: Fin
                 w = c.windows
                 nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
                 where, value = np.repeat(c.place, w) + nth, flat[np.repeat(starts[c.content], w) + nth]
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").mask(pdf["no_id"]), **finish(s, ids, where, value)})
+        made = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").mask(pdf["no_id"]), **finish(s, ids, where, value)})
+        released()
+        return made
 
     names = [c.split()[0] for c in schema.split(", ")]
     asked = dealt.groupBy("chunk").applyInPandas(ask, message)

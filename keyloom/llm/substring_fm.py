@@ -144,7 +144,7 @@ def repeated(texts: list[bytes], places: np.ndarray, least: np.ndarray, u: Units
 def covered(size: int, where: np.ndarray, k: int) -> np.ndarray:
     """Units that a window starting at one of the places covers."""
     starts = np.zeros(size + k + 1, np.int32)
-    starts[np.unique(where)] = 1
+    starts[where] = 1
     starts[k:] -= starts[:-k].copy()
     return np.cumsum(starts, dtype=np.int32)[:size] > 0
 
