@@ -70,6 +70,14 @@ def clean_up(spark: SparkSession) -> None:
     drop(spark, shared_dir(spark))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows of an Arrow batch, and with them what a task and its Python worker hold, by 2048 for this session
+    (unless it is set lower); documents are long, and the default of 10,000 makes batches of tens of megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 2048:
+        spark.conf.set(key, "2048")
+
+
 def released() -> None:
     """Gives freed memory of a Python worker back, since workers live on and later stages need it."""
     pa.default_memory_pool().release_unused()

@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 
-from keyloom.llm.routing import BYTES, INVERSE, ODD, mixed, powers
+from keyloom.llm.hashing import BYTES, INVERSE, ODD, mixed, powers
 
 #: White space within a piece, which then is encoded alone.
 JOINT = re.compile(r"\s")

@@ -39,9 +39,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, fresh, released, row_key
+from keyloom.llm.common import cut, released, row_key, small_batches
 from keyloom.llm.encoding import in_groups
-from keyloom.llm.routing import mixed, word_hashes
+from keyloom.llm.hashing import mixed, word_hashes
 
 #: Up to so many ids or 16-byte keys are broadcast (about 100 MB at most in memory); beyond, joins shuffle.
 BROADCAST_KEYS = 500_000
@@ -149,9 +149,10 @@ def lists(classes: DataFrame, k: int, g: int, t: float) -> DataFrame:
     ranked = values.join(near(often), "v").groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("ranked"), F.sum(F.log2("df")).alias("weight"))
     # The values that only this class has are the rarest; what is left of the prefix are the first of the others.
     take = F.greatest(F.size("ranked") - F.col("few") + 1, F.lit(0))
-    # Two values of a set may have the same half, which takes one from what it shares.
+    # Values of a set that have the same half take from what it shares.
     half = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
-    own = classes.select("cid", F.col("n_shingles").alias("n"), shared(F.col("n_shingles"), g, t).alias("few"), F.greatest(shared(F.col("n_shingles"), k, t) - 1, F.lit(1)).alias("least"), half.alias("sk"))
+    lost = F.size("sketch") - F.size(F.array_distinct(half))
+    own = classes.select("cid", F.col("n_shingles").alias("n"), shared(F.col("n_shingles"), g, t).alias("few"), F.greatest(shared(F.col("n_shingles"), k, t) - lost, F.lit(1)).alias("least"), half.alias("sk"))
     both = ranked.join(own, "cid").select("cid", "n", "least", (F.col("weight") / F.least(F.size("sk"), F.lit(g))).alias("weight"), "sk", F.slice("ranked.v", 1, take).alias("vs"))
     return both.select(F.explode("vs").alias("v"), "cid", "n", "least", "weight", "sk", F.lit(True).alias("open"), F.lit(None).cast("long").alias("parent"))
 
@@ -308,7 +309,7 @@ class Search:
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.facts: DataFrame | None = None  # what entries have of each class
-        self.rest: DataFrame | None = None  # parent, cid, rest: see `dealt`
+        self.rest: DataFrame | None = None  # parent, cid, rest, parts: see `dealt`
 
     def labelled(self, entries: DataFrame) -> DataFrame:
         if self.labels is None:
@@ -452,11 +453,15 @@ class Search:
         star = members.drop("lead_sk", "far", "m").join(near(cut(of_leads)), "lead").withColumn("out", F.col("label") != F.col("lead_label"))
         star = star.join(near(cut(star.where("out").select("star").distinct())), "star", "left_semi")
         star = star.join(stars.where("long").select(F.col("b").alias("lead"), F.col("a").alias("cid"), F.col("more").alias("rest")), ["lead", "cid"])
+        before = F.array().cast("array<bigint>")
         if not first:
-            before = self.rest.withColumnRenamed("rest", "outside")
-            star = star.join(before, ["parent", "cid"], "left").withColumn("rest", F.when(F.col("outside").isNull(), F.col("rest")).otherwise(F.array_intersect("rest", "outside"))).drop("outside")
-        star = cut(star.withColumn("common", F.col("n") - F.size("rest")))
-        kept = star.select(F.col("star").alias("parent"), "cid", "rest")
+            before = F.coalesce("before", before)
+            star = star.join(self.rest.select("parent", "cid", F.col("rest").alias("outside"), F.col("parts").alias("before")), ["parent", "cid"], "left")
+            star = star.withColumn("rest", F.when(F.col("outside").isNull(), F.col("rest")).otherwise(F.array_intersect("rest", "outside"))).drop("outside")
+        # What a member has of each leader that the ones before have not: two members share at most the least of each.
+        star = star.withColumn("common", F.col("n") - F.size("rest")).withColumn("parts", F.array_append(before, F.col("common") - F.aggregate(before, F.lit(0).cast("long"), lambda x, y: x + y)))
+        star = cut(star)
+        kept = star.select(F.col("star").alias("parent"), "cid", "rest", "parts")
         self.rest = kept if first else self.rest.unionByName(kept)
         beyond = star.select("star", "cid", F.col("out").alias("open"), F.explode("rest").alias("x")).withColumn("v", F.xxhash64(F.lit(0), "star", "x")).withColumn("parent", F.col("star")).drop("star", "x")
         # Without a common value outside the leaders: least(common) >= share * (n + m), so the other's size is bounded.
@@ -464,9 +469,10 @@ class Search:
         top = F.floor(F.col("common") / share - F.col("n") + 1e-9)
         low = F.ceil(F.round(t * F.col("n"), 9))
         by = lambda x: F.floor(F.log(F.greatest(x, F.lit(1))) * 20).cast("int")
-        sized = star.where("out").select("star", F.col("cid").alias("a"), "n", F.col("common").alias("ca"), F.col("label").alias("la"), F.explode(F.when(top >= low, F.sequence(by(low), by(top)))).alias("class"))
-        other = star.select("star", F.col("cid").alias("b"), F.col("n").alias("m"), by(F.col("n")).alias("class"), F.col("common").alias("cb"), F.col("label").alias("lb"))
-        meets = sized.join(other, ["star", "class"]).where((F.col("la") != F.col("lb")) & (F.least("ca", "cb") >= F.round(share * (F.col("n") + F.col("m")), 9)) & _fits(F.col("n"), F.col("m"), t))
+        sized = star.where("out").select("star", F.col("cid").alias("a"), "n", F.col("parts").alias("pa"), F.col("label").alias("la"), F.explode(F.when(top >= low, F.sequence(by(low), by(top)))).alias("class"))
+        other = star.select("star", F.col("cid").alias("b"), F.col("n").alias("m"), by(F.col("n")).alias("class"), F.col("parts").alias("pb"), F.col("label").alias("lb"))
+        most = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.coalesce(F.least(x, y), F.lit(0))), F.lit(0).cast("long"), lambda x, y: x + y)
+        meets = sized.join(other, ["star", "class"]).where((F.col("la") != F.col("lb")) & (most >= F.round(share * (F.col("n") + F.col("m")), 9)) & _fits(F.col("n"), F.col("m"), t))
         return meets.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), self.lists_of(apart.unionByName(beyond))
 
 
@@ -474,6 +480,7 @@ def _placed(docs: DataFrame, n: int, t: float, k: int, exact: bool = False) -> D
     """doc_id, row, n_shingles and least (the doc_id and row of its component's first row, null ids last) for every
     row of `docs`."""
     k, g = (WHOLE, WHOLE) if exact else (k, max(8, 3 * k // 8))
+    small_batches(docs.sparkSession)
     rows = cut(described(docs, n, k))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     made = rows.where("n_shingles > 0").groupBy("key").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import fresh, released
+from keyloom.llm.common import fresh, released, small_batches
 from keyloom.llm.encoding import Encoder, encoder, in_groups, is_cut
 
 
@@ -100,6 +100,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, huge: int = 8192,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
         released()
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     own = fresh(docs, "doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     counted = own.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")

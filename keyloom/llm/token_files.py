@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import drop, fresh, released, unique_path
+from keyloom.llm.common import drop, fresh, released, small_batches, unique_path
 from keyloom.llm.encoding import encoder, in_groups
 
 LIMIT, STEP = 20, 256
@@ -197,6 +197,7 @@ def _blocks(lengths: np.ndarray):
 def write(docs: DataFrame, path: str, out: str, end_id: int = 2) -> str:
     """Writes the files of `docs` under `out`."""
     spark = docs.sparkSession
+    small_batches(spark)
     raw = f"{out}/raw"
     encoded(docs, path, end_id).write.option("compression", "zstd").parquet(raw)
     rows = spark.read.parquet(raw)

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, fresh, released
+from keyloom.llm.common import WORD, fresh, released, small_batches
 from keyloom.llm.encoding import in_groups
-from keyloom.llm.routing import mixed
+from keyloom.llm.hashing import mixed
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 PIECE = 200  # tokens of a training sequence
@@ -305,6 +305,7 @@ def _parts(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, l
 
 def score(docs: DataFrame, model: Crf, limit: float = 0.7) -> DataFrame:
     """doc_id, score, predicted, spans for every row of `docs`."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
@@ -323,6 +324,7 @@ def score(docs: DataFrame, model: Crf, limit: float = 0.7) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.7, **options) -> DataFrame:
     """`docs` without the rows whose score reaches `limit`; the columns stay. The row is judged where it is read."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, **options))
     at = docs.columns.index("text")
 
