@@ -8,10 +8,10 @@ the similarity share at least `shared` of these (surely for sets whose differenc
 for a chance of 1e-9 at the very threshold), so all but the `shared - 1` most frequent ones suffice, by frequency in the
 corpus. `exact=True` retains whole sets, which leaves nothing to chance.
 
-Lists are not turned into all pairs. Every list has a leader, the member with the most frequent values (by the sum of their logarithms, so that a few common
-ones do not outweigh many that a group shares), and each
-member meets the leader of its list where both share enough values. Such a pair passes an estimate from the union of
-both sketches, then the exact similarity of the full sets decides, and linked classes grow together. A list that still
+Lists are not turned into all pairs. Every list has a leader, the member with the most frequent values (by the sum of their
+logarithms, so that a few common ones do not outweigh many that a group shares), and each member meets the leader of its
+list where both share enough values. Such a pair passes an estimate from the union of both sketches, then the exact
+similarity of the full sets decides, and linked classes grow together. A list that still
 holds several components is finished by its length. Of up to `SHORT` members those of different components are compared
 on their retained values within the list, and only what passes goes on. A longer list is dealt anew into smaller ones,
 with the leader L for a measure: sets A and B have at most min(|A & L|, |B & L|) values of L in common, so unless that
@@ -428,7 +428,7 @@ class Search:
         """The entries of new lists, without those that have one member or none open."""
         rows = cut(rows)
         live = rows.groupBy("v").agg(F.count("*").alias("m"), F.max("open").alias("some")).where("m > 1 and some").select("v")
-        return cut(rows.join(near(cut(live)), "v", "left_semi").join(self.facts, "cid"))
+        return cut(rows.join(near(cut(live)), "v", "left_semi").join(self.facts, "cid").withColumn("weight", F.coalesce("like", "weight")).drop("like"))
 
     def dealt(self, long: DataFrame, stars: DataFrame | None) -> tuple[DataFrame | None, DataFrame]:
         """Of long lists that hold several components: pairs whose sizes alone allow the similarity, and new lists. A
@@ -436,14 +436,14 @@ class Search:
         has outside them."""
         t, share, first = self.t, self.t / (1 + self.t), self.rest is None
         star_key = F.col("lead.cid") if first else F.xxhash64("v", "lead.cid")
-        own = long.select(star_key.alias("star"), "parent", F.col("lead.cid").alias("lead"), F.col("lead.sk").alias("lead_sk"), "cid", "n", "least", "weight", "sk", "open", "label", "far", "m")
+        own = long.select(star_key.alias("star"), "parent", F.col("lead.cid").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.sk").alias("lead_sk"), "cid", "n", "least", "weight", "sk", "open", "label", "far", "m")
         # Far from the leader: a similar set shares a retained value that the leader has not. In the first turn all are
         # open, and a far member is enough for a pair; later the open one may be the other as well.
         wide = own.where(F.col("m") > WIDE).dropDuplicates(["star", "cid"])
         some_far = near(cut(wide.where("far").select("star").distinct()))
         is_open = F.col("far") if first else F.col("open")
         apart = wide.join(some_far, "star", "left_semi").select("star", "cid", is_open.alias("open"), F.explode(F.array_except("sk", "lead_sk")).alias("x"))
-        apart = apart.withColumn("v", F.xxhash64(F.lit(1), "star", "x")).withColumn("parent", F.lit(None).cast("long")).drop("star", "x")
+        apart = apart.withColumn("v", F.xxhash64(F.lit(1), "star", "x")).withColumn("parent", F.lit(None).cast("long")).withColumn("like", F.lit(None).cast("double")).drop("star", "x")
         members = cut(own.where("not far").dropDuplicates(["star", "cid"]))
         if stars is None:
             return None, self.lists_of(apart)
@@ -463,7 +463,9 @@ class Search:
         star = cut(star)
         kept = star.select(F.col("star").alias("parent"), "cid", "rest", "parts")
         self.rest = kept if first else self.rest.unionByName(kept)
-        beyond = star.select("star", "cid", F.col("out").alias("open"), F.explode("rest").alias("x")).withColumn("v", F.xxhash64(F.lit(0), "star", "x")).withColumn("parent", F.col("star")).drop("star", "x")
+        # The next leader is the member most like this one: of edited copies, one with few edits.
+        like = (F.col("common") / (F.col("n") + F.col("lead_n") - F.col("common"))).alias("like")
+        beyond = star.select("star", "cid", F.col("out").alias("open"), like, F.explode("rest").alias("x")).withColumn("v", F.xxhash64(F.lit(0), "star", "x")).withColumn("parent", F.col("star")).drop("star", "x").select(*apart.columns)
         # Without a common value outside the leaders: least(common) >= share * (n + m), so the other's size is bounded.
         # Sizes meet by classes a twentieth wide, of which there are few from t * n on.
         top = F.floor(F.col("common") / share - F.col("n") + 1e-9)
