@@ -84,6 +84,50 @@ def test_long_lists_of_edited_copies(spark):
         assert sorted((tuple(r) for r in near_dedup.near_duplicates(df, 2, **options).collect()), key=repr) == expected
 
 
+def test_lists_give_trees_not_pairs():
+    """A list of m members that are all alike gives m - 1 edges, however its rows are cut into batches."""
+    m, sk = 300, list(range(64))
+    rows = [(v, cid) for v in (5, 6) for cid in range(v, v + m)] + [(7, 900), (7, 901)]
+    cols = [pa.array([v for v, _ in rows]), pa.array([c for _, c in rows]), pa.array([100] * len(rows)), pa.array([30] * len(rows), pa.int32()), pa.array([False] * len(rows)), pa.array([sk] * len(rows), pa.list_(pa.int32()))]
+    whole = pa.RecordBatch.from_arrays(cols, ["v", "cid", "n", "least", "tied", "sk"])
+    for step in (7, 1000):
+        parts = [whole.slice(i, step) for i in range(0, len(rows), step)]
+        assert sum(out.num_rows for out in near_dedup.trees(64, 0.8)(iter(parts))) == 2 * (m - 1) + 1
+
+
+def test_long_lists_and_large_groups(spark, monkeypatch):
+    """Lists over LONG and groups over GROUP, cut into blocks, give the links that comparing every pair gives."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 2, 4, 6, 8])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**4)}"
+        rows.append((i, " ".join(w)))
+    expected = brute(rows, 2)
+    assert len({c for _, _, c, _ in expected}) > 5
+    monkeypatch.setattr(near_dedup, "LONG", 20)
+    monkeypatch.setattr(near_dedup, "GROUP", 4000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in near_dedup.near_duplicates(df, 2).collect()), key=repr) == expected
+
+
+def test_together_finds_every_link():
+    rng = np.random.default_rng(2)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(60, 101), replace=False), rng.integers(100, 130, rng.integers(0, 12)).astype(np.uint64)]) for _ in range(120)]
+    label = near_dedup.together(sets, 0.8)
+    found = np.arange(len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if 10 * both >= 8 * (len(a) + len(b) - both):
+                found[found == found[i]] = found[j]
+    assert len(set(found.tolist())) > 3
+    assert ((label[:, None] == label) == (found[:, None] == found)).all()
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i != 20] + [(90, 90)], "a long, b long")
     got = {r["key"]: r["label"] for r in near_dedup.components(links).collect()}
