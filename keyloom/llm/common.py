@@ -51,10 +51,10 @@ def unique_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back: no lineage before it is kept, any executor can read it, and its
-    size is known to the plans that follow."""
-    path = unique_path(df.sparkSession, "table")
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Written to the shared folder (to `path`, for what is dropped before the end) and read back: no lineage before it
+    is kept, any executor can read it, and its size is known to the plans that follow."""
+    path = path or unique_path(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,8 @@ what is left.
 
 Inverted lists. Each class that is left enters the lists of its rarest values among its `g` smallest, all but the
 `shared - 1` most frequent ones, by frequency in what is left. `exact=True` retains whole sets, which leaves nothing to
-chance.
+chance. An entry takes its class's sketch along, as `FINGER` bits of each value in the order of the values: values that
+differ may look equal there, which excludes no pair, and those that look equal within a set are allowed for.
 
 Candidates. A list never gives pairs, only as many edges as it has members: a tree over each component of the pairs in
 it that share enough retained values and pass an estimate from the union of both sketches. In a list of more than `LONG`
@@ -40,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, released, row_key, small_batches
+from keyloom.llm.common import cut, drop, released, row_key, small_batches, unique_path
 from keyloom.llm.encoding import in_groups
 from keyloom.llm.hashing import mixed, word_hashes
 
@@ -51,6 +52,8 @@ LONG = 1024  # members of a list above which all of them are candidates of one a
 GROUP = 1 << 20  # values of a group's sets that one task compares
 WHOLE = 1 << 30  # retained values of the exact option
 CHANCE = 1e-9  # that two sets at the threshold share too few retained values
+FINGER = 16  # bits of a value that travel with a list's entries, for sketches of up to FEW values; 32 for longer ones
+FEW = 256
 _U = np.uint64
 
 
@@ -161,27 +164,37 @@ def lists(classes: DataFrame, g: int, t: float) -> DataFrame:
 
 def _estimate(k: int, t: float):
     """Keeps the pairs whose sketches do not exclude the similarity: the union's k smallest values are a sample of
-    the union, and those in both sketches a sample of the intersection."""
+    the union, and those in both sketches a sample of the intersection. Only the order of the values in a sketch counts:
+    before a common value lie in the union those before it in either sketch, the common ones once."""
     least = likely_common(k, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (da, oa), (db, ob) = ((c.values.to_numpy(zero_copy_only=False).view(_U), c.offsets.to_numpy()) for c in (batch.column("sketch_a"), batch.column("sketch_b")))
+            (da, oa), (db, ob) = ((c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column("sketch_a"), batch.column("sketch_b")))
             keep = []
             for i in range(batch.num_rows):
                 a, b = da[oa[i] : oa[i + 1]], db[ob[i] : ob[i + 1]]
-                union = np.union1d(a, b)
-                both = np.intersect1d(a, b, assume_unique=True)
+                both, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
                 if max(len(a), len(b)) < k:  # whole sets
-                    keep.append(len(both) >= round(t * len(union), 9))
+                    keep.append(len(both) >= round(t * (len(a) + len(b) - len(both)), 9))
                 else:
-                    keep.append(np.searchsorted(both, union[:k][-1], side="right") >= least)
+                    by = np.argsort(at_a)
+                    keep.append(np.count_nonzero(at_a[by] + at_b[by] - np.arange(len(both)) < k) >= least)
             yield batch.select(["a", "b", "long"]).filter(pa.array(keep, pa.bool_()))
         released()
 
     return run
 
 
+def _loose(a: np.ndarray, b: np.ndarray, k: int, t: float) -> bool:
+    """The same for sketches in which values look equal: those may hide as many common ones."""
+    own_a, own_b = np.unique(a), np.unique(b)
+    most = len(np.intersect1d(own_a, own_b, assume_unique=True)) + min(len(a) - len(own_a), len(b) - len(own_b))
+    if max(len(a), len(b)) < k:
+        return most >= round(t * (len(a) + len(b) - most), 9)
+    return most >= likely_common(k, t)
+
+
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zip_ = zstandard.ZstdCompressor(level=1)
     for batch in batches:
@@ -239,13 +252,16 @@ def _sharing(n: np.ndarray, least: np.ndarray, values: np.ndarray, ends: np.ndar
 
 def trees(k: int, t: float):
     """Edges (a, b) that join what is alike in each list; the lists (v, cid, n, least, tied, sk) come one after the
-    other. Sketches in which values are tied, since only half of their bits are here, pass the estimate."""
+    other. `tied` are sketches in which values look equal, since only some of their bits are here."""
     estimate = _estimate(k, t)
 
     def alike(cid: np.ndarray, tied: np.ndarray, sketches: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which of the pairs of places pass the estimate."""
         ok = tied[i] | tied[j]
         at = np.flatnonzero(~ok)
+        for p in np.flatnonzero(ok).tolist():
+            a, b = (sketches[int(q[p])].values.to_numpy(zero_copy_only=False) for q in (i, j))
+            ok[p] = _loose(a, b, k, t)
         if len(at):
             pairs = [pa.array(at), pa.array(cid[j[at]]), pa.array(np.zeros(len(at), bool)), sketches.take(pa.array(i[at])), sketches.take(pa.array(j[at]))]
             for out in estimate([pa.RecordBatch.from_arrays(pairs, ["a", "b", "long", "sketch_a", "sketch_b"])]):
@@ -257,8 +273,7 @@ def trees(k: int, t: float):
             v, cid, n, least, tied = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in range(5))
             sk = pa.concat_arrays(table.column(5).chunks)
             offsets = sk.offsets.to_numpy()
-            halves = sk.values.to_numpy(zero_copy_only=False).astype(np.int64) & 0xFFFFFFFF
-            sketches = pa.ListArray.from_arrays(sk.offsets, pa.array(halves))
+            parts, sketches = sk.values.to_numpy(zero_copy_only=False), sk
             left, right = [], []
             first, last = _stretches(v)
             two = np.flatnonzero(last - first == 2)  # most lists, all at once
@@ -274,7 +289,7 @@ def trees(k: int, t: float):
             for x, y in zip(first.tolist(), last.tolist()):
                 if y - x < 3:
                     continue
-                may = _sharing(n[x:y], least[x:y], halves[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], t)
+                may = _sharing(n[x:y], least[x:y], parts[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], t)
                 new = np.ones(y - x, bool)
                 while new.any():
                     todo = [int(np.argmax(new))]
@@ -383,10 +398,11 @@ def candidates(classes: DataFrame, k: int, g: int, t: float) -> DataFrame:
     left = connected(classes, k, t)
     entries = cut(lists(left, g, t))
     length = cut(entries.groupBy("v").agg(F.count("*").alias("m"), F.min("cid").alias("hub")).where("m > 1"))
-    # Values of a set that have the same half take from what it shares.
-    half = F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int"))
-    lost = F.size("sketch") - F.size(F.array_distinct(half))
-    own = left.select("cid", F.col("n_shingles").alias("n"), F.greatest(shared(F.col("n_shingles"), k, t) - lost, F.lit(1)).alias("least"), (lost > 0).alias("tied"), half.alias("sk"))
+    # Values of a set that look equal take from what it shares.
+    bits, kind = (FINGER, "smallint") if k <= FEW else (32, "int")
+    part = F.transform("sketch", lambda x: F.shiftright(F.shiftleft(x, 64 - bits), 64 - bits).cast(kind))
+    lost = F.size("sketch") - F.size(F.array_distinct(part))
+    own = left.select("cid", F.col("n_shingles").alias("n"), F.greatest(shared(F.col("n_shingles"), k, t) - lost, F.lit(1)).alias("least"), (lost > 0).alias("tied"), part.alias("sk"))
     short = entries.join(near(length.where(F.col("m") <= LONG).select("v")), "v").join(own, "cid").select("v", "cid", "n", "least", "tied", "sk")
     found = short.repartition("v").sortWithinPartitions("v").mapInArrow(trees(k, t), "a long, b long")
     long = entries.join(near(length.where(F.col("m") > LONG)), "v").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
@@ -413,11 +429,18 @@ def _placed(docs: DataFrame, n: int, t: float, k: int, exact: bool = False) -> D
     row of `docs`."""
     k, g = (WHOLE, WHOLE) if exact else (k, max(8, 3 * k // 8))
     small_batches(docs.sparkSession)
-    rows = cut(described(docs, n, k))
+    spark, (wide, wider) = docs.sparkSession, (unique_path(docs.sparkSession, "sketches") for _ in range(2))
+    rows = cut(described(docs, n, k), wide)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     made = rows.where("n_shingles > 0").groupBy("key").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    classes = cut(made.withColumn("cid", F.monotonically_increasing_id()))  # written at once, so that the numbers stay
-    labels = components(links(docs, classes, candidates(classes, k, g, t), n, t))
+    sketches = cut(made.withColumn("cid", F.monotonically_increasing_id()), wider)  # written at once, so that the numbers stay
+    # The sketches of rows go once the classes have theirs, those of classes once the candidates are found.
+    rows = cut(rows.drop("sketch"))
+    drop(spark, wide)
+    edges = candidates(sketches, k, g, t)
+    classes = cut(sketches.drop("sketch"))
+    drop(spark, wider)
+    labels = components(links(docs, classes, edges, n, t))
     ids = classes.select("key", "cid", F.col("first").alias("least"))
     linked = labels.select(F.col("key").alias("cid"), "label").join(ids, "cid")
     smallest = linked.groupBy("label").agg(F.min("least").alias("first"))
