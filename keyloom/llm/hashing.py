@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _U = np.uint64
@@ -43,3 +45,18 @@ def word_hashes(data: bytes, begin: np.ndarray) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, _U), np.cumsum(h)])
     first, last = begin[:-1], begin[1:] - 1
     return mixed((sums[last] - sums[first]) * powers(INVERSE, len(h))[first] + (last - first).astype(_U))
+
+
+def pieces(data: bytes, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice | np.ndarray, np.ndarray]]:
+    """Pieces of `data`, eight bytes of all at a time: those that are not at their end, and the bytes as a number, with
+    zeros behind the end."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eights = np.ndarray(len(data) + 1, "V8", padded, strides=(1,))  # of numbers, places that are no multiple are slow
+    least = int(size.min()) if len(size) else 0
+    for j in range(0, int(size.max(initial=0)), 8):
+        live = slice(None) if least > j else np.flatnonzero(size > j)
+        eight = eights[first[live] + j].view("<u8")
+        if least < j + 8:
+            over = np.clip(j + 8 - size[live], 0, 7).astype(_U)
+            eight &= ~_U(0) >> (over * _U(8))
+        yield live, eight

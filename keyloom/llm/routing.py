@@ -22,7 +22,7 @@ in every message, so a chunk or shard computed anew after a loss sends the same.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import fresh, released
-from keyloom.llm.hashing import BYTES, INVERSE, ODD, mixed, powers, word_hashes
+from keyloom.llm.hashing import BYTES, ODD, mixed, pieces, word_hashes
 
 LAST = np.iinfo(np.int64).max  # the place of null ids in their order
-GROUP = 1_000_000  # units whose hashes are in memory at a time
+GROUP = 1 << 18  # units whose hashes are in memory at a time
+HEAD = 512  # bytes of a piece that are taken eight at a time; what a longer one has besides, by itself
 _U = np.uint64
 
 
@@ -57,7 +58,6 @@ class Segments:
     first: np.ndarray
     windows: np.ndarray
     anchor: np.ndarray
-    hash: np.ndarray  # of the content
     size: np.ndarray  # units of each text
     data: bytes  # all texts one after the other; of words, each text with one space between words and after it
     begin: np.ndarray | None  # of words: where each begins, and one place more
@@ -65,10 +65,11 @@ class Segments:
     def content(self, a: int, b: int) -> bytes:
         return self.data[a:b] if self.begin is None else self.data[self.begin[a] : self.begin[b] - 1]
 
-    def contents(self, first: np.ndarray, last: np.ndarray) -> Iterator[bytes]:
-        if self.begin is not None:
-            first, last = self.begin[first], self.begin[last] - 1
-        return (self.data[a:b] for a, b in zip(first.tolist(), last.tolist()))
+    def bytes_of(self, first: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the content of so many units begins in the data, and how long it is."""
+        if self.begin is None:
+            return first, units
+        return self.begin[first], self.begin[first + units] - 1 - self.begin[first]
 
 
 def _grams(h: np.ndarray, m: int) -> np.ndarray:
@@ -89,7 +90,7 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def _runs(hashes: np.ndarray, size: np.ndarray, u: Units, base: int) -> tuple[np.ndarray, ...]:
-    """First unit, windows, anchor and content hash of the segments of texts of these sizes."""
+    """First unit, windows and anchor of the segments of texts of these sizes."""
     grams = _grams(hashes, u.m)
     n, w, half = len(hashes), u.k - u.m + 1, (u.k - u.m + 1) // 2
     low = _U((1 << 31) - 1)  # the same for all texts: the part of the hashes that decides must be
@@ -114,9 +115,7 @@ def _runs(hashes: np.ndarray, size: np.ndarray, u: Units, base: int) -> tuple[np
     anchor = np.where(is_left, _U(1), _U(2)) + grams[p]
     for j in steps:
         anchor = mixed(anchor * _U(ODD) + grams[np.where(is_left, p - half + j, p + half - j)])
-    sums = np.concatenate([np.zeros(1, _U), np.cumsum(mixed(hashes) * powers(ODD, n))])
-    content = mixed((sums[first + run + (u.k - 1)] - sums[first]) * powers(INVERSE, n)[first])
-    return first + base, run, anchor, content
+    return first + base, run, anchor
 
 
 def segments(texts: list[bytes], u: Units) -> Segments:
@@ -142,14 +141,19 @@ def segments(texts: list[bytes], u: Units) -> Segments:
         base += n
         a = b
     cat = lambda j, kind: np.concatenate([x[j] for x in found]) if found else np.zeros(0, kind)
-    return Segments(cat(0, np.int64), cat(1, np.int64), cat(2, _U), cat(3, _U), size, data, begin)
+    return Segments(cat(0, np.int64), cat(1, np.int64), cat(2, _U), size, data, begin)
+
+
+def _dealt(part: np.ndarray, n: int) -> np.ndarray:
+    """Order by part, of n parts; within one as before."""
+    return np.argsort(part.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")  # 16 bits: a radix sort
 
 
 def _buckets(anchor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct anchors in the order of their messages: bucket, value, how often, and for every segment its place."""
     u, place, count = np.unique(anchor, return_inverse=True, return_counts=True)
     bucket, value = (u % _U(n)).astype(np.int64), (u >> _U(32)).astype(np.uint32)
-    order = np.lexsort((u, value, bucket))
+    order = _dealt(bucket, n)  # and in a bucket by anchor, so by value too
     back = np.empty(len(u), np.int64)
     back[order] = np.arange(len(u))
     return bucket[order], value[order], count[order], back[place]
@@ -160,6 +164,37 @@ def _answers(rows: pd.DataFrame, kind: int) -> dict[int, bytes]:
     return dict(zip(own["part"].tolist(), own["data"].tolist()))
 
 
+def _alike(data: bytes, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pieces of `data`, by their bytes: for each piece its content's number, for each content a piece that has it
+    and a hash. The contents' order depends on them alone."""
+    head, tails = np.minimum(size, HEAD), np.flatnonzero(size > HEAD)
+    tail = {i: data[a + HEAD : a + n] for i, a, n in zip(tails.tolist(), first[tails].tolist(), size[tails].tolist())}
+    h = np.zeros(len(first), _U)
+    for live, eight in pieces(data, first, head):
+        x = (h[live] ^ eight) * _U(ODD)
+        h[live] = x ^ (x >> _U(32))
+    h[tails] ^= np.array([xxhash.xxh3_64_intdigest(x) for x in tail.values()], _U)
+    h = mixed(h + size.astype(_U) * _U(ODD))
+    order = np.argsort(h)
+    new = np.ones(len(h), bool)
+    new[1:] = h[order[1:]] != h[order[:-1]]
+    which, lead = np.empty(len(h), np.int64), order[new]
+    which[order] = np.cumsum(new) - 1
+    other = np.flatnonzero(lead[which] != np.arange(len(h)))
+    of = lead[which[other]]
+    same = np.array_equal(size[other], size[of])
+    same = same and all(np.array_equal(x, y) for (_, x), (_, y) in zip(pieces(data, first[other], head[other]), pieces(data, first[of], head[of])))
+    if same and tail:
+        same = all(tail[i] == tail[j] for i, j in zip(other.tolist(), of.tolist()) if i in tail)
+    if not same:  # unlike pieces share a hash
+        own = list(zip(h.tolist(), (data[a : a + n] for a, n in zip(first.tolist(), size.tolist()))))
+        number = {x: i for i, x in enumerate(sorted(set(own)))}
+        which = np.array([number[x] for x in own], np.int64)
+        lead = np.empty(len(number), np.int64)
+        lead[which] = np.arange(len(h))
+    return which, lead, h[lead]
+
+
 @dataclass
 class Candidates:
     """The segments of a chunk that are sent, equal ones once, by shard and content."""
@@ -168,7 +203,8 @@ class Candidates:
     windows: np.ndarray
     text: np.ndarray  # the text it is in
     content: np.ndarray  # its distinct content
-    contents: list[bytes]
+    first: np.ndarray  # of each distinct content: where it begins in the data, and its bytes
+    size: np.ndarray
     shard: np.ndarray
     route: np.ndarray  # the anchor, or of a single window a hash of its content
     many: np.ndarray  # windows of each distinct content
@@ -180,31 +216,29 @@ def _candidates(s: Segments, u: Units, n: int, flags: dict[int, bytes]) -> Candi
     flat = np.frombuffer(b"".join(flags[int(b)] for b in bucket[cuts]), np.uint8) if len(bucket) else np.zeros(0, np.uint8)
     flag = flat[place] if len(place) else flat
     plain, often = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
-    # Equal segments: by their bytes.
-    same: dict[bytes, int] = {}
-    content = np.fromiter((same.setdefault(t, len(same)) for t in s.contents(s.first[plain], s.first[plain] + s.windows[plain] + (u.k - 1))), np.int64, len(plain))
-    firsts = np.empty(len(same), np.int64)
-    firsts[content] = plain
-    texts = list(same)
+    begin, size = s.bytes_of(s.first[plain], s.windows[plain] + (u.k - 1))
+    content, lead, _ = _alike(s.data, begin, size)
     # Single windows of the very frequent: by content, which also deals them.
     reps = s.windows[often]
-    nth = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    at = np.repeat(s.first[often], reps) + nth
-    known: dict[bytes, int] = {}
-    single = np.fromiter((known.setdefault(t, len(known)) for t in s.contents(at, at + u.k)), np.int64, len(at))
-    routes = np.array([xxhash.xxh3_64_intdigest(t) for t in known], _U)
-    content = np.concatenate([content, single + len(texts)])
-    texts += known
-    route = np.concatenate([s.anchor[firsts], routes])
-    tie = np.concatenate([s.hash[firsts], np.zeros(len(known), _U)])
-    many = np.concatenate([s.windows[firsts], np.ones(len(known), np.int64)])
+    at = np.repeat(s.first[often], reps) + _nth(reps)
+    begin1, size1 = s.bytes_of(at, np.full(len(at), u.k))
+    single, lead1, routes = _alike(s.data, begin1, size1)
+    content = np.concatenate([content, single + len(lead)])
+    route = np.concatenate([s.anchor[plain[lead]], routes])
+    many = np.concatenate([s.windows[plain[lead]], np.ones(len(lead1), np.int64)])
     shard = (route % _U(n)).astype(np.int64)
-    order = np.lexsort((tie, route, shard))
+    order = np.argsort(route, kind="stable")  # contents with one route stay in their own order
+    order = order[_dealt(shard[order], n)]
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
     place = np.concatenate([s.first[plain], at])
     of = np.searchsorted(np.cumsum(s.size), place, side="right")
-    return Candidates(place, np.concatenate([s.windows[plain], np.ones(len(at), np.int64)]), of, back[content], [texts[i] for i in order.tolist()], shard[order], route[order], many[order])
+    return Candidates(place, np.concatenate([s.windows[plain], np.ones(len(at), np.int64)]), of, back[content], np.concatenate([begin[lead], begin1[lead1]])[order], np.concatenate([size[lead], size1[lead1]])[order], shard[order], route[order], many[order])
+
+
+def _nth(reps: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of the numbers, one after the other."""
+    return np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
 
 
 def _cut(values: np.ndarray) -> list[tuple[int, int]]:
@@ -264,37 +298,32 @@ def route(docs: DataFrame, u: Units, index: Index, settled: Settled, finish: Fin
         s = segments(pdf["text"].tolist(), u)
         c = _candidates(s, u, n, _answers(replies, 1))
         ids = pdf["doc_id"].to_numpy("int64")
-        places = np.bincount(c.content, minlength=len(c.contents))
-        least = np.full(len(c.contents), LAST)
+        places = np.bincount(c.content, minlength=len(c.first))
+        least = np.full(len(c.first), LAST)
         np.minimum.at(least, c.content, ids[c.text])
         chunk, rows = int(pdf["chunk"].iloc[0]), []
         for a, b in _cut(c.shard):
-            part = c.contents[a:b]
-            rows.append((chunk, 2, int(c.shard[a]), _packed(np.array([len(x) for x in part], "<i4").tobytes(), b"".join(part), places[a:b].astype("<i8").tobytes(), least[a:b].astype("<i8").tobytes(), c.route[a:b].astype("<u8").tobytes())))
+            text = b"".join([s.data[x : x + k] for x, k in zip(c.first[a:b].tolist(), c.size[a:b].tolist())])
+            rows.append((chunk, 2, int(c.shard[a]), _packed(c.size[a:b].astype("<i4").tobytes(), text, places[a:b].astype("<i8").tobytes(), least[a:b].astype("<i8").tobytes(), c.route[a:b].astype("<u8").tobytes())))
         return frame(rows)
 
     def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[bytes, int] = {}
-        places, least, routes, at = [], [], [], []
-        for data in pdf["data"]:
-            size, text, many, low, route = _unpacked(data, 5)
-            ends = np.cumsum(np.frombuffer(size, "<i4"), dtype=np.int64).tolist()
-            mine, a = [], 0
-            for b in ends:
-                mine.append(known.setdefault(text[a:b], len(known)))
-                a = b
-            at.append(np.array(mine, np.int64))
-            places.append(np.frombuffer(many, "<i8"))
-            least.append(np.frombuffer(low, "<i8"))
-            routes.append(np.frombuffer(route, "<u8"))
-        texts, flat = list(known), np.concatenate(at)
-        total = np.bincount(flat, np.concatenate(places), len(texts)).astype(np.int64)
-        low = np.full(len(texts), LAST)
-        np.minimum.at(low, flat, np.concatenate(least))
-        route = np.zeros(len(texts), _U)
-        route[flat] = np.concatenate(routes)
-        units = [t.count(b" ") + 1 for t in texts] if u.by_word else [len(t) for t in texts]
-        windows = np.array(units, np.int64) - (u.k - 1)
+        got = list(zip(*(_unpacked(data, 5) for data in pdf["data"])))
+        sizes, places, least, routes = (np.concatenate([np.frombuffer(x, kind) for x in got[i]]) for i, kind in ((0, "<i4"), (2, "<i8"), (3, "<i8"), (4, "<u8")))
+        sizes, sent = sizes.astype(np.int64), np.array([len(x) // 4 for x in got[0]])
+        data = b"".join(got[1])
+        begins = np.cumsum(sizes) - sizes
+        flat, lead, _ = _alike(data, begins, sizes)
+        at = np.split(flat, np.cumsum(sent)[:-1])
+        total = np.bincount(flat, places, len(lead)).astype(np.int64)
+        low = np.full(len(lead), LAST)
+        np.minimum.at(low, flat, least)
+        route, first, size = routes[lead], begins[lead], sizes[lead]
+        units = size
+        if u.by_word:
+            spaces = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) == 32)])
+            units = spaces[first + size] - spaces[first] + 1
+        windows = units - (u.k - 1)
         ends = np.cumsum(windows)
         out = np.empty(int(ends[-1]), np.int64)
         # Equal windows have one anchor, so a segment that alone has its anchor is equal to itself only.
@@ -302,13 +331,12 @@ def route(docs: DataFrame, u: Units, index: Index, settled: Settled, finish: Fin
         alone = count[which] == 1
         w = np.where(alone, windows, 0)
         out[np.repeat(ends - windows - (np.cumsum(w) - w), w) + np.arange(w.sum())] = np.repeat(settled(total, low), w)
-        size = np.array([len(t) for t in texts], np.int64)
         groups = max(1, math.ceil(int(size[~alone].sum()) / sub_bytes))
         of = np.where(alone, -1, ((route >> _U(40)) % _U(groups)).astype(np.int64))
         for g in range(groups):
             mine = np.flatnonzero(of == g)
             if len(mine):
-                got = index([texts[i] for i in mine], total[mine], low[mine], u)
+                got = index([data[a : a + b] for a, b in zip(first[mine].tolist(), size[mine].tolist())], total[mine], low[mine], u)
                 w = windows[mine]
                 out[np.repeat(ends[mine] - w - (np.cumsum(w) - w), w) + np.arange(w.sum())] = got
         rows = []
@@ -337,7 +365,7 @@ def route(docs: DataFrame, u: Units, index: Index, settled: Settled, finish: Fin
                 flat = np.concatenate(got)  # for each window of each distinct content
                 starts = np.cumsum(c.many) - c.many
                 w = c.windows
-                nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+                nth = _nth(w)
                 where, value = np.repeat(c.place, w) + nth, flat[np.repeat(starts[c.content], w) + nth]
         made = pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").mask(pdf["no_id"]), **finish(s, ids, where, value)})
         released()

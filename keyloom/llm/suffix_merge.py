@@ -21,21 +21,29 @@ from keyloom.llm.routing import LAST, Segments, Units, route
 from keyloom.llm.substring_fm import covered
 
 BLOCK = 1 << 19
-SYMBOL_BITS = 9  # a byte or the end of a segment
-PACKED = 63 // SYMBOL_BITS
 
 
-def _grams(text: np.ndarray, t: int) -> np.ndarray:
+def _bits(top: int) -> int:
+    return max(1, int(top).bit_length())
+
+
+def _grams(text: np.ndarray, t: int, bits: int) -> np.ndarray:
     """t symbols from each place on, the text as a ring, as one number."""
-    out = np.zeros(len(text), np.int64)
-    for j in range(t):
-        out = (out << SYMBOL_BITS) | np.roll(text, -j)
+    out, done, part, width = np.zeros(len(text), np.int64), 0, text.astype(np.int64), 1
+    while t:
+        if t & 1:
+            out, done = (out << (bits * width)) | np.roll(part, -done), done + width
+        t >>= 1
+        if t:
+            part, width = (part << (bits * width)) | np.roll(part, -width), 2 * width
     return out
 
 
 def block_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of the ring by at least their first `depth` symbols."""
-    key, known = _grams(text, PACKED), PACKED
+    bits = _bits(text.max())
+    known, width = 63 // bits, _bits(len(text))
+    key, parts = _grams(text, known, bits), min(3, 63 // width)  # so many ranks make the next key
     while True:
         order = np.argsort(key)
         if known >= depth:
@@ -43,8 +51,10 @@ def block_order(text: np.ndarray, depth: int) -> np.ndarray:
         ranked = key[order]
         rank = np.empty(len(text), np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        key = rank * (len(text) + 1) + np.roll(rank, -known)
-        known *= 2
+        key = rank
+        for j in range(1, parts):
+            key = (key << width) | np.roll(rank, -j * known)
+        known *= parts
 
 
 def merge(texts: list[np.ndarray], orders: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,38 +62,41 @@ def merge(texts: list[np.ndarray], orders: list[np.ndarray], depth: int) -> tupl
     with the place before: a lower bound under `depth`, or `depth`."""
     rows = len(texts)
     offset = np.cumsum([0, *(len(t) for t in texts)])
+    n = int(offset[-1])
     place = np.concatenate([o + a for o, a in zip(orders, offset)])
-    for t in (5, 4, 3, 2, 1):
-        grams, codes = np.unique(np.concatenate([np.roll(_grams(x, t), t)[o] for x, o in zip(texts, orders)]), return_inverse=True)
-        if len(grams) <= 1 << 16 or t == 1:
-            break
+    bits, low = _bits(max(t.max() for t in texts)), _bits(n)
+    t = min(depth, 63 // bits)  # symbols a round: as many as make one number
+    before = np.concatenate([np.roll(_grams(x, t, bits), t)[o] for x, o in zip(texts, orders)])
     steps = [t] * (depth // t) + ([depth % t] if depth % t else [])
     source = np.repeat(np.arange(rows, dtype=np.uint8 if rows < 256 else np.uint16), np.diff(offset))
-    block = np.zeros(len(source), np.int32)
-    prefix = np.full(len(source), -1, np.int32)
-    code, h = codes.astype(np.uint16), 0
+    block, starts = np.zeros(n, np.int32), np.zeros(n, bool)
+    prefix = np.full(n, depth, np.int32)
+    code, h = None, 0
     for step in steps:
-        if step != t:
-            code = np.unique(np.concatenate([np.roll(_grams(x, step), step)[o] for x, o in zip(texts, orders)]), return_inverse=True)[1].astype(np.uint16)
-        symbol = code[_own_places(source, offset)]
-        dealt = np.argsort(symbol, kind="stable")
-        source, block, symbol = source[dealt], block[dealt], symbol[dealt]
-        new = np.ones(len(source), bool)
+        if code is None or step != t:
+            code = np.unique(before & ((1 << (bits * step)) - 1), return_inverse=True)[1] << low
+        key = np.sort(code[_own_places(source, offset)] | np.arange(n))  # by symbols, equal ones as before
+        dealt = key & ((1 << low) - 1)
+        symbol = key >> low
+        source, block = source[dealt], block[dealt]
+        new = np.ones(n, bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
         block = np.cumsum(new, dtype=np.int32)
-        prefix[new & (prefix < 0)] = h
-        h += step
-    prefix[prefix < 0] = depth
+        prefix[new & ~starts] = h  # a class begins where it began before, or is a new one
+        starts, h = new, h + step
     return place[_own_places(source, offset)], prefix
 
 
 def _own_places(source: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """For each place of the interleave, its suffix: each block's suffixes come in the block's own order."""
-    if len(offset) == 3:
-        second = np.cumsum(source, dtype=np.int64)
-        return np.where(source, offset[1] + second - 1, np.arange(len(source)) - second)
-    out = np.empty(len(source), np.int64)
-    out[np.argsort(source, kind="stable")] = np.arange(len(source))
+    n = len(source)
+    if len(offset) == 2:
+        return np.arange(n)
+    if len(offset) == 3 and n < 1 << 31:
+        second = np.cumsum(source, dtype=np.int32)
+        return np.where(source, second + np.int32(offset[1] - 1), np.arange(n, dtype=np.int32) - second)
+    out = np.empty(n, np.int64)
+    out[np.argsort(source, kind="stable")] = np.arange(n)
     return out
 
 
@@ -102,12 +115,17 @@ def first_documents(texts: list[bytes], places: np.ndarray, least: np.ndarray, u
         blocks[-1].append(t)
         room -= len(t) + 1
     rings = []
+    present = np.zeros(257, bool)
+    present[0] = True
+    for own in blocks:
+        present[np.unique(np.frombuffer(b"".join(own), np.uint8)) + np.int64(1)] = True
+    symbol = np.cumsum(present) - 1  # only as many as there are, so that more of them make a number
     for own in blocks:
         n = np.array([len(t) + 1 for t in own])
         ring = np.zeros(int(n.sum()), np.int64)
         inner = np.ones(len(ring), bool)
         inner[np.cumsum(n) - 1] = False
-        ring[inner] = np.frombuffer(b"".join(own), np.uint8).astype(np.int64) + 1
+        ring[inner] = symbol[1:][np.frombuffer(b"".join(own), np.uint8)]
         rings.append(ring)
     place, prefix = merge(rings, [block_order(r, u.k + 5) for r in rings], u.k)
     # For a window its segment's smallest doc_id; other suffixes are no window and precede nothing.
@@ -131,13 +149,18 @@ def dedup_bytes(docs: DataFrame, k: int = 50, m: int = 16, **sizes) -> DataFrame
         own = ids[np.searchsorted(ends, where, side="right")]
         gone = covered(len(s.data), where[value < own], k)
         data = np.frombuffer(s.data, np.uint8)
-        lost, spans, kept = [], [], []
-        for a, b in zip((ends - s.size).tolist(), ends.tolist()):
-            part = gone[a:b]
-            lost.append(int(part.sum()))
-            spans.append(int(part[:1].sum()) + int((part[1:] & ~part[:-1]).sum()))
-            kept.append(data[a:b][~part].tobytes() if lost[-1] else s.data[a:b])
-        return {"n_bytes": s.size, "n_removed": lost, "n_spans": spans, "kept": kept}
+        begins = (ends - s.size)[s.size > 0]
+        edge = np.zeros(len(gone) + 1, bool)  # where a span begins or the one before ends; none passes from text to text
+        edge[1:-1] = gone[1:] != gone[:-1]
+        edge[begins] = edge[-1] = True
+        cuts = np.flatnonzero(edge)
+        cuts, length = cuts[:-1], np.diff(cuts)
+        cuts, length = cuts[gone[cuts]], length[gone[cuts]]
+        of = np.searchsorted(ends, cuts, side="right")
+        lost = np.bincount(of, length, len(ends)).astype(np.int64)
+        left, stay = np.frombuffer(s.data, np.uint8)[~gone].tobytes(), np.cumsum(s.size - lost)
+        kept = [left[a:b] for a, b in zip((stay - (s.size - lost)).tolist(), stay.tolist())]
+        return {"n_bytes": s.size, "n_removed": lost, "n_spans": np.bincount(of, minlength=len(ends)), "kept": kept}
 
     frequent = {"frequent": sizes.pop("frequent")} if "frequent" in sizes else {}
     return route(docs, Units(k, m, False, **frequent), first_documents, lambda places, least: least, finish, "n_bytes long, n_removed long, n_spans long, kept binary", **sizes)

@@ -1,5 +1,6 @@
 import collections
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -132,3 +133,66 @@ def test_merge_gives_order_and_common_prefixes():
     keys = [tuple(r[i : i + depth]) for r, n in rings for i in range(n)]
     assert [keys[p] for p in place] == sorted(keys)
     assert [p == depth for p in prefix[1:]] == [keys[a] == keys[b] for a, b in zip(place, place[1:])]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_equal_pieces_are_found_by_their_bytes(monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(routing, "mixed", lambda h: h & np.uint64(1))
+    monkeypatch.setattr(routing, "HEAD", 24)
+    rng = random.Random(5)
+    data = bytes(rng.randrange(2) * 255 for _ in range(300)) + b"ab" * 200
+    first = np.array([rng.randrange(len(data) - 70) for _ in range(3000)] + [len(data)])
+    size = np.array([rng.randrange(70) for _ in range(3000)] + [0])
+    which, lead, h = routing._alike(data, first, size)
+    content = [data[a : a + n] for a, n in zip(first.tolist(), size.tolist())]
+    assert [content[i] for i in lead[which]] == content and len(lead) == len(set(content))
+    turn = np.array(rng.sample(range(len(content)), len(content)))
+    lead2, h2 = routing._alike(data, first[turn], size[turn])[1:]  # in an order that depends on the contents alone
+    assert [content[i] for i in turn[lead2]] == [content[i] for i in lead] and h2.tolist() == h.tolist()
+
+
+def test_segments_are_compared_without_a_step_of_python_for_each():
+    """The work in Python is that of the arrays, not of their elements."""
+    rng = random.Random(6)
+    u = routing.Units(50, 16, False)
+    for texts in ([bytes(rng.randrange(97, 123) for _ in range(100_000))] * 2, [b"abcdefg " * 5000]):
+        s = routing.segments(texts, u)
+        flags = {int(b): bytes([1 + (len(texts) == 1)]) * int(n) for b, n in zip(*np.unique(routing._buckets(s.anchor, 4)[0], return_counts=True))}
+        steps = 0
+
+        def count(frame, event, arg):
+            nonlocal steps
+            steps += 1
+
+        sys.setprofile(count)
+        c = routing._candidates(s, u, 4, flags)
+        sys.setprofile(None)
+        assert len(c.place) > 10_000 and steps < 2000
+
+
+def test_merge_takes_as_many_symbols_a_round_as_a_number_holds(monkeypatch):
+    rng = random.Random(7)
+    texts = [bytes(rng.randrange(1, 101) for _ in range(3000)) for _ in range(40)]
+    rounds, own_places = [], suffix_merge._own_places
+    monkeypatch.setattr(suffix_merge, "_own_places", lambda *a: rounds.append(1) or own_places(*a))
+    monkeypatch.setattr(suffix_merge, "BLOCK", 60_000)
+    ids = np.arange(len(texts))
+    assert suffix_merge.first_documents(texts, ids, ids, routing.Units(50, 16, False)).tolist() == np.repeat(ids, 2951).tolist()
+    assert len(rounds) <= 7  # 101 symbols of 7 bits: nine a round, and once for the result
+
+
+@pytest.mark.parametrize("letters", [1, 2, 60, 256])
+def test_first_documents_over_alphabets(monkeypatch, letters):
+    rng = random.Random(letters)
+    base = bytes(rng.randrange(256 - letters, 256) for _ in range(700))
+    texts = sorted({base[a : a + 50 + rng.randrange(30)] for a in (rng.randrange(600) for _ in range(80))})
+    least = np.array([rng.randrange(50) for _ in texts])
+    first = {}
+    for t, n in zip(texts, least.tolist()):
+        for i in range(len(t) - 49):
+            first[t[i : i + 50]] = min(n, first.get(t[i : i + 50], BIG))
+    expected = [first[t[i : i + 50]] for t in texts for i in range(len(t) - 49)]
+    for block in (300, 1500, 1 << 19):
+        monkeypatch.setattr(suffix_merge, "BLOCK", block)
+        assert suffix_merge.first_documents(texts, least, least, routing.Units(50, 16, False)).tolist() == expected
