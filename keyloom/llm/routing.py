@@ -168,13 +168,12 @@ def _alike(data: bytes, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
     """Equal pieces of `data`, by their bytes: for each piece its content's number, for each content a piece that has it
     and a hash. The contents' order depends on them alone."""
     long = np.flatnonzero(size > HEAD)
-    whole = {i: data[a : a + n] for i, a, n in zip(long.tolist(), first[long].tolist(), size[long].tolist())}
     head = np.where(size > HEAD, 0, size)
     h = np.zeros(len(first), _U)
     for live, eight in pieces(data, first, head):
         x = (h[live] ^ eight) * _U(ODD)
         h[live] = x ^ (x >> _U(32))
-    h[long] = np.array([xxhash.xxh3_64_intdigest(x) for x in whole.values()], _U)
+    h[long] = np.fromiter((xxhash.xxh3_64_intdigest(data[a : a + n]) for a, n in zip(first[long].tolist(), size[long].tolist())), _U, len(long))
     h = mixed(h + size.astype(_U) * _U(ODD))
     order = np.argsort(h)
     new = np.ones(len(h), bool)
@@ -185,8 +184,9 @@ def _alike(data: bytes, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray
     of = lead[which[other]]
     same = np.array_equal(size[other], size[of])
     same = same and all(np.array_equal(x, y) for (_, x), (_, y) in zip(pieces(data, first[other], head[other]), pieces(data, first[of], head[of])))
-    if same and whole:
-        same = all(whole[i] == whole[j] for i, j in zip(other.tolist(), of.tolist()) if i in whole)
+    if same and len(long):
+        i, j = (x[size[other] > HEAD] for x in (other, of))
+        same = all(data[a : a + n] == data[b : b + n] for a, b, n in zip(first[i].tolist(), first[j].tolist(), size[i].tolist()))
     if not same:  # unlike pieces share a hash
         own = list(zip(h.tolist(), (data[a : a + n] for a, n in zip(first.tolist(), size.tolist()))))
         number = {x: i for i, x in enumerate(sorted(set(own)))}

@@ -1,6 +1,7 @@
 import collections
 import random
 import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -196,3 +197,12 @@ def test_first_documents_over_alphabets(monkeypatch, letters):
     for block in (300, 1500, 1 << 19):
         monkeypatch.setattr(suffix_merge, "BLOCK", block)
         assert suffix_merge.first_documents(texts, least, least, routing.Units(50, 16, False)).tolist() == expected
+
+
+def test_long_pieces_are_not_held_all_at_once():
+    data, n = random.Random(8).randbytes(2000) * 60, 100_000
+    tracemalloc.start()
+    lead = routing._alike(data, np.arange(n), np.full(n, 300))[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(lead) == 2000 and peak < 300 * n
