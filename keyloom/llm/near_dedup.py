@@ -14,14 +14,15 @@ chance. An entry takes its class's sketch along, as `FINGER` bits of each value
 differ may look equal there, which excludes no pair, and those that look equal within a set are allowed for.
 
 Candidates. A list never gives pairs, only as many edges as it has members: a tree over each component of the pairs in
-it that share enough retained values and pass an estimate from the union of both sketches. In a list of more than `LONG`
-members all count as candidates of one another. So groups that the edges join hold all links, and the text of each of
-their classes goes to its group once.
+it that share enough retained values and pass an estimate from the union of both sketches. Lists grow with the input
+while their members stay unlike, so what members have in common is counted along the values of one against those that no
+edge has reached. Lists of more than `LONG` members are cut into blocks, and each two blocks make a list. So groups that
+the edges join hold all links, and the text of each of their classes goes to its group once.
 
 Links. Within a group the exact similarity of the full sets decides. A group is measured by a leader L first: sets that
 are linked with it are one component, and any two sets share at most min(|A & L|, |B & L|) values of L and the lesser
 count of their others that recur in the group, which leaves few pairs to compare. Groups of more than `GROUP` values are
-cut into blocks, and each two blocks go to a task: the only step whose work grows with the square of a group.
+cut into blocks, and each two blocks go to a task. Only in lists and groups that are cut do rows grow with the square.
 
 Defined cases: null texts and texts without words have no shingle, no link and their own id as component; fewer words
 than a shingle has make one shingle; equal texts are linked; rows that share a doc_id stand for themselves and may be
@@ -48,7 +49,8 @@ from keyloom.llm.hashing import mixed, word_hashes
 #: Up to so many ids or 16-byte keys are broadcast (about 100 MB at most in memory); beyond, joins shuffle.
 BROADCAST_KEYS = 500_000
 PRUNED = 2  # counts of values that take isolated classes out
-LONG = 1024  # members of a list above which all of them are candidates of one another
+FULL = 64  # members of a list up to which every two are compared by one product of matrices
+LONG = 1 << 14  # members of a list that one task compares
 GROUP = 1 << 20  # values of a group's sets that one task compares
 WHOLE = 1 << 30  # retained values of the exact option
 CHANCE = 1e-9  # that two sets at the threshold share too few retained values
@@ -250,6 +252,71 @@ def _sharing(n: np.ndarray, least: np.ndarray, values: np.ndarray, ends: np.ndar
     return (both >= np.maximum(least[:, None], least)) & (small >= np.round(t * large, 9))
 
 
+def _reached(n: np.ndarray, least: np.ndarray, tied: np.ndarray, values: np.ndarray, ends: np.ndarray, k: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The edges (places) that `trees` finds in one list, for long ones: a member's values lead to those it shares them
+    with, so no two members without a further common value are looked at, and what an edge has reached is left out."""
+    m, size = len(n), np.diff(ends).astype(np.int64)
+    flat = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    row = np.repeat(np.arange(m), size)
+    first = np.unique(flat * m + row, return_index=True)[1]  # by value; a value that a sketch seems to have twice once
+    flat_of, row_of, place_of = flat[first], row[first], (np.arange(len(flat)) - ends[row])[first]
+    by = np.argsort(row_of, kind="stable")
+    own_flat, own_place, own_ends = flat_of[by], place_of[by], np.concatenate([[0], np.cumsum(np.bincount(row_of, minlength=m))])
+    hidden = size - np.diff(own_ends)
+    n_values = int(flat.max(initial=-1)) + 1
+    begin = np.concatenate([[0], np.cumsum(np.bincount(flat_of, minlength=n_values))])
+    chance = likely_common(k, t)
+
+    def alike(i: int) -> np.ndarray:
+        f, p = (x[own_ends[i] : own_ends[i + 1]] for x in (own_flat, own_place))
+        count = begin[f + 1] - begin[f]
+        at = np.arange(int(count.sum())) + np.repeat(begin[f] - np.cumsum(count) + count, count)
+        who = row_of[at]
+        both = np.bincount(who, minlength=m)
+        j = np.flatnonzero(new & (both >= np.maximum(least, least[i])))
+        j = j[np.minimum(n[j], n[i]) >= np.round(t * np.maximum(n[j], n[i]), 9)]
+        if not len(j):
+            return j
+        loose = tied[j] | tied[i]
+        most = both[j] + np.where(loose, np.minimum(hidden[j], hidden[i]), 0)
+        whole = np.maximum(size[j], size[i]) < k
+        ok = np.where(whole, most >= np.round(t * (size[j] + size[i] - most), 9), most >= chance)
+        asked = j[ok & ~whole & ~loose]
+        if len(asked):
+            mark = np.zeros(m, bool)
+            mark[asked] = True
+            has = mark[who]
+            w, a, b = who[has], np.repeat(p, count)[has], place_of[at[has]]
+            by = np.lexsort((a, w))
+            w, reach = w[by], (a + b)[by]
+            start, end = _stretches(w)
+            rank = np.arange(len(w)) - np.repeat(start, end - start)
+            inside = np.bincount(w[reach - rank < k], minlength=m)
+            ok &= whole | loose | (inside[j] >= chance)
+        return j[ok]
+
+    new, left, right = np.ones(m, bool), [], []
+    held = m
+    for lead in range(m):
+        todo = [lead] if new[lead] else []
+        new[todo] = False
+        while todo:
+            rest = int(np.count_nonzero(new))
+            if not rest:
+                break
+            if 2 * rest < held:  # only values of those that are left are kept
+                keep, held = new[row_of], rest
+                flat_of, row_of, place_of = flat_of[keep], row_of[keep], place_of[keep]
+                begin = np.concatenate([[0], np.cumsum(np.bincount(flat_of, minlength=n_values))])
+            i = todo.pop()
+            j = alike(i)
+            new[j] = False
+            todo += j.tolist()
+            left.append(np.full(len(j), i))
+            right.append(j)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
 def trees(k: int, t: float):
     """Edges (a, b) that join what is alike in each list; the lists (v, cid, n, least, tied, sk) come one after the
     other. `tied` are sketches in which values look equal, since only some of their bits are here."""
@@ -289,6 +356,11 @@ def trees(k: int, t: float):
             for x, y in zip(first.tolist(), last.tolist()):
                 if y - x < 3:
                     continue
+                if y - x > FULL:
+                    i, j = _reached(n[x:y], least[x:y], tied[x:y], parts[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], k, t)
+                    left.append(x + i)
+                    right.append(x + j)
+                    continue
                 may = _sharing(n[x:y], least[x:y], parts[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], t)
                 new = np.ones(y - x, bool)
                 while new.any():
@@ -393,31 +465,37 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
+def places(whole: str, alone: Column, member: str) -> Column:
+    """Where a member of `whole` is compared: `alone`, or, if `parts` is not null, each two of so many blocks, the lower
+    first, of which its own is one."""
+    block = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != block)
+    both = F.transform(others, lambda x: F.xxhash64(whole, F.least(x, block), F.greatest(x, block)))
+    return F.when(F.col("parts").isNull(), F.array(alone)).otherwise(both)
+
+
 def candidates(classes: DataFrame, k: int, g: int, t: float) -> DataFrame:
     """a, b: edges that join all classes with links between them, and some others."""
     left = connected(classes, k, t)
     entries = cut(lists(left, g, t))
-    length = cut(entries.groupBy("v").agg(F.count("*").alias("m"), F.min("cid").alias("hub")).where("m > 1"))
+    length = cut(entries.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"))
     # Values of a set that look equal take from what it shares.
     bits, kind = (FINGER, "smallint") if k <= FEW else (32, "int")
     part = F.transform("sketch", lambda x: F.shiftright(F.shiftleft(x, 64 - bits), 64 - bits).cast(kind))
     lost = F.size("sketch") - F.size(F.array_distinct(part))
     own = left.select("cid", F.col("n_shingles").alias("n"), F.greatest(shared(F.col("n_shingles"), k, t) - lost, F.lit(1)).alias("least"), (lost > 0).alias("tied"), part.alias("sk"))
-    short = entries.join(near(length.where(F.col("m") <= LONG).select("v")), "v").join(own, "cid").select("v", "cid", "n", "least", "tied", "sk")
-    found = short.repartition("v").sortWithinPartitions("v").mapInArrow(trees(k, t), "a long, b long")
-    long = entries.join(near(length.where(F.col("m") > LONG)), "v").where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
-    return cut(found.unionByName(long).distinct())
+    placed = entries.join(near(length), "v").withColumn("parts", F.when(F.col("m") > LONG, F.ceil(F.col("m") * 2 / LONG).cast("int")))
+    placed = placed.select("cid", F.explode(places("v", F.col("v"), "cid")).alias("v"))
+    dealt = placed.join(own, "cid").select("v", "cid", "n", "least", "tied", "sk")
+    return cut(dealt.repartition("v").sortWithinPartitions("v").mapInArrow(trees(k, t), "a long, b long").distinct())
 
 
 def links(docs: DataFrame, classes: DataFrame, edges: DataFrame, n: int, t: float) -> DataFrame:
     """a, b: edges over each component of links within the groups that the candidates join."""
     grouped = cut(components(edges).join(classes.select(F.col("cid").alias("key"), "n_shingles", F.col("first.row").alias("_row")), "key"))
-    # Blocks of half of what a task compares; each two of them, the lower first, are a place.
+    # Blocks of half of what a task compares.
     parts = grouped.groupBy("label").agg(F.sum("n_shingles").alias("values")).where(F.col("values") > GROUP).select("label", F.ceil(F.col("values") * 2 / GROUP).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != block)
-    both = F.transform(others, lambda x: F.xxhash64("label", F.least(x, block), F.greatest(x, block)))
-    rep = cut(grouped.join(near(cut(parts)), "label", "left").select(F.col("key").alias("cid"), "_row", F.when(F.col("parts").isNull(), F.array(F.xxhash64("label"))).otherwise(both).alias("groups")))
+    rep = cut(grouped.join(near(cut(parts)), "label", "left").select(F.col("key").alias("cid"), "_row", places("label", F.xxhash64("label"), "key").alias("groups")))
     own = docs.select(row_key(docs).alias("_row"), docs["text"].cast("binary").alias("body"))
     bodies = own.join(near(rep), "_row").select("cid", "groups", "body").mapInArrow(_compressed, "cid long, groups array<bigint>, body binary")
     placed = bodies.select(F.explode("groups").alias("place"), "cid", "body")

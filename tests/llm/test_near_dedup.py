@@ -113,6 +113,45 @@ def test_long_lists_and_large_groups(spark, monkeypatch):
     assert sorted((tuple(r) for r in near_dedup.near_duplicates(df, 2).collect()), key=repr) == expected
 
 
+def test_long_lists_of_unlike_documents_join_nothing(spark, monkeypatch):
+    """Values that more documents than LONG have, none of them alike, give no candidates and so no group of texts."""
+    rng = random.Random(9)
+    common = [f"c{i} d{i}" for i in range(30)]
+    rows = [(i, " ".join(x for c in rng.sample(common, 20) for x in (c, f"u{rng.randrange(40)}"))) for i in range(120)]
+    monkeypatch.setattr(near_dedup, "LONG", 20)
+    found = []
+    kept = near_dedup.links
+    monkeypatch.setattr(near_dedup, "links", lambda docs, classes, edges, n, t: found.append(edges.count()) or kept(docs, classes, edges, n, t))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 2)
+    assert found == [0]
+
+
+@pytest.mark.parametrize("size", [20, 40, 90])
+def test_edges_of_long_lists_join_what_matrices_join(monkeypatch, size):
+    """Counting along values finds the components that comparing every two members finds, with values that look equal."""
+    rng = np.random.default_rng(size)
+    m = 150
+    rows = []
+    for i in range(m):
+        base = np.arange(64) * 500 + (i % 5)
+        base[rng.choice(64, rng.integers(0, 22), replace=False)] += rng.integers(5, 400)
+        rows.append(np.unique(base)[: min(64, size - i % 3)])
+    sk = [np.where(np.arange(len(r)) == 3, r[2], r) if i % 7 == 0 else r for i, r in enumerate(rows)]
+    cols = [pa.array([5] * m), pa.array(range(m)), pa.array([max(size, len(r)) for r in rows]), pa.array([12] * m, pa.int32()), pa.array([i % 7 == 0 for i in range(m)]), pa.array([x.tolist() for x in sk], pa.list_(pa.int32()))]
+    batch = pa.RecordBatch.from_arrays(cols, ["v", "cid", "n", "least", "tied", "sk"])
+    found = []
+    for full in (m, 2):
+        monkeypatch.setattr(near_dedup, "FULL", full)
+        label = list(range(m))
+        for out in near_dedup.trees(64, 0.8)(iter([batch])):
+            for a, b in zip(*(c.to_pylist() for c in out.columns)):
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+        found.append(label)
+    assert found[0] == found[1]
+    assert 1 < len(set(found[0])) < m
+
+
 def test_together_finds_every_link():
     rng = np.random.default_rng(2)
     base = np.arange(100, dtype=np.uint64)
